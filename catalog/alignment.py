@@ -90,3 +90,419 @@ def ate(spark, sf):
         "n",
         *[r6(f"{p}{s}") for p in ("trans_", "rot_") for s in ev.STAT_FIELDS],
     )
+
+
+_PARTNER = (
+    "SELECT a.run, a.seq, a.ts_ns, b.ts_ns AS partner_ts_ns, a.tx, a.ty, a.qz, a.qw, a.gx, a.gy,"
+    " a.gqz, a.gqw, b.tx AS btx, b.ty AS bty, b.qz AS bqz, b.qw AS bqw, b.gx AS bgx, b.gy AS bgy,"
+    " b.gqz AS bgqz, b.gqw AS bgqw FROM assoc a JOIN assoc b ON a.run = b.run AND a.seq = b.seq"
+    f" AND abs(b.ts_ns - a.ts_ns - {DELTA_NS}) <= {TOLERANCE_NS}"
+    " QUALIFY row_number() OVER (PARTITION BY a.run, a.seq, a.ts_ns"
+    f" ORDER BY abs(b.ts_ns - a.ts_ns - {DELTA_NS}), b.ts_ns DESC) = 1"
+)
+_RPE = (
+    "SELECT run, seq, sqrt("
+    "power((cos(te) * (btx - tx) + sin(te) * (bty - ty))"
+    " - (cos(tg) * (bgx - gx) + sin(tg) * (bgy - gy)), 2)"
+    " + power((-sin(te) * (btx - tx) + cos(te) * (bty - ty))"
+    " - (-sin(tg) * (bgx - gx) + cos(tg) * (bgy - gy)), 2)) AS et, "
+    + _ANGLE.format(
+        s="sin(atan2(bqz, bqw) - te / 2 - atan2(bgqz, bgqw) + tg / 2)",
+        c="cos(atan2(bqz, bqw) - te / 2 - atan2(bgqz, bgqw) + tg / 2)",
+    )
+    + " AS er FROM (SELECT *, 2 * atan2(qz, qw) AS te, 2 * atan2(gqz, gqw) AS tg FROM partner)"
+)
+
+
+@query(
+    "c2_rpe_partner",
+    with_views("est", "gt", assoc=_ASSOC, partner=_PARTNER)
+    + "SELECT a.run, a.seq, a.ts_ns, p.partner_ts_ns FROM assoc a LEFT JOIN partner p"
+    " USING (run, seq, ts_ns)",
+)
+def rpe_partner(spark, sf):
+    matched = tj.matched_pairs(associated(spark, sf))
+    return tj.rpe_partner(matched, DELTA_NS, TOLERANCE_NS, DAY_NS).select(
+        "run", "seq", "ts_ns", F.col("partner.ts_ns").alias("partner_ts_ns")
+    )
+
+
+@query(
+    "d4_rpe",
+    with_views("est", "gt", assoc=_ASSOC, partner=_PARTNER, rpe=_RPE)
+    + "SELECT m.run, m.seq, pair_count, matched - pair_count AS dropped_no_partner,"
+    " trans_rmse, trans_mean, trans_median, trans_stddev, trans_max,"
+    " rot_rmse, rot_mean, rot_median, rot_stddev, rot_max FROM"
+    " (SELECT run, seq, count(*) AS matched FROM assoc GROUP BY run, seq) m JOIN"
+    f" (SELECT run, seq, count(*) AS pair_count, {stats_sql('et', 'trans_')},"
+    f" {stats_sql('er', 'rot_')} FROM rpe GROUP BY run, seq) s USING (run, seq)",
+)
+def rpe(spark, sf):
+    report = ev.rpe_report(pairs(spark, sf), DELTA_NS, TOLERANCE_NS, DAY_NS)
+    return report.select(
+        "run",
+        "seq",
+        "pair_count",
+        "dropped_no_partner",
+        *[r6(f"{p}{s}") for p in ("trans_", "rot_") for s in ev.STAT_FIELDS],
+    )
+
+
+@query(
+    "c3_pair_exact",
+    with_views("left", "right")
+    + "SELECT l.seq, l.ts_ns FROM v_left l JOIN v_right r ON l.seq = r.seq AND l.ts_ns = r.ts_ns",
+)
+def pair_exact(spark, sf):
+    return tj.pair_exact(view(spark, sf, "left"), view(spark, sf, "right"))
+
+
+SOFT_NS = 3_000_000
+# No two stamps of one side lie within the tolerance of the same other stamp in these
+# tables, so the greedy result is the join.  Dense streams are tested by brute force.
+_SOFT = (
+    "SELECT l.seq, l.ts_ns, r.ts_ns AS right_ts_ns FROM v_left l JOIN v_right r"
+    f" ON l.seq = r.seq AND abs(l.ts_ns - r.ts_ns) <= {SOFT_NS}"
+)
+
+
+@query("c4_pair_soft", with_views("left", "right") + _SOFT)
+def pair_soft(spark, sf):
+    return tj.pair_soft(view(spark, sf, "left"), view(spark, sf, "right"), SOFT_NS, DAY_NS)
+
+
+@query(
+    "c5_exact_intersection_count",
+    with_views("left", "right")
+    + "SELECT s.seq, count(r.ts_ns) AS common FROM"
+    " (SELECT seq FROM v_left UNION SELECT seq FROM v_right) s"
+    " LEFT JOIN v_left l USING (seq) LEFT JOIN v_right r ON l.seq = r.seq AND l.ts_ns = r.ts_ns"
+    " GROUP BY s.seq",
+)
+def intersection_count(spark, sf):
+    return tj.intersection_count(view(spark, sf, "left"), view(spark, sf, "right"))
+
+
+@query(
+    "d26_sync_report",
+    with_views("left", "right", pairs=_SOFT)
+    + "SELECT seq, pushed_left, pushed_right, emitted, pushed_left - emitted AS dropped_left,"
+    " pushed_right - emitted AS dropped_right FROM"
+    " (SELECT seq, count(*) AS pushed_left FROM v_left GROUP BY seq) JOIN"
+    " (SELECT seq, count(*) AS pushed_right FROM v_right GROUP BY seq) USING (seq) JOIN"
+    " (SELECT seq, count(*) AS emitted FROM pairs GROUP BY seq) USING (seq)",
+)
+def sync_report(spark, sf):
+    left, right = view(spark, sf, "left"), view(spark, sf, "right")
+    return tj.sync_report(left, right, tj.pair_soft(left, right, SOFT_NS, DAY_NS))
+
+
+@query(
+    "c6_pose_at",
+    with_views("images", "gt")
+    + "SELECT q.seq, q.ts_ns, coalesce(p.ts_ns, f.ts_ns) AS pose_ts_ns,"
+    " coalesce(p.event_id, f.event_id) AS event_id FROM v_images q ASOF LEFT JOIN v_gt p"
+    " ON q.seq = p.seq AND q.ts_ns >= p.ts_ns"
+    " LEFT JOIN (SELECT seq, min(ts_ns) AS ts_ns, arg_min(event_id, ts_ns) AS event_id FROM v_gt"
+    " GROUP BY seq) f ON q.seq = f.seq",
+)
+def pose_at(spark, sf):
+    found = tj.pose_at(view(spark, sf, "images"), view(spark, sf, "gt"), DAY_NS)
+    return found.select(
+        "seq", "ts_ns", F.col("pose.ts_ns").alias("pose_ts_ns"), F.col("pose.event_id").alias("event_id")
+    )
+
+
+MAX_STEP_NS = 3_600_000_000_000
+_MERGED = (
+    "SELECT seq, ts_ns, side,"
+    " lag(ts_ns) OVER (PARTITION BY seq ORDER BY ts_ns, side) AS before,"
+    " max(CASE WHEN side = 1 THEN ts_ns END) OVER (PARTITION BY seq ORDER BY ts_ns, side"
+    " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_image_ns,"
+    " min(CASE WHEN side = 1 THEN ts_ns END) OVER (PARTITION BY seq ORDER BY ts_ns, side"
+    " ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS image_ns,"
+    " max(CASE WHEN side = 0 THEN ts_ns END) OVER (PARTITION BY seq ORDER BY ts_ns, side"
+    " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS older,"
+    " min(CASE WHEN side = 0 THEN ts_ns END) OVER (PARTITION BY seq ORDER BY ts_ns, side"
+    " ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS newer"
+    " FROM (SELECT seq, ts_ns, 0 AS side FROM v_imu UNION ALL SELECT seq, ts_ns, 1 FROM v_images)"
+)
+_INTERVALS = (
+    "SELECT *, CASE WHEN side = 1 AND prev_image_ns IS NULL THEN 'init' WHEN side = 1 THEN 'end'"
+    " ELSE 'sample' END AS kind, CASE WHEN side = 1 AND prev_image_ns IS NULL THEN 0"
+    " ELSE ts_ns - before END AS dt_ns FROM merged WHERE image_ns IS NOT NULL"
+    " AND (side = 1 OR prev_image_ns IS NOT NULL)"
+    " AND NOT (side = 1 AND prev_image_ns IS NOT NULL AND coalesce(older = ts_ns, false))"
+)
+
+
+def _segments(spark, sf):
+    return tj.imu_segments(view(spark, sf, "images"), view(spark, sf, "imu"), DAY_NS)
+
+
+@query(
+    "c7_imu_segments",
+    with_views("imu", "images", merged=_MERGED, intervals=_INTERVALS)
+    + "SELECT seq, image_ns, count(*) FILTER (kind = 'sample') AS samples,"
+    " CAST(sum(dt_ns) AS BIGINT) AS sum_dt_ns, max(image_ns - prev_image_ns) AS interval_ns,"
+    " max(dt_ns) AS longest_step_ns,"
+    f" (max(dt_ns) > {MAX_STEP_NS} OR bool_or(kind <> 'sample' AND (older IS NULL OR newer IS NULL)))"
+    " AS has_gap, bool_or(kind = 'init') AS is_init FROM intervals GROUP BY seq, image_ns",
+)
+def imu_segments(spark, sf):
+    return tj.imu_segment_report(_segments(spark, sf), MAX_STEP_NS)
+
+
+@query(
+    "h14_interpolated_boundaries",
+    with_views("imu", "images")
+    + "SELECT i.seq, i.ts_ns, "
+    + ", ".join(
+        s6(
+            f"a.{x} + (b.{x} - a.{x}) * CASE WHEN b.ts_ns > a.ts_ns"
+            " THEN (i.ts_ns - a.ts_ns) / CAST(b.ts_ns - a.ts_ns AS DOUBLE) ELSE 0e0 END",
+            x,
+        )
+        for x in ("ax", "wz")
+    )
+    + " FROM (SELECT seq, ts_ns, row_number() OVER (PARTITION BY seq ORDER BY ts_ns) AS n"
+    " FROM v_images) i ASOF LEFT JOIN v_imu a ON i.seq = a.seq AND i.ts_ns >= a.ts_ns"
+    " ASOF LEFT JOIN v_imu b ON i.seq = b.seq AND i.ts_ns <= b.ts_ns"
+    " WHERE n > 1 AND coalesce(a.ts_ns <> i.ts_ns, true)",
+)
+def interpolated_boundaries(spark, sf):
+    ends = _segments(spark, sf).where(F.col("kind") == "end")
+    return ends.select("seq", "ts_ns", r6("ax"), r6("wz"))
+
+
+@query(
+    "c8_diag_segments",
+    with_views("est", "est_diag")
+    + "SELECT e.run, e.seq, e.ts_ns, d.segment_id FROM v_est e JOIN v_est_diag d"
+    " ON e.run = d.run AND e.seq = d.seq AND e.ts_ns = d.ts_ns",
+)
+def diag_segments(spark, sf):
+    rows = view(spark, sf, "est").select("run", "seq", "ts_ns")
+    return ev.diag_segments(rows, view(spark, sf, "est_diag"))
+
+
+@query(
+    "d1_error_stats",
+    "SELECT event_type, count(*) AS n, " + stats_sql("value", "") + " FROM events GROUP BY event_type",
+)
+def error_stats(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "value")
+    stats = ev.error_stats(events, ["event_type"], {"": "value"})
+    return stats.select("event_type", "n", *[r6(s) for s in ev.STAT_FIELDS])
+
+
+@query(
+    "d2_align_se3",
+    with_views("est", "gt", assoc=_ASSOC, align=_ALIGN)
+    + f"SELECT run, seq, n, {s6('cos(yaw)', 'cos_yaw')}, {s6('sin(yaw)', 'sin_yaw')},"
+    f" {s6('gx - cos(yaw) * ex + sin(yaw) * ey', 'tx')},"
+    f" {s6('gy - sin(yaw) * ex - cos(yaw) * ey', 'ty')} FROM align",
+)
+def align_se3(spark, sf):
+    transform = ev.align_se3(tj.matched_pairs(associated(spark, sf)))
+    qz, qw = F.col("align_qz"), F.col("align_qw")
+    return transform.select(
+        "run",
+        "seq",
+        "n",
+        r6(1.0 - 2.0 * qz * qz, "cos_yaw"),
+        r6(2.0 * qz * qw, "sin_yaw"),
+        r6("align_tx").alias("tx"),
+        r6("align_ty").alias("ty"),
+    )
+
+
+@query(
+    "d5_association_report",
+    with_views("est", "gt", assoc=_ASSOC)
+    + "SELECT run, seq, est_total, matched, out_of_range AS dropped_out_of_range,"
+    " est_total - matched - out_of_range AS dropped_over_threshold, est_first_ns, est_last_ns,"
+    f" gt_first_ns, gt_last_ns, {s6('matched / CAST(est_total AS DOUBLE)', 'match_rate')},"
+    " CASE WHEN matched = 0 THEN 'no_overlap' WHEN matched < 3 THEN 'too_few_matches'"
+    " WHEN matched / CAST(est_total AS DOUBLE) < 0.5 THEN 'match_rate_too_low' END AS error_code"
+    " FROM (SELECT e.run, e.seq, count(*) AS est_total, count(a.ts_ns) AS matched,"
+    " count(*) FILTER (a.ts_ns IS NULL AND (e.ts_ns < gt_first_ns OR e.ts_ns > gt_last_ns))"
+    " AS out_of_range, min(e.ts_ns) AS est_first_ns, max(e.ts_ns) AS est_last_ns,"
+    " any_value(gt_first_ns) AS gt_first_ns, any_value(gt_last_ns) AS gt_last_ns"
+    " FROM v_est e LEFT JOIN assoc a USING (run, seq, ts_ns) LEFT JOIN (SELECT seq,"
+    " min(ts_ns) AS gt_first_ns, max(ts_ns) AS gt_last_ns FROM v_gt GROUP BY seq) g"
+    " ON e.seq = g.seq GROUP BY e.run, e.seq)",
+)
+def association_report(spark, sf):
+    report = tj.association_report(associated(spark, sf), view(spark, sf, "gt"))
+    return report.withColumn("match_rate", r6("match_rate"))
+
+
+_STREAMS = (
+    "SELECT seq, ts_ns, 'imu' AS kind, 0 AS rank FROM v_imu UNION ALL"
+    " SELECT seq, ts_ns, 'left', 1 FROM v_left UNION ALL SELECT seq, ts_ns, 'right', 2 FROM v_right"
+)
+
+
+def streams(spark, sf):
+    from posequery.sources.sensors import replay_union
+
+    return replay_union(view(spark, sf, "imu"), view(spark, sf, "left"), view(spark, sf, "right"))
+
+
+@query(
+    "d6_stream_summary",
+    with_views("imu", "left", "right", streams=_STREAMS)
+    + "SELECT seq, kind, count(*) AS count, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns"
+    " FROM streams GROUP BY seq, kind",
+)
+def stream_summary(spark, sf):
+    from posequery.sources.sensors import stream_summary as summarise
+
+    return summarise(streams(spark, sf))
+
+
+@query(
+    "d9_percentiles",
+    "SELECT event_type, "
+    + ", ".join(s6(f"quantile_cont(value, {q})", n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p95", 0.95)))
+    + " FROM events GROUP BY event_type",
+)
+def percentiles(spark, sf):
+    from posequery.plans.quantiles import exact_quantiles
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    found = exact_quantiles(events, ["event_type"], "value", {"p10": 0.1, "p50": 0.5, "p95": 0.95})
+    return found.select("event_type", r6("p10"), r6("p50"), r6("p95"))
+
+
+_SEG_ASSOC = (
+    "SELECT a.*, d.segment_id FROM assoc a JOIN v_est_diag d USING (run, seq, ts_ns)"
+)
+
+
+def _ate_by(source: str, keys: str) -> str:
+    return (
+        f"SELECT {keys}, sqrt(avg(power(cos(yaw) * (tx - ex) - sin(yaw) * (ty - ey) + cx - gx, 2)"
+        " + power(sin(yaw) * (tx - ex) + cos(yaw) * (ty - ey) + cy - gy, 2))) AS ate"
+        f" FROM {source} JOIN (SELECT {keys}, avg(tx) AS ex, avg(ty) AS ey, avg(gx) AS cx,"
+        " avg(gy) AS cy, atan2(covar_pop(gy, tx) - covar_pop(gx, ty),"
+        f" covar_pop(gx, tx) + covar_pop(gy, ty)) AS yaw FROM {source} GROUP BY {keys}"
+        f" HAVING count(*) >= 3) USING ({keys}) GROUP BY {keys}"
+    )
+
+
+@query(
+    "d18_segment_ate",
+    with_views(
+        "est",
+        "gt",
+        "est_diag",
+        assoc=_ASSOC,
+        seg=_SEG_ASSOC,
+        own=_ate_by("seg", "run, seq, segment_id"),
+        overall=_ate_by("seg", "run, seq"),
+        size="SELECT run, seq, segment_id, count(*) AS frames FROM v_est"
+        " JOIN v_est_diag USING (run, seq, ts_ns) GROUP BY run, seq, segment_id",
+        shares="SELECT *, frames / CAST(sum(frames) OVER (PARTITION BY run, seq) AS DOUBLE) AS share"
+        " FROM size LEFT JOIN own USING (run, seq, segment_id)",
+    )
+    + f"SELECT s.run, s.seq, s.segment_id, s.frames, {s6('s.share', 'share')},"
+    f" {s6('s.ate', 'segment_ate')}, {s6('w.rms', 'weighted_rms')}, {s6('o.ate', 'global_ate')},"
+    f" {s6('o.ate - w.rms', 'misalignment')} FROM shares s JOIN (SELECT run, seq,"
+    " sqrt(sum(share * ate * ate)) AS rms FROM shares GROUP BY run, seq) w USING (run, seq)"
+    " LEFT JOIN overall o USING (run, seq)",
+)
+def segment_ate(spark, sf):
+    diag = view(spark, sf, "est_diag")
+    matched = cut(ev.diag_segments(tj.matched_pairs(associated(spark, sf)), diag), "pairs")
+    frames = ev.diag_segments(view(spark, sf, "est").select("run", "seq", "ts_ns"), diag)
+    found = ev.segment_decomposition(matched, frames)
+    return found.select(
+        "run",
+        "seq",
+        "segment_id",
+        "frames",
+        *[r6(c) for c in ("share", "segment_ate", "weighted_rms", "global_ate", "misalignment")],
+    )
+
+
+@query(
+    "d23_extent",
+    with_views("gt")
+    + "SELECT seq, "
+    + ", ".join(
+        f"{s6(f'min({a})', f'min_{a}')}, {s6(f'max({a})', f'max_{a}')},"
+        f" {s6(f'(min({a}) + max({a})) / 2', f'centre_{a}')}"
+        for a in ("tx", "ty", "tz")
+    )
+    + f", {s6('greatest(max(tx) - min(tx), max(ty) - min(ty), max(tz) - min(tz)) / 2', 'radius')}"
+    " FROM v_gt GROUP BY seq",
+)
+def extent(spark, sf):
+    from posequery.operators.ledger import extent as bounds
+
+    found = bounds(view(spark, sf, "gt"), ["seq"])
+    return found.select("seq", *[r6(c) for c in found.columns if c != "seq"])
+
+
+@query(
+    "e6_elapsed_seconds",
+    with_views("gt")
+    + f"SELECT seq, ts_ns, {s6('(ts_ns - min(ts_ns) OVER (PARTITION BY seq)) * 1e-9', 'elapsed_s')}"
+    " FROM v_gt",
+)
+def elapsed(spark, sf):
+    from posequery.operators.ledger import elapsed_seconds
+
+    rows = elapsed_seconds(view(spark, sf, "gt").select("seq", "ts_ns"), ["seq"])
+    return rows.select("seq", "ts_ns", r6("elapsed_s"))
+
+
+@query(
+    "f1_merge_replay_order",
+    with_views("imu", "left", "right", streams=_STREAMS)
+    + "SELECT seq, ts_ns, kind,"
+    " row_number() OVER (PARTITION BY seq ORDER BY ts_ns, rank) - 1 AS event_index FROM streams",
+)
+def merge_order(spark, sf):
+    from posequery.operators.ledger import merge_replay_order
+
+    events = streams(spark, sf).select("seq", "ts_ns", "kind", "rank")
+    return merge_replay_order(events, DAY_NS).select("seq", "ts_ns", "kind", "event_index")
+
+
+@query(
+    "g1_union_streams",
+    with_views("imu", "left", "right", streams=_STREAMS)
+    + "SELECT seq, ts_ns, kind, ax FROM streams LEFT JOIN (SELECT seq, ts_ns, ax, 'imu' AS kind"
+    " FROM v_imu) USING (seq, ts_ns, kind)",
+)
+def union_streams(spark, sf):
+    return streams(spark, sf).select("seq", "ts_ns", "kind", "ax")
+
+
+@query(
+    "g2_intersect_stamps",
+    with_views("left", "right")
+    + "SELECT seq, ts_ns FROM v_left INTERSECT SELECT seq, ts_ns FROM v_right",
+)
+def intersect_stamps(spark, sf):
+    return view(spark, sf, "left").intersect(view(spark, sf, "right"))
+
+
+@query(
+    "g3_except_stamps",
+    with_views("left", "right")
+    + "SELECT 'left' AS side, seq, ts_ns FROM (SELECT * FROM v_left EXCEPT SELECT * FROM v_right)"
+    " UNION ALL"
+    " SELECT 'right', seq, ts_ns FROM (SELECT * FROM v_right EXCEPT SELECT * FROM v_left)",
+)
+def except_stamps(spark, sf):
+    left, right = view(spark, sf, "left"), view(spark, sf, "right")
+    return (
+        left.exceptAll(right)
+        .withColumn("side", F.lit("left"))
+        .unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+        .select("side", "seq", "ts_ns")
+    )

@@ -23,7 +23,6 @@ def moments(value: Column) -> dict[str, Column]:
     """Everything of an error summary but the median, in mergeable aggregates."""
     zero = F.lit(0.0)
     return {
-        "n": F.count(value),
         "rmse": F.coalesce(F.sqrt(F.avg(value * value)), zero),
         "mean": F.coalesce(F.avg(value), zero),
         "stddev": F.coalesce(F.stddev_pop(value), zero),

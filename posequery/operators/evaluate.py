@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,16 +20,38 @@ RANK_TOLERANCE = 1e-8
 STAT_FIELDS = ["rmse", "mean", "median", "stddev", "max"]
 
 
-def error_stats(errors: DataFrame, keys: Sequence[str], value: str, prefix: str = "") -> DataFrame:
-    """``n`` and rmse, mean, median, population stddev, max of ``value`` per group."""
-    spread = errors.groupBy(*keys).agg(
-        *[c.alias(f"{prefix}{n}") for n, c in moments(F.col(value)).items()]
-    )
-    middle = exact_quantiles(errors, keys, value, {f"{prefix}median": 0.5})
-    joined = spread.join(middle, list(keys), "left") if keys else spread.crossJoin(middle)
-    return joined.withColumn(
-        f"{prefix}median", F.coalesce(F.col(f"{prefix}median"), F.lit(0.0))
+def error_stats(
+    errors: DataFrame, keys: Sequence[str], values: Mapping[str, str]
+) -> DataFrame:
+    """rmse, mean, median, population stddev and max per group, and the row count ``n``.
+
+    ``values`` maps output prefixes to columns; their medians are found in one pass.
+    """
+    keys = list(keys)
+    spread = [F.count(F.lit(1)).alias("n")]
+    for prefix, column in values.items():
+        spread += [c.alias(f"{prefix}{n}") for n, c in moments(F.col(column)).items()]
+    stacked = errors.select(
+        *keys,
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(p).alias("metric"), F.col(c).alias("value"))
+                    for p, c in values.items()
+                ]
+            )
+        ).alias("m"),
+    ).select(*keys, "m.metric", "m.value")
+    medians = (
+        exact_quantiles(stacked, [*keys, "metric"], "value", {"median": 0.5})
+        .groupBy(*keys)
+        .agg(
+            *[F.max(F.when(F.col("metric") == p, F.col("median"))).alias(f"{p}median") for p in values]
+        )
     )
+    totals = errors.groupBy(*keys).agg(*spread)
+    joined = totals.join(medians, keys, "left") if keys else totals.crossJoin(medians)
+    return joined.na.fill(0.0, [f"{p}median" for p in values])
 
 
 _MOMENTS = [f"c{i}{j}" for i in range(3) for j in range(3)]
@@ -143,8 +165,7 @@ def ate_errors(
 
 
 def _two_stats(errors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    rotation = error_stats(errors, keys, "err_rot_deg", "rot_").drop("rot_n")
-    return error_stats(errors, keys, "err_trans_m", "trans_").join(rotation, list(keys))
+    return error_stats(errors, keys, {"trans_": "err_trans_m", "rot_": "err_rot_deg"})
 
 
 def ate_report(pairs: DataFrame, keys: Sequence[str] = ("run", "seq")) -> DataFrame:
@@ -157,7 +178,7 @@ def ate_report(pairs: DataFrame, keys: Sequence[str] = ("run", "seq")) -> DataFr
         ate_errors(pairs, transforms, keys).select(*keys, "err_trans_m", "err_rot_deg"), "errors"
     )
     return transforms.select(*keys, "n", "error_code").join(
-        _two_stats(errors, keys), list(keys), "left"
+        _two_stats(errors, keys).drop("n"), list(keys), "left"
     )
 
 
@@ -192,7 +213,7 @@ def rpe_report(
         F.count_if(F.col("partner").isNull()).alias("dropped_no_partner"),
     )
     errors = cut(rpe_errors(partners).select(*keys, "err_trans_m", "err_rot_deg"), "errors")
-    stats = _two_stats(errors, keys).drop("trans_n")
+    stats = _two_stats(errors, keys).drop("n")
     return counts.join(stats, keys, "left").withColumn(
         "error_code", F.when(F.col("pair_count") == 0, "no_delta_pairs")
     )

@@ -186,7 +186,7 @@ def pair_soft(
         F.col("ts_ns"),
     )
     islands = ordered_scan(
-        gaps.drop("before").withColumn("start", starts),
+        gaps.withColumn("start", starts).drop("before"),
         ["seq"],
         order,
         width_ns,
