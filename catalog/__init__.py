@@ -42,4 +42,8 @@ def s6(expression: str, name: str | None = None) -> str:
 def load_all() -> None:
     from catalog import (  # noqa: F401
         alignment,
+        files,
+        functions,
+        runs,
+        tracks,
     )

@@ -14,17 +14,16 @@ from posequery.functions.geometry import Pose, Vec, pose_apply, pose_compose, po
 
 
 class Rig(NamedTuple):
-    """Rectified stereo calibration: pixels, baseline in metres."""
-
-    fx: Column
-    fy: Column
-    cx: Column
-    cy: Column
-    baseline: Column
+    """Rectified stereo calibration: pixels, baseline in metres.
 
+    Numbers for one rig, columns for a joined calibration table.
+    """
 
-def rig(fx: float, fy: float, cx: float, cy: float, baseline: float) -> Rig:
-    return Rig(*[F.lit(float(v)) for v in (fx, fy, cx, cy, baseline)])
+    fx: Column | float
+    fy: Column | float
+    cx: Column | float
+    cy: Column | float
+    baseline: Column | float
 
 
 def stereo_depth(r: Rig, disparity: Column) -> Column:

@@ -127,7 +127,7 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if path is None:
                 path = by_entry[(state[0], _OLD)]
             out += [(seq, f) for f in path["frames"]]
-            if path["frames"]:
+            if len(path["frames"]):
                 state = (path["exit_count"], path["exit_entry"])
         yield pd.DataFrame(out, columns=["seq", "frame"]).astype("int64")
 

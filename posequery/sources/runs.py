@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posequery.functions.text import g6, run_key
+from posequery.session import cut
 
 # Leaves are read as text, so that a value of the wrong type becomes null on its own.
 _SUMMARY_TYPE = (
@@ -164,29 +165,29 @@ def plan_ledger_write(runs: DataFrame, existing: DataFrame, force: bool = False)
 def write_run_ledger(runs: DataFrame, path: str, force: bool = False) -> DataFrame:
     """Write the runs that may be written and return the plan with all decisions.
 
-    The ledger is partitioned by sequence, commit and configuration; only partitions of
-    written runs are replaced.
+    The ledger is partitioned by sequence; a folder per run would mean a file per row.
+    Partitions of touched sequences are merged and replaced, others stay as they are.
     """
     spark = runs.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(folder):
-        existing = spark.read.parquet(path).select("run_key")
-    else:
-        existing = spark.createDataFrame([], "run_key string")
-    from posequery.session import cut
-
-    plan = cut(plan_ledger_write(runs, existing, force), "ledger-plan")
-    good = plan.where(F.col("decision").isin("write", "overwrite_with_warning"))
-    commit = F.when(F.col("dirty"), F.concat("commit", F.lit("_dirty"))).otherwise(F.col("commit"))
+    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    existing = spark.read.parquet(path) if exists else None
+    known = existing if exists else spark.createDataFrame([], "run_key string")
+    plan = cut(plan_ledger_write(runs, known, force), "ledger-plan")
+    good = plan.where(F.col("decision").isin("write", "overwrite_with_warning")).drop("decision")
+    merged = good
+    if exists:
+        kept = existing.join(good.select("sequence").distinct(), "sequence", "left_semi").join(
+            good.select("run_key"), "run_key", "left_anti"
+        )
+        merged = good.unionByName(kept, allowMissingColumns=True)
     (
-        good.drop("decision")
-        .withColumn("commit", commit)
-        .withColumn("config", F.concat("config_label", F.lit("_"), "config_hash"))
-        .repartition("sequence", "commit", "config")
+        cut(merged, "ledger-rows")
+        .repartition("sequence")
+        .sortWithinPartitions("sequence", "run_key")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("sequence", "commit", "config")
+        .partitionBy("sequence")
         .parquet(path)
     )
     return plan
