@@ -45,5 +45,6 @@ def load_all() -> None:
         files,
         functions,
         runs,
+        streams,
         tracks,
     )

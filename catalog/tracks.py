@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query, r6, s6
-from posequery.fixtures import view, with_views
+from posequery.fixtures import view, view_sql, with_views
 from posequery.functions import camera as cam
 from posequery.functions import geometry as g
 from posequery.operators import landmarks as lm
@@ -719,10 +719,40 @@ def accumulate(spark, sf):
     return tk.accumulate_seed(obs(spark, sf)).select("seq", "seed_frame", "id", "frame", "u")
 
 
-@query("i3_keyframe_select")
-def keyframe_select(spark, sf):
+# With the survival and parallax rules out of play the choice can be followed row by row in SQL.
+TIME_RULE = dict(min_tracks=2, min_survival=0.0, max_parallax_px=1e9)
+KEYFRAME_SQL = (
+    "WITH RECURSIVE v_obs AS ("
+    + view_sql("obs")
+    + "), v_frames AS ("
+    + view_sql("frames")
+    + "), rows AS (SELECT f.seq, f.frame, f.ts_ns, f.status = 'ok' AS ok, coalesce(o.n, 0) AS n,"
+    " row_number() OVER (PARTITION BY f.seq ORDER BY f.ts_ns) AS i FROM v_frames f LEFT JOIN"
+    " (SELECT seq, frame, count(*) AS n FROM v_obs GROUP BY seq, frame) o USING (seq, frame)),"
+    " walk AS (SELECT seq, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, 0 AS kfs,"
+    " CAST(0 AS BIGINT) AS last_ns, false AS chosen FROM (SELECT DISTINCT seq FROM rows) UNION ALL"
+    " SELECT r.seq, r.i, r.frame, CASE WHEN c AND r.ok THEN kfs + 1 ELSE kfs END,"
+    " CASE WHEN c AND r.ok THEN r.ts_ns ELSE last_ns END, c FROM (SELECT r.*, w.kfs, w.last_ns,"
+    " r.n > 0 AND (w.kfs < 2 OR r.n < 2 OR r.ts_ns - w.last_ns > 500000000) AS c"
+    " FROM walk w JOIN rows r ON r.seq = w.seq AND r.i = w.i + 1) r)"
+    " SELECT seq, frame FROM walk WHERE chosen"
+)
+
+
+def keyframes(spark, sf, **options):
     from posequery.operators.keyframes import nested_frames, select_keyframes
     from posequery.streaming.rules import KeyframeRule
 
     nested = nested_frames(frames(spark, sf), obs(spark, sf), 60_000_000_000)
-    return select_keyframes(nested, KeyframeRule(400.0, 400.0, 320.0, 240.0, min_tracks=2), 60_000_000_000)
+    rule = KeyframeRule(400.0, 400.0, 320.0, 240.0, **options)
+    return select_keyframes(nested, rule, 60_000_000_000)
+
+
+@query("i3_keyframe_select", KEYFRAME_SQL)
+def keyframe_select(spark, sf):
+    return keyframes(spark, sf, **TIME_RULE)
+
+
+@query("i3_keyframe_select_all_rules")
+def keyframe_select_all(spark, sf):
+    return keyframes(spark, sf, min_tracks=2)

@@ -148,3 +148,208 @@ class StereoSync:
         self.counts["dropped_right"] += len(self.right)
         self.left.clear()
         self.right.clear()
+
+
+class SyncHandler:
+    """Stereo pairing of one sequence; an ``end`` row flushes and reports the counters."""
+
+    output = "seq long, kind string, ts_ns long, right_ts_ns long, status string, counts map<string,long>"
+
+    def __init__(self, tolerance_ns: int = 0, max_queue: int = 4096) -> None:
+        self.sync = StereoSync(tolerance_ns, max_queue)
+
+    def load(self, state: dict) -> None:
+        self.sync.left, self.sync.right = deque(state["left"]), deque(state["right"])
+        self.sync.last, self.sync.sticky = state["last"], state["sticky"]
+        self.sync.counts = state["counts"]
+
+    def dump(self) -> dict:
+        sync = self.sync
+        return {
+            "left": list(sync.left),
+            "right": list(sync.right),
+            "last": sync.last,
+            "sticky": sync.sticky,
+            "counts": sync.counts,
+        }
+
+    def feed(self, row) -> list[tuple]:
+        if row.camera == "end":
+            self.sync.flush()
+            return [("report", None, None, self.sync.sticky, dict(self.sync.counts))]
+        status, pairs = self.sync.push(row.camera, int(row.ts_ns))
+        out = [("pair", left, right, status, None) for left, right in pairs]
+        if status != "ok":
+            out.append(("fault", int(row.ts_ns), None, status, None))
+        return out
+
+
+class KeyframeHandler:
+    """Keyframe decisions of one sequence; the state advances on accepted frames only."""
+
+    output = "seq long, frame long, is_keyframe boolean"
+
+    def __init__(self, rule: KeyframeRule) -> None:
+        self.rule = rule
+        self.count, self.last = 0, None
+        self.rotation = [0.0, 0.0, 0.0, 1.0]
+
+    def load(self, state: dict) -> None:
+        self.count, self.last, self.rotation = state["count"], state["last"], state["rotation"]
+
+    def dump(self) -> dict:
+        return {"count": self.count, "last": self.last, "rotation": self.rotation}
+
+    @staticmethod
+    def _unpacked(held: dict) -> dict:
+        return {
+            "ts_ns": held["ts_ns"],
+            "ids": np.asarray(held["ids"], dtype=np.int64),
+            "uv": np.asarray([held["us"], held["vs"]], dtype=float),
+            "rotation": rotation_matrix(np.asarray(held["rotation"])),
+        }
+
+    def feed(self, row) -> list[tuple]:
+        empty = row.ids is None
+        ids = np.asarray([] if empty else row.ids, dtype=np.int64)
+        order = np.argsort(ids)
+        held = {
+            "ts_ns": int(row.ts_ns),
+            "ids": ids[order].tolist(),
+            "us": np.asarray([] if empty else row.us, dtype=float)[order].tolist(),
+            "vs": np.asarray([] if empty else row.vs, dtype=float)[order].tolist(),
+            "rotation": self.rotation,
+        }
+        last = self._unpacked(self.last) if self.last else None
+        chosen = self.rule.wants(self._unpacked(held), self.count, last)
+        if row.accepted:
+            if chosen:
+                self.count, self.last = min(self.count + 1, 2), held
+            self.rotation = [float(v) for v in row.own_rotation]
+        return [(int(row.frame), chosen)]
+
+
+class AgeHandler:
+    """Ages of marked ids of one sequence while they stay present in following frames."""
+
+    output = "seq long, id long, frame long, age long, dropped boolean"
+
+    def __init__(self, max_age: int) -> None:
+        self.max_age = max_age
+        self.frame = None
+        self.ages: dict[int, int] = {}
+
+    def load(self, state: dict) -> None:
+        self.frame = state["frame"]
+        self.ages = {int(k): v for k, v in state["ages"].items()}
+
+    def dump(self) -> dict:
+        return {"frame": self.frame, "ages": self.ages}
+
+    def feed(self, row) -> list[tuple]:
+        present = set() if row.ids is None else {int(i) for i in row.ids}
+        marks = set() if row.marks is None else {int(i) for i in row.marks}
+        if self.frame is None or row.frame != self.frame + 1:
+            self.ages = {}
+        self.frame = int(row.frame)
+        # A dropped id keeps age zero until it has been absent, so it is not marked anew.
+        self.ages = {i: a + (a > 0) for i, a in self.ages.items() if i in present}
+        for i in marks & present:
+            self.ages.setdefault(i, 1)
+        out = []
+        for i, age in sorted(self.ages.items()):
+            if age > 0:
+                dropped = age >= self.max_age
+                out.append((i, self.frame, age, dropped))
+                if dropped:
+                    self.ages[i] = 0
+        return out
+
+
+class WindowHandler:
+    """Window membership of one sequence after each accepted frame."""
+
+    output = "seq long, segment_id long, frame long, member_frame long, is_keyframe boolean"
+
+    def __init__(self, max_frames: int = 10, max_keyframes: int = 7) -> None:
+        self.max_frames, self.max_keyframes = max_frames, max_keyframes
+        self.segment, self.window = None, []
+
+    def load(self, state: dict) -> None:
+        self.segment, self.window = state["segment"], state["window"]
+
+    def dump(self) -> dict:
+        return {"segment": self.segment, "window": self.window}
+
+    def _evict(self, index: int | None) -> None:
+        self.window.pop(0 if index is None else index)
+
+    def feed(self, row) -> list[tuple]:
+        if row.segment_id != self.segment:
+            self.segment, self.window = int(row.segment_id), []
+        self.window.append([int(row.frame), bool(row.is_keyframe)])
+        keys = [i for i, (_, key) in enumerate(self.window) if key]
+        if len(keys) > self.max_keyframes:
+            self._evict(keys[0])
+        if len(self.window) > self.max_frames:
+            others = [i for i, (_, key) in enumerate(self.window[:-1]) if not key]
+            self._evict(others[0] if others else None)
+        return [(self.segment, int(row.frame), f, k) for f, k in self.window]
+
+
+class SkipDropHandler:
+    """Drop, skip and deferred flush of culled ids of one sequence."""
+
+    output = "seq long, frame long, id long, action string"
+
+    def __init__(self, min_culled: int = 4, defer_topk: int = 0) -> None:
+        self.min_culled, self.defer_topk = min_culled, defer_topk
+        self.pending: list[int] = []
+
+    def load(self, state: dict) -> None:
+        self.pending = state["pending"]
+
+    def dump(self) -> dict:
+        return {"pending": self.pending}
+
+    def feed(self, row) -> list[tuple]:
+        frame = int(row.frame)
+        out = [(frame, i, "flush") for i in self.pending]
+        self.pending = []
+        culled = [] if row.culled is None else sorted(int(i) for i in row.culled)
+        if self.min_culled > 0 and len(culled) >= self.min_culled:
+            self.pending = culled[: max(self.defer_topk, 0)]
+            out += [(frame, i, "defer") for i in self.pending]
+            out += [(frame, i, "skip") for i in culled[len(self.pending) :]]
+        else:
+            out += [(frame, i, "drop") for i in culled]
+        return out
+
+
+class SeedHandler:
+    """Latest stereo observation per id of one sequence until enough ids are known."""
+
+    output = "seq long, seed_frame long, id long, frame long, u double"
+
+    def __init__(self, min_ids: int = 10) -> None:
+        self.min_ids = min_ids
+        self.seeded, self.held = False, {}
+
+    def load(self, state: dict) -> None:
+        self.seeded = state["seeded"]
+        self.held = {int(k): v for k, v in state["held"].items()}
+
+    def dump(self) -> dict:
+        return {"seeded": self.seeded, "held": self.held}
+
+    def feed(self, row) -> list[tuple]:
+        if self.seeded or row.ids is None:
+            return []
+        for i, u, disparity in zip(row.ids, row.us, row.disparities, strict=True):
+            if disparity > 0:
+                self.held[int(i)] = [int(row.frame), float(u)]
+        if len(self.held) < self.min_ids:
+            return []
+        out = [(int(row.frame), i, f, u) for i, (f, u) in sorted(self.held.items())]
+        self.seeded, self.held = True, {}
+        return out
