@@ -140,7 +140,7 @@ def project_equidistant(lens: Lens, point: Vec) -> Column:
 _UNDISTORT_TYPE = "x double, y double, z double, error_code string"
 # Iteration bound, accepted re-projection error in pixels, and the
 # smallest usable derivative.
-_MAX_ITERATIONS, _ACCEPT_PX, _SINGULAR = 50, 1e-8, 1e-12
+_MAX_ITERATIONS, _ACCEPT_PX, _SINGULAR = 50, 1e-8, 1e-14
 
 
 def _bend(model: str, k: np.ndarray, x: np.ndarray, y: np.ndarray):
