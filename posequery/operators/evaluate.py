@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from posequery.functions import geometry as g
 from posequery.functions.stats import moments
-from posequery.operators.timejoin import rpe_partner
+from posequery.operators.timejoin import (
+    MINUTE_NS,
+    RPE_DELTA_NS,
+    RPE_TOLERANCE_NS,
+    rpe_partner,
+)
 from posequery.plans.quantiles import exact_quantiles
 from posequery.session import cut
 
@@ -203,7 +208,10 @@ def rpe_errors(partners: DataFrame) -> DataFrame:
 
 
 def rpe_report(
-    pairs: DataFrame, delta_ns: int, tolerance_ns: int, width_ns: int
+    pairs: DataFrame,
+    delta_ns: int = RPE_DELTA_NS,
+    tolerance_ns: int = RPE_TOLERANCE_NS,
+    width_ns: int = MINUTE_NS,
 ) -> DataFrame:
     """Relative pose error per run and sequence; pairs plus dropped rows equal matches."""
     keys = ["run", "seq"]

@@ -14,7 +14,10 @@ from posequery.plans.ordered import Scan, ordered_scan
 
 # Default chunk of a time-ordered scan.  At 200 Hz it holds 12,000 rows.
 MINUTE_NS = 60_000_000_000
+# Default association bound, relative-error interval and its tolerance.
 MAX_DT_NS = 2_500_000
+RPE_DELTA_NS = 1_000_000_000
+RPE_TOLERANCE_NS = 25_000_000
 
 
 def associate(
@@ -79,7 +82,10 @@ def association_report(
 
 
 def rpe_partner(
-    pairs: DataFrame, delta_ns: int, tolerance_ns: int, width_ns: int = MINUTE_NS
+    pairs: DataFrame,
+    delta_ns: int = RPE_DELTA_NS,
+    tolerance_ns: int = RPE_TOLERANCE_NS,
+    width_ns: int = MINUTE_NS,
 ) -> DataFrame:
     """Matched rows with ``partner``: the row nearest ``ts_ns + delta_ns``, or null.
 

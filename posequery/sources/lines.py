@@ -31,6 +31,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool =
     placed = raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_size").alias("_size"),
         F.monotonically_increasing_id().alias("_order"),
         F.regexp_replace("value", "\r$", "").alias("value"),
         *extra,
@@ -41,8 +42,11 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool =
         .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # Smaller files are never split; filtering on the size skips them without reading.
+    unsplit = spark.conf.get("spark.sql.files.openCostInBytes").lower().removesuffix("b")
     starts = (
-        placed.groupBy("file", "_block")
+        placed.where(F.col("_size") > int(unsplit))
+        .groupBy("file", "_block")
         .agg(F.count(F.lit(1)).alias("_lines"))
         .select(
             "file",
@@ -52,8 +56,13 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool =
     )
     return (
         placed.withColumn("_nth", F.row_number().over(inside))
-        .join(starts, ["file", "_block"])
-        .select("file", (F.col("_before") + F.col("_nth")).alias("line"), "value", *extra)
+        .join(starts, ["file", "_block"], "left")
+        .select(
+            "file",
+            (F.coalesce("_before", F.lit(0).cast("long")) + F.col("_nth")).alias("line"),
+            "value",
+            *extra,
+        )
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from posequery.functions.text import is_basename
 from posequery.operators.validate import check_order
+from posequery.session import cut
 from posequery.sources.lines import (
     Parsed,
     first_violation,
@@ -42,9 +43,9 @@ def _parse(lines: DataFrame, header: str, checks: list[Column], width: int, colu
             *checks,
         ),
     )
-    rows = judged.where(F.col("violation").isNull()).select(
-        "file", "line", *extra, "ts_ns", *columns
-    )
+    # The text is parsed once; order checks and readers share the typed table.
+    judged = cut(judged.select("file", "line", *extra, "ts_ns", *columns, "violation"), "parsed")
+    rows = judged.where(F.col("violation").isNull()).drop("violation")
     bad = judged.where(F.col("violation").isNotNull()).select(
         "file", "line", "violation.code", "violation.field"
     )

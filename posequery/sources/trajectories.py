@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from posequery.functions.geometry import POSE_COLUMNS, Quat, quat_normalize
 from posequery.functions.text import ns_to_seconds_text, seconds_text_to_ns
 from posequery.operators.validate import check_order, check_quaternion
+from posequery.session import cut
 from posequery.sources.lines import (
     Parsed,
     first_violation,
@@ -47,6 +48,8 @@ def _with_order(good: DataFrame, bad: DataFrame, extra: list[str]) -> Parsed:
 
 
 def _split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid rows and violations; the text is parsed once and kept as a typed table."""
+    judged = cut(judged.drop("fields"), "parsed")
     bad = judged.where(F.col("violation").isNotNull()).select(
         "file", "line", "violation.code", "violation.field"
     )

@@ -13,7 +13,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -154,11 +154,23 @@ def stream_associate(
         micros = F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000)))
         return df.withColumn(name, micros).withWatermark(name, lateness)
 
-    left = timed(est.select("run", "seq", "ts_ns"), "est_time").alias("e")
-    right = timed(gt.select("seq", "ts_ns"), "gt_time").alias("g")
+    # A bucket of twice the tolerance in the key keeps the state of a join key to a few
+    # rows however dense or long a sequence is; estimates look into the bucket on either side.
+    width = 2 * max_dt_ns + 1
+
+    def bucket(stamp: Column) -> Column:
+        return stamp - F.pmod(stamp, F.lit(width))
+
+    stamp = F.col("ts_ns")
+    near_buckets = F.array_distinct(F.array(bucket(stamp - max_dt_ns), bucket(stamp + max_dt_ns)))
+    left = timed(
+        est.select("run", "seq", "ts_ns", F.explode(near_buckets).alias("bucket")), "est_time"
+    ).alias("e")
+    right = timed(gt.select("seq", "ts_ns", bucket(stamp).alias("bucket")), "gt_time").alias("g")
     slack = F.make_dt_interval(secs=F.lit((max_dt_ns // 1000 + 2) / 1e6))
     close = (
         (F.col("e.seq") == F.col("g.seq"))
+        & (F.col("e.bucket") == F.col("g.bucket"))
         & (F.col("g.gt_time") >= F.col("e.est_time") - slack)
         & (F.col("g.gt_time") <= F.col("e.est_time") + slack)
         & (F.abs(F.col("e.ts_ns") - F.col("g.ts_ns")) <= max_dt_ns)
