@@ -6,17 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def percentile_linear(value: Column, q: float) -> Column:
-    """Linear percentile at ``q (n - 1)``, zero when empty.
+def percentile_of_sorted(values: Column, q: float) -> Column:
+    """Linear percentile at ``q (n - 1)`` of a sorted array, zero when empty.
 
-    For groups of bounded size; see ``plans.quantiles`` for unbounded ones.
+    For groups of bounded size; see ``plans.quantiles`` for others.
     """
-    return F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0))
-
-
-def upper_median(name: str) -> Column:
-    """Element ``n // 2`` of the sorted values: the upper of the two middles."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {name} DESC)")
+    position = F.lit(q) * (F.size(values) - 1)
+    below = F.get(values, F.floor(position).cast("int"))
+    above = F.get(values, F.ceil(position).cast("int"))
+    weight = position - F.floor(position)
+    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(
+        below * (1.0 - weight) + above * weight
+    )
+
+
+def upper_median_of_sorted(values: Column) -> Column:
+    """Element ``n // 2`` of a sorted array: the upper of the two middles."""
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
 
 
 def moments(value: Column) -> dict[str, Column]:

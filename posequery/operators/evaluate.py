@@ -178,7 +178,7 @@ def ate_report(pairs: DataFrame, keys: Sequence[str] = ("run", "seq")) -> DataFr
 
     ``pairs`` is read several times; pass it through ``session.cut`` when costly.
     """
-    transforms = align_se3(pairs, keys)
+    transforms = cut(align_se3(pairs, keys), "transforms")
     errors = cut(
         ate_errors(pairs, transforms, keys).select(*keys, "err_trans_m", "err_rot_deg"), "errors"
     )

@@ -13,6 +13,7 @@ from posequery.functions.text import fnv1a64_hex
 from posequery.operators.tracks import FRAMES
 from posequery.plans.ordered import Scan, ordered_scan
 from posequery.plans.quantiles import exact_quantiles
+from posequery.plans.spread import join_per_key
 
 RUN = ["run", "seq"]
 # Rejection messages that count as failed seeding.
@@ -355,8 +356,7 @@ def histogram(
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     index = F.least(F.floor((F.col(value) - F.col("lo")) / width), F.col("bins") - 1)
     return (
-        rows.select(*keys, value)
-        .join(limits, list(keys))
+        join_per_key(rows.select(*keys, value), limits, keys)
         .groupBy(*keys, "bins", "lo", "hi", index.cast("long").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(

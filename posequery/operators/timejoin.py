@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from posequery.plans.nearest import nearest_in_self, nearest_within
 from posequery.plans.ordered import Scan, ordered_scan
+from posequery.plans.spread import join_per_key
 
 # Default chunk of a time-ordered scan.  At 200 Hz it holds 12,000 rows.
 MINUTE_NS = 60_000_000_000
@@ -56,8 +57,7 @@ def association_report(
     unmatched = F.col("gt").isNull()
     outside = (F.col("ts_ns") < F.col("gt_first_ns")) | (F.col("ts_ns") > F.col("gt_last_ns"))
     counted = (
-        associated.select("run", "seq", "ts_ns", "gt")
-        .join(spans, "seq", "left")
+        join_per_key(associated.select("run", "seq", "ts_ns", "gt"), spans, ["seq"], "left")
         .groupBy("run", "seq")
         .agg(
             F.count(F.lit(1)).alias("est_total"),

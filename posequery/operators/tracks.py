@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posequery.functions.camera import Rig, stereo_depth
-from posequery.functions.stats import percentile_linear, upper_median
+from posequery.functions.stats import percentile_of_sorted, upper_median_of_sorted
 from posequery.plans.ordered import Scan, ordered_scan
 from posequery.plans.quantiles import exact_quantiles
+from posequery.plans.spread import join_per_key
 
 # Default chunk of a frame-ordered scan.
 FRAMES = 4096
@@ -78,14 +79,23 @@ def frame_stats(obs: DataFrame) -> DataFrame:
     are taken within one group.
     """
     counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
-    return obs.groupBy("seq", "frame").agg(
+    grouped = obs.groupBy("seq", "frame").agg(
         F.count(F.lit(1)).alias("tracks"),
         *counts,
-        percentile_linear(F.col("epipolar"), 0.5).alias("epipolar_median_px"),
-        percentile_linear(F.col("epipolar"), 0.95).alias("epipolar_p95_px"),
-        upper_median("length").alias("track_length_median"),
+        F.sort_array(F.collect_list("epipolar")).alias("_epipolar"),
+        F.sort_array(F.collect_list("length")).alias("_length"),
         F.max("length").alias("track_length_max"),
     )
+    return grouped.select(
+        "seq",
+        "frame",
+        "tracks",
+        *STATUSES,
+        percentile_of_sorted(F.col("_epipolar"), 0.5).alias("epipolar_median_px"),
+        percentile_of_sorted(F.col("_epipolar"), 0.95).alias("epipolar_p95_px"),
+        upper_median_of_sorted(F.col("_length")).alias("track_length_median"),
+        "track_length_max",
+    )
 
 
 def frontend_totals(frames: DataFrame) -> DataFrame:
@@ -169,15 +179,15 @@ def median_flow(obs: DataFrame, min_tracks: int = 5, width: int = FRAMES) -> Dat
     enough = F.col("survivors") >= min_tracks
     per_frame = moved.groupBy("seq", "frame").agg(
         F.count(F.lit(1)).alias("survivors"),
-        upper_median("du").alias("flow_u"),
-        upper_median("dv").alias("flow_v"),
+        F.sort_array(F.collect_list("du")).alias("_du"),
+        F.sort_array(F.collect_list("dv")).alias("_dv"),
     )
     return per_frame.select(
         "seq",
         "frame",
         "survivors",
-        F.when(enough, F.col("flow_u")).alias("flow_u"),
-        F.when(enough, F.col("flow_v")).alias("flow_v"),
+        F.when(enough, upper_median_of_sorted(F.col("_du"))).alias("flow_u"),
+        F.when(enough, upper_median_of_sorted(F.col("_dv"))).alias("flow_v"),
     )
 
 
@@ -386,7 +396,7 @@ def accumulate_seed(
     )
     latest = F.max_by(F.struct("frame", "u", "v", "disparity"), "frame").alias("latest")
     return (
-        stereo.join(seeded, "seq")
+        join_per_key(stereo, seeded, ["seq"])
         .where(F.col("frame") <= F.col("seed_frame"))
         .groupBy("seq", "seed_frame", "id")
         .agg(latest)

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posequery.plans.spread import join_per_key
+
 _PER_E_FOLD = 256
 _OFFSET = 1 << 20
 _FINE = 1 << 16
@@ -97,7 +99,7 @@ def exact_quantiles(
     )
     target0 = _holding(level0, keys, ["_b0"])
 
-    inside0 = rows.join(target0, [*keys, "_b0"]).withColumn(
+    inside0 = join_per_key(rows, target0, [*keys, "_b0"]).withColumn(
         "_b1", _fine(F.col("_v"), F.col("_b0"))
     )
     level1 = inside0.groupBy(*keys, "_b0", "_b1").agg(
@@ -108,8 +110,10 @@ def exact_quantiles(
     )
     target1 = _holding(level1, [*keys, "_b0"], ["_b1"])
 
-    inside1 = rows.withColumn("_b1", _fine(F.col("_v"), F.col("_b0"))).join(
-        target1, [*keys, "_b0", "_b1"]
+    inside1 = join_per_key(
+        rows.withColumn("_b1", _fine(F.col("_v"), F.col("_b0"))),
+        target1,
+        [*keys, "_b0", "_b1"],
     )
     level2 = inside1.groupBy(*keys, "_b0", "_b1", "_v").agg(
         F.count(F.lit(1)).alias("_count"),

@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 from posequery.functions.text import g6, run_key
 from posequery.session import cut
 
-# Leaves are read as text, so that a value of the wrong type becomes null on its own.
-_SUMMARY_TYPE = (
-    "status string, sequence string, config_label string, config_hash string,"
-    " git_commit_short string, git_dirty string,"
-    " code struct<git_commit_short:string,git_dirty:string>,"
-    " trajectory struct<completion_rate:string,coverage_rate:string,segments:string,"
-    "image_frames:string,ok:string,rejected:string,failed:string>,"
-    " ate struct<trans:struct<rmse:string>>, rpe struct<trans:struct<rmse:string>>,"
-    " robustness struct<reanchors:string>, timing struct<rtf:string,wall_s:string>,"
-    " _corrupt_record string"
-)
 _META_TYPE = (
     "schema_version string, sequence string, sequence_root string, created_utc string,"
     " code struct<git_commit_short:string,git_dirty:string>, config map<string,string>,"
@@ -46,10 +35,9 @@ _NUMBERS = ["ate_trans_rmse", "rpe_trans_rmse", "completion_rate", "coverage_rat
 
 def _whole_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
 
@@ -63,38 +51,31 @@ def parse_summaries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``files`` holds ``path, value``.  Missing parts fall back, bad numbers are null.
     """
-    parsed = files.withColumn(
-        "s",
-        F.from_json(
-            "value",
-            _SUMMARY_TYPE,
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
-        ),
-    )
-    is_object = F.ltrim("value").startswith("{")
-    readable = is_object & F.col("s").isNotNull() & F.col("s._corrupt_record").isNull()
+    parsed = files.withColumn("s", F.try_parse_json("value"))
+    readable = F.coalesce(F.schema_of_variant("s").startswith("OBJECT"), F.lit(False))
     skipped = parsed.where(~readable).select("path")
-    dirty = F.coalesce("s.code.git_dirty", "s.git_dirty", F.lit("false"))
-    commit = F.coalesce(
-        F.when(F.length("s.code.git_commit_short") > 0, F.col("s.code.git_commit_short")),
-        "s.git_commit_short",
-    )
+
+    def text(path: str) -> Column:
+        return F.try_variant_get("s", f"$.{path}", "string")
 
     def number(path: str) -> Column:
-        return F.col(f"s.{path}").try_cast("double")
+        return F.try_variant_get("s", f"$.{path}", "double")
 
     def whole(path: str) -> Column:
-        return F.col(f"s.{path}").try_cast("double").cast("long")
+        return F.try_variant_get("s", f"$.{path}", "long")
 
-    label = _or_default(F.col("s.config_label"), "default")
+    dirty = F.coalesce(text("code.git_dirty"), text("git_dirty"), F.lit("false"))
+    in_code = text("code.git_commit_short")
+    commit = F.coalesce(F.when(F.length(in_code) > 0, in_code), text("git_commit_short"))
+    label = _or_default(text("config_label"), "default")
     rows = parsed.where(readable).select(
-        _or_default(F.col("s.sequence"), "").alias("sequence"),
+        _or_default(text("sequence"), "").alias("sequence"),
         _or_default(commit, "unknown").alias("commit"),
         (dirty == "true").alias("dirty"),
         label.alias("config_label"),
-        _or_default(F.col("s.config_hash"), "").alias("config_hash"),
-        F.concat(label, F.lit("_"), _or_default(F.col("s.config_hash"), "")).alias("config"),
-        _or_default(F.col("s.status"), "").alias("status"),
+        _or_default(text("config_hash"), "").alias("config_hash"),
+        F.concat(label, F.lit("_"), _or_default(text("config_hash"), "")).alias("config"),
+        _or_default(text("status"), "").alias("status"),
         number("ate.trans.rmse").alias("ate_trans_rmse"),
         number("rpe.trans.rmse").alias("rpe_trans_rmse"),
         number("trajectory.completion_rate").alias("completion_rate"),
