@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import query, r6, s6
-from posequery.fixtures import DAY_NS, view, with_views
+from posequery.fixtures import view, with_views
 from posequery.operators import evaluate as ev
 from posequery.operators import timejoin as tj
 from posequery.session import cut
 
 MAX_DT = tj.MAX_DT_NS
+# Events lie minutes apart here; ten minutes keep chunks small at any size of the tables.
+CHUNK_NS = 600_000_000_000
 DELTA_NS, TOLERANCE_NS = 6 * 3_600_000_000_000, 30 * 60_000_000_000
 
 # Brute force: every ground-truth row within the bound, best one per estimate row.
@@ -59,7 +61,7 @@ def stats_sql(value: str, prefix: str) -> str:
 
 
 def associated(spark: SparkSession, sf: str, est: str = "est") -> DataFrame:
-    return tj.associate(view(spark, sf, est).drop("event_id"), view(spark, sf, "gt").drop("event_id"), width_ns=DAY_NS)
+    return tj.associate(view(spark, sf, est).drop("event_id"), view(spark, sf, "gt").drop("event_id"), width_ns=CHUNK_NS)
 
 
 def pairs(spark: SparkSession, sf: str, est: str = "est") -> DataFrame:
@@ -122,7 +124,7 @@ _RPE = (
 )
 def rpe_partner(spark, sf):
     matched = tj.matched_pairs(associated(spark, sf))
-    return tj.rpe_partner(matched, DELTA_NS, TOLERANCE_NS, DAY_NS).select(
+    return tj.rpe_partner(matched, DELTA_NS, TOLERANCE_NS, 3 * TOLERANCE_NS).select(
         "run", "seq", "ts_ns", F.col("partner.ts_ns").alias("partner_ts_ns")
     )
 
@@ -138,7 +140,7 @@ def rpe_partner(spark, sf):
     f" {stats_sql('er', 'rot_')} FROM rpe GROUP BY run, seq) s USING (run, seq)",
 )
 def rpe(spark, sf):
-    report = ev.rpe_report(pairs(spark, sf), DELTA_NS, TOLERANCE_NS, DAY_NS)
+    report = ev.rpe_report(pairs(spark, sf), DELTA_NS, TOLERANCE_NS, 3 * TOLERANCE_NS)
     return report.select(
         "run",
         "seq",
@@ -168,7 +170,7 @@ _SOFT = (
 
 @query("c4_pair_soft", with_views("left", "right") + _SOFT)
 def pair_soft(spark, sf):
-    return tj.pair_soft(view(spark, sf, "left"), view(spark, sf, "right"), SOFT_NS, DAY_NS)
+    return tj.pair_soft(view(spark, sf, "left"), view(spark, sf, "right"), SOFT_NS, CHUNK_NS)
 
 
 @query(
@@ -194,7 +196,7 @@ def intersection_count(spark, sf):
 )
 def sync_report(spark, sf):
     left, right = view(spark, sf, "left"), view(spark, sf, "right")
-    return tj.sync_report(left, right, tj.pair_soft(left, right, SOFT_NS, DAY_NS))
+    return tj.sync_report(left, right, tj.pair_soft(left, right, SOFT_NS, CHUNK_NS))
 
 
 @query(
@@ -207,7 +209,7 @@ def sync_report(spark, sf):
     " GROUP BY seq) f ON q.seq = f.seq",
 )
 def pose_at(spark, sf):
-    found = tj.pose_at(view(spark, sf, "images"), view(spark, sf, "gt"), DAY_NS)
+    found = tj.pose_at(view(spark, sf, "images"), view(spark, sf, "gt"), CHUNK_NS)
     return found.select(
         "seq", "ts_ns", F.col("pose.ts_ns").alias("pose_ts_ns"), F.col("pose.event_id").alias("event_id")
     )
@@ -237,7 +239,7 @@ _INTERVALS = (
 
 
 def _segments(spark, sf):
-    return tj.imu_segments(view(spark, sf, "images"), view(spark, sf, "imu"), DAY_NS)
+    return tj.imu_segments(view(spark, sf, "images"), view(spark, sf, "imu"), CHUNK_NS)
 
 
 @query(
@@ -469,7 +471,7 @@ def merge_order(spark, sf):
     from posequery.operators.ledger import merge_replay_order
 
     events = streams(spark, sf).select("seq", "ts_ns", "kind", "rank")
-    return merge_replay_order(events, DAY_NS).select("seq", "ts_ns", "kind", "event_index")
+    return merge_replay_order(events, CHUNK_NS).select("seq", "ts_ns", "kind", "event_index")
 
 
 @query(

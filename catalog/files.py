@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, r6, s6
 from catalog.alignment import ATE_CTES, pairs
-from catalog.runs import _LEDGER, _STATUS, _summaries, config, ledger
+from catalog.runs import _LEDGER, _summaries, config
 from posequery.fixtures import table, view, with_views
 from posequery.functions import geometry as g
 from posequery.functions import text as tx

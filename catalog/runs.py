@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query, r6, s6
-from catalog.alignment import ATE_CTES, associated, pairs
-from posequery.fixtures import DAY_NS, table, view, with_views
+from catalog.alignment import ATE_CTES, CHUNK_NS, pairs
+from posequery.fixtures import table, view, with_views
 from posequery.functions import text as tx
 from posequery.operators import evaluate as ev
 from posequery.operators import ledger as lg
-from posequery.operators import timejoin as tj
 from posequery.sources import runs as rn
 
 _STATUS = (
@@ -332,7 +331,7 @@ NOMINAL_NS, LONG_NS = 600_000_000_000, 5_400_000_000_000
     " AS missing FROM numbered GROUP BY seq, island",
 )
 def stream_gaps(spark, sf):
-    return lg.stream_gaps(view(spark, sf, "left"), ["seq"], NOMINAL_NS, LONG_NS, DAY_NS)
+    return lg.stream_gaps(view(spark, sf, "left"), ["seq"], NOMINAL_NS, LONG_NS, CHUNK_NS)
 
 
 @query(

@@ -6,12 +6,13 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posequery.plans.nearest import nearest_in_self, nearest_within
-from posequery.plans.ordered import Scan, ordered_scan
+from posequery.plans.ordered import Scan, chunk_start, ordered_scan
 from posequery.plans.spread import join_per_key
+from posequery.session import cut
 
 # Default chunk of a time-ordered scan.  At 200 Hz it holds 12,000 rows.
 MINUTE_NS = 60_000_000_000
@@ -185,19 +186,32 @@ def pair_soft(
     merged = left.select("seq", "ts_ns", F.lit(0).alias("side")).unionByName(
         right.select("seq", "ts_ns", F.lit(1).alias("side"))
     )
-    order = ["ts_ns", "side"]
-    gaps = ordered_scan(merged, ["seq"], order, width_ns, before=Scan("lag", F.col("ts_ns")))
-    starts = F.when(
-        F.col("before").isNull() | (F.col("ts_ns") - F.col("before") > tolerance_ns),
-        F.col("ts_ns"),
+    if tolerance_ns >= width_ns:
+        raise ValueError("chunk width must exceed the tolerance")
+    # A stamp opens an island when none lies within the tolerance before it.  Copies of the
+    # stamps near the end of a chunk let the next chunk decide alone.
+    ahead = F.col("ts_ns") + F.lit(tolerance_ns)
+    own = chunk_start(F.col("ts_ns"), width_ns)
+    spread = merged.select(
+        "*",
+        own.alias("own"),
+        F.explode(F.array_distinct(F.array(own, chunk_start(ahead, width_ns)))).alias("chunk"),
+    )
+    before = F.lag("ts_ns").over(Window.partitionBy("seq", "chunk").orderBy("ts_ns", "side"))
+    opened = F.when(
+        before.isNull() | (F.col("ts_ns") - before > tolerance_ns), F.col("ts_ns")
+    )
+    marked = spread.withColumn("opened", opened).where(F.col("own") == F.col("chunk"))
+    islands = cut(
+        ordered_scan(
+            marked.select("seq", "ts_ns", "side", "opened"),
+            ["seq"],
+            ["ts_ns", "side"],
+            width_ns,
+            island=Scan("last", F.col("opened")),
+        ).drop("opened"),
+        "islands",
     )
-    islands = ordered_scan(
-        gaps.withColumn("start", starts).drop("before"),
-        ["seq"],
-        order,
-        width_ns,
-        island=Scan("last", F.col("start")),
-    ).drop("start")
     is_left = F.col("side") == 0
     shape = islands.groupBy("seq", "island").agg(
         F.count_if(is_left).alias("n_left"),
