@@ -188,9 +188,8 @@ def ate_report(pairs: DataFrame, keys: Sequence[str] = ("run", "seq")) -> DataFr
 
 
 def rpe_errors(partners: DataFrame) -> DataFrame:
-    """Relative pose error of rows that have a partner."""
-    found = partners.where(F.col("partner").isNotNull())
-    motions = found.select(
+    """Relative pose error of each row; null where it has no partner."""
+    motions = partners.select(
         "run",
         "seq",
         "ts_ns",
@@ -216,12 +215,12 @@ def rpe_report(
     """Relative pose error per run and sequence; pairs plus dropped rows equal matches."""
     keys = ["run", "seq"]
     partners = rpe_partner(pairs, delta_ns, tolerance_ns, width_ns)
-    counts = partners.groupBy(*keys).agg(
-        F.count("partner").alias("pair_count"),
-        F.count_if(F.col("partner").isNull()).alias("dropped_no_partner"),
-    )
     errors = cut(rpe_errors(partners).select(*keys, "err_trans_m", "err_rot_deg"), "errors")
-    stats = _two_stats(errors, keys).drop("n")
+    found = F.col("err_trans_m").isNotNull()
+    counts = errors.groupBy(*keys).agg(
+        F.count_if(found).alias("pair_count"), F.count_if(~found).alias("dropped_no_partner")
+    )
+    stats = _two_stats(errors.where(found), keys).drop("n")
     return counts.join(stats, keys, "left").withColumn(
         "error_code", F.when(F.col("pair_count") == 0, "no_delta_pairs")
     )

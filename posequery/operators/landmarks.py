@@ -22,14 +22,15 @@ def reproject(obs: DataFrame, frames: DataFrame, landmarks: DataFrame, rig: Rig)
     """Observation rows with the camera-frame depth and stereo residual of their landmark.
 
     ``frames`` carry body poses per ``seq, frame``; ``landmarks`` world points per
-    ``seq, id``.  Rows without pose or landmark are left out.
+    ``seq, id``.  Rows without pose or landmark are left out.  Poses are joined last, so
+    that aggregates per landmark combine before they shuffle.
     """
     poses = frames.select("seq", "frame", *g.POSE_COLUMNS)
     points = landmarks.select("seq", "id", "x", "y", "z")
     joined = (
         obs.select("seq", "frame", "id", "u", "v", "disparity")
-        .join(poses, ["seq", "frame"])
         .join(points, ["seq", "id"])
+        .join(poses, ["seq", "frame"])
     )
     camera = to_left_camera(g.pose(), g.vec(""))
     placed = joined.select(

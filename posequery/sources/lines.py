@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from posequery.plans.spread import join_per_key
+
 
 class Parsed(NamedTuple):
     """Valid rows, and one row per violation with file, line, code and field."""
@@ -110,7 +112,8 @@ def headed_columns(
     headers = lines.where(F.col("line") == 1).select(
         "file", F.split("value", pattern, -1).alias("_header")
     )
-    body = lines.where((F.col("line") > 1) & (F.length("value") > 0)).join(headers, "file")
+    content = lines.where((F.col("line") > 1) & (F.length("value") > 0))
+    body = join_per_key(content, headers, ["file"])
     fields = F.split("value", pattern, -1)
 
     def pick(name: str, kind: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,14 +151,17 @@ def write_run_ledger(runs: DataFrame, path: str, force: bool = False) -> DataFra
     Partitions of touched sequences are merged and replaced, others stay as they are.
     """
     spark = runs.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    existing = spark.read.parquet(path) if exists else None
-    known = existing if exists else spark.createDataFrame([], "run_key string")
+    try:
+        existing = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        existing = None
+    known = spark.createDataFrame([], "run_key string") if existing is None else existing
     plan = cut(plan_ledger_write(runs, known, force), "ledger-plan")
     good = plan.where(F.col("decision").isin("write", "overwrite_with_warning")).drop("decision")
     merged = good
-    if exists:
+    if existing is not None:
         kept = existing.join(good.select("sequence").distinct(), "sequence", "left_semi").join(
             good.select("run_key"), "run_key", "left_anti"
         )
