@@ -200,14 +200,17 @@ def groundtruth_csv(spark, sf):
 
 
 def _file_list(spark, sf):
-    """Data files as a listing; sensors without rows have none."""
-    cameras = view(spark, sf, "left").select("seq", F.lit("cam0").alias("sensor")).distinct()
-    right = view(spark, sf, "right").where("seq % 4 <> 0").select("seq", F.lit("cam1").alias("sensor"))
-    imu = view(spark, sf, "imu").where("seq % 7 <> 3").select("seq", F.lit("imu0").alias("sensor"))
-    return (
-        cameras.union(right.distinct())
-        .union(imu.distinct())
-        .select(F.concat_ws("/", F.lit("/data"), "seq", F.lit("mav0"), "sensor", F.lit("data.csv")).alias("path"))
+    """Member files as a listing; some recordings lack the right camera or the inertial file."""
+    sensors = F.explode(F.array(*[F.lit(s) for s in ("cam0", "cam1", "imu0")]))
+    every = view(spark, sf, "left").select("seq", sensors.alias("sensor")).distinct()
+    lacking = ((F.col("sensor") == "cam1") & (F.col("seq") % 4 == 0)) | (
+        (F.col("sensor") == "imu0") & (F.col("seq") % 7 == 3)
+    )
+    members = every.where(~lacking).withColumn("file", F.lit("data.csv")).unionByName(
+        every.withColumn("file", F.lit("sensor.yaml"))
+    )
+    return members.select(
+        F.concat_ws("/", F.lit("/data"), "seq", F.lit("mav0"), "sensor", "file").alias("path")
     )
 
 
@@ -215,13 +218,34 @@ def _file_list(spark, sf):
     "a6_missing_members",
     with_views("left")
     + "SELECT DISTINCT CAST(seq AS VARCHAR) AS seq, unnest(CASE WHEN seq % 4 = 0 AND seq % 7 = 3"
-    " THEN ['cam1', 'imu0'] WHEN seq % 4 = 0 THEN ['cam1'] WHEN seq % 7 = 3 THEN ['imu0'] ELSE [] END)"
-    " AS sensor FROM v_left",
+    " THEN ['mav0/cam1/data.csv', 'mav0/imu0/data.csv'] WHEN seq % 4 = 0 THEN ['mav0/cam1/data.csv']"
+    " WHEN seq % 7 = 3 THEN ['mav0/imu0/data.csv'] ELSE [] END) AS member FROM v_left",
 )
 def missing_members(spark, sf):
     return sn.missing_members(_file_list(spark, sf))
 
 
+@query(
+    "a6_open_sequences",
+    with_views("left", "right", "imu")
+    + "SELECT CAST(seq AS VARCHAR) AS seq, 'cam0' AS sensor, count(*) AS n FROM v_left WHERE ts_ns % 29 <> 0"
+    " GROUP BY seq UNION ALL SELECT CAST(seq AS VARCHAR), 'cam1', count(*) FROM v_right"
+    " WHERE ts_ns % 29 <> 0 AND seq % 4 <> 0 GROUP BY seq"
+    " UNION ALL SELECT CAST(seq AS VARCHAR), 'imu0', count(*) FROM v_imu GROUP BY seq",
+)
+def open_sequences(spark, sf):
+    """Rows per stream of the recordings, from the folder form of the reader."""
+    from posequery.sources.lines import read_lines
+
+    lines = read_lines(spark, _recordings(spark, sf))
+    cameras = sn.parse_camera_manifest(lines.where(F.col("sensor").startswith("cam"))).rows
+    imu = sn.parse_imu(lines.where(F.col("sensor") == "imu0")).rows
+    both = cameras.select("seq", "sensor").unionByName(imu.select("seq", "sensor"))
+    return both.groupBy(F.col("seq").cast("string").alias("seq"), "sensor").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 @query(
     "a7_write_errors_csv",
     with_views("est", "gt", **ATE_CTES)

@@ -25,7 +25,23 @@ IMU_HEADER = (
     "#timestamp [ns],w_RS_S_x [rad s^-1],w_RS_S_y [rad s^-1],w_RS_S_z [rad s^-1],"
     "a_RS_S_x [m s^-2],a_RS_S_y [m s^-2],a_RS_S_z [m s^-2]"
 )
-SENSORS = ["cam0", "cam1", "imu0"]
+LAYOUTS = {
+    "euroc": [
+        "mav0/cam0/data.csv",
+        "mav0/cam0/sensor.yaml",
+        "mav0/cam1/data.csv",
+        "mav0/cam1/sensor.yaml",
+        "mav0/imu0/data.csv",
+        "mav0/imu0/sensor.yaml",
+    ],
+    "tum_vi": [
+        "dso/camchain.yaml",
+        "dso/imu_config.yaml",
+        "mav0/cam0/data.csv",
+        "mav0/cam1/data.csv",
+        "mav0/imu0/data.csv",
+    ],
+}
 
 
 def _parse(lines: DataFrame, header: str, checks: list[Column], width: int, columns: list[Column]):
@@ -104,27 +120,32 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def missing_members(files: DataFrame, sensors: Sequence[str] = SENSORS) -> DataFrame:
-    """Sensors without a data file, per recording; ``files`` has ``path``."""
+def missing_members(files: DataFrame, members: Sequence[str] = LAYOUTS["euroc"]) -> DataFrame:
+    """Required members without a file, per recording; ``files`` has ``path``."""
+    tops = "|".join(sorted({m.split("/")[0] for m in members}))
+    place = rf"/([^/]+)/((?:{tops})/.+)$"
     found = (
         files.select(
-            F.regexp_extract("path", r"/([^/]+)/mav0/", 1).alias("seq"),
-            F.regexp_extract("path", r"/mav0/([^/]+)/data\.csv$", 1).alias("sensor"),
+            F.regexp_extract("path", place, 1).alias("seq"),
+            F.regexp_extract("path", place, 2).alias("member"),
         )
         .where(F.length("seq") > 0)
         .distinct()
     )
     expected = found.select("seq").distinct().select(
-        "seq", F.explode(F.array(*[F.lit(s) for s in sensors])).alias("sensor")
+        "seq", F.explode(F.array(*[F.lit(m) for m in members])).alias("member")
     )
-    return expected.join(found, ["seq", "sensor"], "left_anti")
+    return expected.join(found, ["seq", "member"], "left_anti")
 
 
-def open_sequences(spark: SparkSession, root: str) -> tuple[Parsed, Parsed, DataFrame]:
+def open_sequences(
+    spark: SparkSession, root: str, layout: str = "euroc"
+) -> tuple[Parsed, Parsed, DataFrame]:
     """Camera manifests, inertial streams and missing members of all recordings below ``root``."""
     cameras = read_camera_manifest(spark, f"{root}/*/mav0/cam*/data.csv")
     imu = read_imu(spark, f"{root}/*/mav0/imu*/data.csv")
-    return cameras, imu, missing_members(list_files(spark, root, "data.csv"))
+    files = list_files(spark, root, "{data.csv,*.yaml}")
+    return cameras, imu, missing_members(files, LAYOUTS[layout])
 
 
 def png_header(content: Column) -> Column:

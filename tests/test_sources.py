@@ -108,7 +108,13 @@ def test_open_sequences(spark, tmp_path):
     row = imu.rows.first()
     assert (row.ts_ns, row.wx, row.ax) == (5, 1.0, 4.0)
     assert {r.code for r in imu.violations.collect()} == {"non_finite_measurement", "invalid_column_count"}
-    assert {tuple(r) for r in missing.collect()} == {("s2", "cam1"), ("s2", "imu0")}
+    lacking = {tuple(r) for r in missing.where("member NOT LIKE '%yaml'").collect()}
+    assert lacking == {("s2", "mav0/cam1/data.csv"), ("s2", "mav0/imu0/data.csv")}
+    assert missing.where("member LIKE '%yaml'").count() == 6
+    (tmp_path / "s1" / "dso").mkdir()
+    (tmp_path / "s1" / "dso" / "camchain.yaml").write_text("cam0: {}\n")
+    other = sn.open_sequences(spark, str(tmp_path), "tum_vi")[2].where("seq = 's1'")
+    assert [r.member for r in other.collect()] == ["dso/imu_config.yaml"]
 
 
 def test_groundtruth(spark, tmp_path):
