@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import query, r6, s6
 from catalog.alignment import ATE_CTES, pairs
 from catalog.runs import _LEDGER, _summaries, config
-from posequery.fixtures import table, view, with_views
+from posequery.fixtures import ns_expression, table, view, with_views
 from posequery.functions import geometry as g
 from posequery.functions import text as tx
 from posequery.operators import evaluate as ev
@@ -496,7 +496,7 @@ _ORDER_SQL = (
 
 
 def _arrival(spark, sf):
-    ns = "(unix_micros(CAST(ts AS TIMESTAMP)) * 1000)"
+    ns = ns_expression("ts")
     columns = _ARRIVAL.format(ns=ns).removeprefix("SELECT ").removesuffix(" FROM events")
     return table(spark, sf, "events").selectExpr(
         "user_id % 10 AS seq",

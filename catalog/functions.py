@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query, r6, s6
-from posequery.fixtures import table, view, with_views
+from posequery.fixtures import ns_expression, table, view, with_views
 from posequery.functions import camera as cam
 from posequery.functions import geometry as g
 from posequery.functions import text as tx
@@ -190,7 +190,7 @@ def undistort(spark, sf):
 )
 def text(spark, sf):
     rows = table(spark, sf, "events").selectExpr(
-        "event_id", "event_type", "unix_micros(CAST(ts AS TIMESTAMP)) * 1000 AS ns"
+        "event_id", "event_type", f"{ns_expression('ts')} AS ns"
     )
     shifted = F.col("ns") - F.lit(1_704_067_200_000_000_000) * (F.col("event_id") % 3)
     written = rows.withColumn("text", tx.ns_to_seconds_text(F.abs(shifted))).withColumn(

@@ -191,8 +191,14 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
 }
 
 
+def ns_expression(column: str) -> str:
+    """Nanoseconds of a zoneless timestamp, whatever the zone of the session."""
+    moment = f"from_utc_timestamp(CAST({column} AS TIMESTAMP), current_timezone())"
+    return f"(unix_micros({moment}) * 1000)"
+
+
 def _ns_spark(match: re.Match[str]) -> str:
-    return f"(unix_micros(CAST({match[1]} AS TIMESTAMP)) * 1000)"
+    return ns_expression(match[1])
 
 
 def _ns_sql(match: re.Match[str]) -> str:
