@@ -104,3 +104,12 @@ def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
     arrays = [a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", key: str = "_row_key") -> DataFrame:
+    """``docs`` with a long ``key`` that no two rows share: the id where ids are unique longs."""
+    if dict(docs.dtypes)[id_col] == "bigint":
+        ids = docs.groupBy(id_col).count().where(f"count > 1 OR `{id_col}` IS NULL")
+        if ids.isEmpty():
+            return docs.withColumn(key, F.col(id_col))
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posequery.llm import language, packing, pieces, quality, token_counts, toxicity
+from posequery.llm import exact_dedup, language, near_dedup, packing, pieces, quality, repeats, token_counts, toxicity
 from posequery.llm.common import held_out
 
 QUERIES: dict = {}
@@ -127,3 +127,52 @@ FROM fact
 @query("op10_quality", QUALITY_SQL)
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents")).drop("covered_words", "longest_repeat")
+
+
+EXACT_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM doc WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query("op9_exact_duplicates", EXACT_SQL)
+def op9_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+#: A shingle that occurs n times is n elements, so that sets give the weighted similarity.
+NEAR_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS words
+  FROM documents),
+shingle AS (
+  SELECT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, least(1, len(words))) + 1)) AS i FROM doc)),
+element AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s) AS k FROM shingle),
+size AS (SELECT doc_id, count(*) AS n FROM element GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM element a JOIN element b ON a.s = b.s AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM common c JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE c.n >= 0.8 * (x.n + y.n - c.n)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM doc UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other),
+class AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, class_id = doc_id AS kept FROM class
+"""
+
+
+@query("op1_near_duplicates", NEAR_SQL)
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_repeats")
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
