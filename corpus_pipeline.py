@@ -3,25 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from posequery.llm import packing, quality
+from posequery.llm import exact_dedup, near_dedup, packing, quality, repeats
+from posequery.llm.common import with_row_key
 from posequery.llm.queries import vocabulary
 from posequery.session import cut
 
+_KEY = "_row_key"
 
-def kept_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep(docs)
 
 
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal ones, that with the smallest id."""
+    rows = with_row_key(docs, key=_KEY)
+    verdict = exact_dedup.exact_duplicates(rows, id_col=_KEY).where("kept").select(F.col("doc_id").alias(_KEY))
+    return rows.join(verdict, _KEY, "left_semi").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the smallest id."""
+    rows = with_row_key(docs, key=_KEY)
+    verdict = near_dedup.near_duplicates(rows, id_col=_KEY).where("kept").select(F.col("doc_id").alias(_KEY))
+    return rows.join(verdict, _KEY, "left_semi").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that occur twice; parts of cut code points go too.
+
+    ``n_chars`` follows the text.  A document that loses nothing stays as it is.
+    """
+    rows = with_row_key(docs, key=_KEY)
+    spans = repeats.spans_per_row(repeats.repeated_spans(rows.select(F.col(_KEY).alias("_key"), "text")))
+    joined = rows.join(spans.withColumnRenamed("_key", _KEY), _KEY, "left")
+    texts = repeats.cut_texts(joined).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+    return texts.select(docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of 2048 tokens, with their ids."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", kept_by_quality), ("packing", packed)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact duplicates", exact_duplicates),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("packing", packed),
+]
 
-#: Packing depends on the split of files into tasks and near duplicates on sampling; no SQL.
+#: Tokens and the placing of pieces have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

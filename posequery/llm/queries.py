@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posequery.llm import exact_dedup, language, near_dedup, packing, pieces, quality, repeats, token_counts, toxicity
+from posequery.llm import chat, exact_dedup, language, near_dedup, packing, pieces, quality, repeats, token_counts, toxicity
 from posequery.llm.common import held_out
 
 QUERIES: dict = {}
@@ -176,3 +176,37 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
     rows = repeats.without_repeats(table(spark, folder, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op4_chat")
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_CONTROL).alias("text"),
+    )
+    windows = chat.chat_windows(turns.unionByName(added))
+    # Texts of a window first; only these are put together per conversation.
+    read = chat.read_turns(windows).withColumn("line", F.concat("role", F.lit("\n"), "text", F.lit("\n")))
+    told = read.groupBy("conv_id", "window").agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines")
+    )
+    told = told.select("conv_id", "window", "n", F.array_join("lines.line", "").alias("said"))
+    told = told.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list(F.struct("window", "said"))).alias("parts"))
+    loss = windows.select("conv_id", "window", F.array_join(chat.learned_texts(windows), "").alias("said"), F.length("formatted").alias("chars"))
+    loss = loss.groupBy("conv_id").agg(
+        F.sum("chars").cast("long").alias("formatted_chars"), F.array_join(F.sort_array(F.collect_list(F.struct("window", "said")))["said"], "").alias("learned")
+    )
+    return told.join(loss, told["conv_id"].eqNullSafe(loss["conv_id"])).select(
+        told["conv_id"],
+        "n_turns",
+        F.sha2(F.array_join("parts.said", ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )

@@ -244,6 +244,32 @@ def united(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def _outside(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """``text`` without the bytes of ``runs``."""
+    edges = [0, *(x for run in runs for x in run), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def spans_per_row(spans: DataFrame) -> DataFrame:
+    """``_key, spans``: each row's spans in one array, as many as its text has fragments."""
+    return spans.groupBy("_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+
+def cut_texts(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` without ``spans``, and with their texts cut; broken code points are dropped."""
+    schema = rows.drop("spans").schema
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(at).to_pylist()
+            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
+            new = [_outside(t.encode(), united(s)).decode("utf-8", "ignore") if s and t else t for t, s in zip(texts, spans)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.column(at).type)).drop_columns(["spans"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row; ``kept`` is binary.
 
@@ -255,17 +281,14 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: in
     """
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(rows, size, gram, hot).groupBy("_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = spans_per_row(repeated_spans(rows, size, gram, hot))
     joined = rows.join(spans, "_key", "left").select("doc_id", "text", "spans")
 
     def make():
         def work(block: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(block)
             runs = [united(s) if s else [] for s in block.column("spans").to_pylist()]
-            kept = []
-            for text, own in zip(texts, runs):
-                edges = [0, *(x for run in own for x in run), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            kept = [_outside(text, own) for text, own in zip(texts, runs)]
             ids = block.column("doc_id")
             schema = pa.schema([("doc_id", ids.type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
             sizes = [len(t) for t in texts]
