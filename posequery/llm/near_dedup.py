@@ -9,7 +9,9 @@ signature costs about ``k log k`` darts and one look at each element.
 
 Coordinates are compared in bands.  Documents of one bucket are compared with a leader, linked
 pairs are joined to components, and only buckets that still hold several components are looked at
-again, at last pair by pair across components.  Every link is verified on whole texts.
+again, at last pair by pair across components.  There a bound keeps groups of loose copies from
+being paired out: what a text shares with any other of these texts is at most what it does not have
+alone.  Every link is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -71,15 +73,20 @@ def shingles(codes: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tupl
     return owner[starts], value[starts]
 
 
-def signatures(owner: np.ndarray, hashes: np.ndarray, texts: int, k: int) -> np.ndarray:
-    """Earliest dart of each text and coordinate, as rank and dart in one number."""
+def occurrences(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and hash of each occurrence of a shingle: one per unit of an element's weight."""
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     place = np.arange(len(owner))
     again = np.zeros(len(owner), bool)
     again[1:] = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
     nth = place - np.maximum.accumulate(np.where(again, 0, place))
-    slabs = mix(hashes + _A * (nth.astype(np.uint64) + np.uint64(1)))  # one per unit of an element's weight
+    return owner, mix(hashes + _A * (nth.astype(np.uint64) + np.uint64(1)))
+
+
+def signatures(owner: np.ndarray, hashes: np.ndarray, texts: int, k: int) -> np.ndarray:
+    """Earliest dart of each text and coordinate, as rank and dart in one number."""
+    owner, slabs = occurrences(owner, hashes)
     weight = np.bincount(owner, minlength=texts)
     out = np.full(texts * k, np.iinfo(np.uint64).max, np.uint64)
     reach = k * (log(k) + 5) / np.maximum(weight, 1)
@@ -184,6 +191,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _unshared(texts: DataFrame) -> DataFrame:
+    """``doc, alone``: how many of a text's shingles, counted by occurrence, no other one has."""
+
+    def make():
+        def work(block: pa.RecordBatch) -> pa.RecordBatch:
+            words, codes, offsets = coded(texts_of(block))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            owner, slabs = occurrences(*shingles(codes, offsets, hashes))
+            keys = np.array(block.column("_key").to_pylist(), np.int64)
+            return record(pa.schema([("doc", pa.int64()), ("shingle", pa.int64())]), [keys[owner], slabs.view(np.int64)])
+
+        return work
+
+    found = map_blocks(texts.select("_key", "text"), make, "doc long, shingle long")
+    single = found.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n = 1")
+    return single.groupBy("doc").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(
     docs: DataFrame,
     least: float = LEAST_SIMILAR,
@@ -203,12 +228,13 @@ def near_duplicates(
     rows = keyed(docs, id_col, text_col)
     sketches = cut(_sketches(rows, bands, rows_per_band), "sketches")
     # Rows with the same words are one text from here on.
-    copies = sketches.where("weight > 0").groupBy("words").agg(F.min("_key").alias("text_key"))
+    copies = cut(sketches.where("weight > 0").groupBy("words").agg(F.min("_key").alias("text_key")), "copies")
     owners = cut(sketches.select("_key", "words").join(copies, "words").select("_key", "text_key"), "owners")
     texts = sketches.join(copies.select(F.col("text_key").alias("_key")), "_key", "left_semi")
     buckets = texts.select(F.col("_key").alias("doc"), "weight", F.explode("bands").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min(F.struct("doc", "weight")).alias("leader"), F.count("*").alias("n"))
-    shared = cut(buckets.join(leaders.where("n > 1"), "bucket").drop("n"), "buckets")
+    leaders = cut(leaders.where("n > 1").drop("n"), "leaders")
+    shared = cut(buckets.join(leaders, "bucket"), "buckets")
     whole = rows.select("_key", "text").join(shared.select(F.col("doc").alias("_key")).distinct(), "_key", "left_semi")
     whole = cut(whole, "texts")
 
@@ -224,6 +250,7 @@ def near_duplicates(
     tried = cut(against("leader", shared), "tried")
     links = cut(_verified(tried, whole, least), "links")
     labels = components(links)
+    lonely = None
     for turn in (1, 2):  # another leader first, then every pair across components
         labelled = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         labelled = cut(labelled, "labelled")
@@ -233,22 +260,28 @@ def near_duplicates(
             F.min(F.struct(F.xxhash64("doc", "bucket"), "doc", "weight", "label")).alias("other"),
         ).where("low <> high")
         members = labelled.join(mixed, "bucket")
+        if lonely is None:  # all later members are among these
+            here = members.select(F.col("doc").alias("_key")).distinct()
+            lonely = cut(_unshared(whole.join(here, "_key", "left_semi")), "unshared")
+        # No partner can have what only this text has.
+        members = members.join(lonely, "doc", "left").withColumn("common", F.col("weight") - F.coalesce("alone", F.lit(0)))
+        members = members.where(F.col("common") >= least * F.col("weight"))
         if turn == 1:
             pairs = against("other", members.where("label <> other.label"))
         else:
-            left = members.select("bucket", F.col("doc").alias("a"), F.col("weight").alias("weight_a"), F.col("label").alias("label_a"))
-            right = members.select("bucket", F.col("doc").alias("b"), F.col("weight").alias("weight_b"), F.col("label").alias("label_b"))
-            near = (F.col("label_a") < F.col("label_b")) & (F.least("weight_a", "weight_b") >= least * F.greatest("weight_a", "weight_b"))
-            pairs = near_in_size(left.join(right, "bucket").where(near))
+            left = members.select("bucket", F.col("doc").alias("a"), F.col("weight").alias("weight_a"), F.col("label").alias("label_a"), F.col("common").alias("common_a"))
+            right = members.select("bucket", F.col("doc").alias("b"), F.col("weight").alias("weight_b"), F.col("label").alias("label_b"), F.col("common").alias("common_b"))
+            most = F.least("common_a", "common_b")
+            near = (F.col("label_a") < F.col("label_b")) & (most >= least * (F.col("weight_a") + F.col("weight_b") - most))
+            pairs = near_in_size(left.join(right, ["bucket"]).where(near))
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         if pairs.isEmpty():
             continue
         more = cut(_verified(pairs, whole, least), "links")
-        if more.isEmpty():
-            tried = tried.unionByName(pairs)
-            continue
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-        labels = components(links)
+        tried = tried.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     classes = owners.join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").select(
         "_key", F.coalesce("label", "text_key").alias("class_id")
     )
