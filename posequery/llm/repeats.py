@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posequery.llm.common import BLOCK_BYTES, keyed, map_blocks, record, texts_of
+from posequery.llm.common import blocks, keyed, map_blocks, record, texts_of
 from posequery.llm.near_dedup import mix
 from posequery.llm.suffix_sort import common_prefixes, sort_suffixes
 from posequery.session import cut
@@ -29,6 +29,8 @@ SIZE, GRAM = 200, 24
 HOT = 50_000
 #: Fragment bytes that are sorted at a time; a larger group of one anchor is sorted alone.
 SORT_BYTES = 1 << 20
+#: Text bytes that are hashed at a time.
+_PART = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
 
@@ -39,17 +41,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS = _powers(_STEP, 2 * BLOCK_BYTES + 1024)
-_INVERSE = _powers(pow(_STEP, -1, 2**64), 2 * BLOCK_BYTES + 1024)
+_POWERS = _powers(_STEP, _PART + 1024)
+_INVERSE = _powers(pow(_STEP, -1, 2**64), _PART + 1024)
 
 
 def _segments(keys: list[int], texts: list[bytes], size: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """Groups of ``(key, offset, bytes)`` that hold every string of ``size`` bytes once."""
     group, held = [], 0
     for key, text in zip(keys, texts):
-        for at in range(0, max(len(text) - size + 1, 0), BLOCK_BYTES // 2):
-            part = text[at : at + BLOCK_BYTES // 2 + size - 1]
-            if held + len(part) > BLOCK_BYTES and group:
+        for at in range(0, max(len(text) - size + 1, 0), _PART // 2):
+            part = text[at : at + _PART // 2 + size - 1]
+            if held + len(part) > _PART and group:
                 yield group
                 group, held = [], 0
             group.append((key, at, part))
@@ -122,15 +124,14 @@ def _fetched(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for key, text, wanted in zip(batch.column("_key").to_pylist(), texts_of(batch), batch.column("list").to_pylist()):
-                yield record(
-                    schema,
-                    [
-                        [key] * len(wanted),
-                        *([w[c] for w in wanted] for c in ("start", "many", "anchor", "copies")),
-                        [text[w["start"] : w["start"] + w["many"] + size - 1] for w in wanted],
-                    ],
-                )
+            for block in blocks(batch):
+                texts = zip(block.column("_key").to_pylist(), texts_of(block), block.column("list").to_pylist())
+                rows = [
+                    (key, w["start"], w["many"], w["anchor"], w["copies"], text[w["start"] : w["start"] + w["many"] + size - 1])
+                    for key, text, wanted in texts
+                    for w in wanted
+                ]
+                yield record(schema, [list(c) for c in zip(*rows)])
 
     joined = rows.select("_key", "text").join(lists, "_key")
     return joined.mapInArrow(run, "_key long, start long, many int, anchor long, copies long, bytes binary")
@@ -216,6 +217,7 @@ def repeated_spans(rows: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int
         F.count("*").alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), F.min("many").alias("least"), F.max("many").alias("most")
     )
     anchors = anchors.where("n > 1").select("anchor", (F.expr("low <> high OR least <> most")).alias("differ"))
+    anchors = cut(anchors, "anchors")  # a written side leaves the join free to split a hot anchor
     shared = cut(found.join(anchors, "anchor"), "fragments")
     stop = (F.col("start") + F.col("many") + (size - 1)).alias("stop")
     whole = shared.where("NOT differ").select("_key", "start", stop)
