@@ -9,9 +9,9 @@ signature costs about ``k log k`` darts and one look at each element.
 
 Coordinates are compared in bands.  Documents of one bucket are compared with a leader, linked
 pairs are joined to components, and only buckets that still hold several components are looked at
-again, at last pair by pair across components.  There a bound keeps groups of loose copies from
-being paired out: what a text shares with any other of these texts is at most what it does not have
-alone.  Every link is verified on whole texts.
+again, at last pair by pair across components.  There parities of
+hashed shingles bound from below how much two texts differ, which keeps groups of loose copies from
+being paired out.  Every link is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from posequery.session import cut
 WORDS, LEAST_SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_WORDS = [f"bits_{k}" for k in range(8)]
 #: Ends of the rank cells below 1; cells of length 1 follow.
 _CELLS = (0.0, 2.0**-5, 2.0**-4, 2.0**-3, 2.0**-2, 2.0**-1, 1.0)
 
@@ -84,6 +85,16 @@ def occurrences(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     return owner, mix(hashes + _A * (nth.astype(np.uint64) + np.uint64(1)))
 
 
+def parity_bits(owner: np.ndarray, slabs: np.ndarray, texts: int) -> list[list[int]]:
+    """512 bits per text, each the parity of the shingles that hash to it.
+
+    Two texts differ in at least as many shingles as bits.
+    """
+    size = 64 * len(_WORDS)
+    odd = np.bincount(owner * size + (slabs % np.uint64(size)).astype(np.int64), minlength=texts * size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(texts, len(_WORDS)).tolist()
+
+
 def signatures(owner: np.ndarray, hashes: np.ndarray, texts: int, k: int) -> np.ndarray:
     """Earliest dart of each text and coordinate, as rank and dart in one number."""
     owner, slabs = occurrences(owner, hashes)
@@ -137,7 +148,7 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, bands: int, height: int) -> DataFrame:
-    """``_key, weight, words, bands``: number of shingles, digest of the words, band hashes."""
+    """``_key, weight, words, bands, bits``: shingles, digest of the words, band hashes, parities."""
 
     def make():
         def work(block: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,19 +157,21 @@ def _sketches(rows: DataFrame, bands: int, height: int) -> DataFrame:
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             owner, values = shingles(codes, offsets, hashes)
             weight = np.bincount(owner, minlength=len(texts))
+            bits = parity_bits(*occurrences(owner, values), len(texts))
             values = bands_of(signatures(owner, values, len(texts), bands * height), bands, height)
             values = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(values.reshape(-1))
             )
             own = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]
             schema = pa.schema(
-                [("_key", pa.int64()), ("weight", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))]
+                [("_key", pa.int64()), ("weight", pa.int64()), ("words", pa.binary())]
+                + [("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]
             )
-            return record(schema, [block.column("_key"), weight, own, values])
+            return record(schema, [block.column("_key"), weight, own, values, bits])
 
         return work
 
-    return map_blocks(rows.select("_key", "text"), make, "_key long, weight long, words binary, bands array<long>")
+    return map_blocks(rows.select("_key", "text"), make, "_key long, weight long, words binary, bands array<long>, bits array<long>")
 
 
 def _multiset(text: str) -> Counter:
@@ -191,24 +204,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unshared(texts: DataFrame) -> DataFrame:
-    """``doc, alone``: how many of a text's shingles, counted by occurrence, no other one has."""
-
-    def make():
-        def work(block: pa.RecordBatch) -> pa.RecordBatch:
-            words, codes, offsets = coded(texts_of(block))
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            owner, slabs = occurrences(*shingles(codes, offsets, hashes))
-            keys = np.array(block.column("_key").to_pylist(), np.int64)
-            return record(pa.schema([("doc", pa.int64()), ("shingle", pa.int64())]), [keys[owner], slabs.view(np.int64)])
-
-        return work
-
-    found = map_blocks(texts.select("_key", "text"), make, "doc long, shingle long")
-    single = found.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n = 1")
-    return single.groupBy("doc").agg(F.count("*").alias("alone"))
-
-
 def near_duplicates(
     docs: DataFrame,
     least: float = LEAST_SIMILAR,
@@ -250,7 +245,7 @@ def near_duplicates(
     tried = cut(against("leader", shared), "tried")
     links = cut(_verified(tried, whole, least), "links")
     labels = components(links)
-    lonely = None
+    parities = sketches.select(F.col("_key").alias("doc"), *(F.col("bits")[k].alias(w) for k, w in enumerate(_WORDS)))
     for turn in (1, 2):  # another leader first, then every pair across components
         labelled = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         labelled = cut(labelled, "labelled")
@@ -260,20 +255,19 @@ def near_duplicates(
             F.min(F.struct(F.xxhash64("doc", "bucket"), "doc", "weight", "label")).alias("other"),
         ).where("low <> high")
         members = labelled.join(mixed, "bucket")
-        if lonely is None:  # all later members are among these
-            here = members.select(F.col("doc").alias("_key")).distinct()
-            lonely = cut(_unshared(whole.join(here, "_key", "left_semi")), "unshared")
-        # No partner can have what only this text has.
-        members = members.join(lonely, "doc", "left").withColumn("common", F.col("weight") - F.coalesce("alone", F.lit(0)))
-        members = members.where(F.col("common") >= least * F.col("weight"))
+        members = members.join(parities, "doc")
         if turn == 1:
             pairs = against("other", members.where("label <> other.label"))
         else:
-            left = members.select("bucket", F.col("doc").alias("a"), F.col("weight").alias("weight_a"), F.col("label").alias("label_a"), F.col("common").alias("common_a"))
-            right = members.select("bucket", F.col("doc").alias("b"), F.col("weight").alias("weight_b"), F.col("label").alias("label_b"), F.col("common").alias("common_b"))
-            most = F.least("common_a", "common_b")
+            sides = [
+                members.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "weight", "label", *_WORDS)))
+                for x in "ab"
+            ]
+            apart = sum(F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS)
+            most = F.floor((F.col("weight_a") + F.col("weight_b") - apart) / 2)
             near = (F.col("label_a") < F.col("label_b")) & (most >= least * (F.col("weight_a") + F.col("weight_b") - most))
-            pairs = near_in_size(left.join(right, ["bucket"]).where(near))
+            pairs = sides[0].join(sides[1], ["bucket"]).where(near)
+            pairs = near_in_size(pairs.withColumnsRenamed({"doc_a": "a", "doc_b": "b"}))
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         if pairs.isEmpty():
             continue
