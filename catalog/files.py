@@ -488,8 +488,9 @@ _ARRIVAL = (
     " FROM events"
 )
 _ORDER_SQL = (
-    "WITH arrival AS (" + _ARRIVAL.format(ns="(epoch_us(ts) * 1000)") + "), judged AS (SELECT *, lag(ts_ns)"
-    " OVER (PARTITION BY seq, sensor ORDER BY line) AS prev FROM arrival), bad AS (SELECT seq, sensor,"
+    "WITH arrival AS (" + _ARRIVAL.format(ns="(epoch_us(ts) * 1000)") + "), judged AS (SELECT *, max(ts_ns)"
+    " OVER (PARTITION BY seq, sensor ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    " AS prev FROM arrival), bad AS (SELECT seq, sensor,"
     " line, ts_ns, CASE WHEN ts_ns = prev THEN 'duplicate_timestamp' ELSE 'out_of_order_timestamp' END"
     " AS code FROM judged WHERE ts_ns <= prev) "
 )

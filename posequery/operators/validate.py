@@ -28,16 +28,19 @@ def _violation(code: Column, field: Column | None = None) -> Column:
 def check_order(
     rows: DataFrame, keys: Sequence[str], line: str = "line", width: int = LINES
 ) -> DataFrame:
-    """Rows whose stamp repeats or precedes the one on the line before."""
+    """Rows whose stamp repeats or precedes the latest one on the lines before.
+
+    The rows that are left are strictly increasing, whatever was in between.
+    """
     scanned = ordered_scan(
         rows.select(*keys, line, "ts_ns"),
         keys,
         [line],
         width,
-        prev_ns=Scan("lag", F.col("ts_ns")),
+        latest_ns=Scan("max_before", F.col("ts_ns")),
     )
-    code = F.when(F.col("ts_ns") == F.col("prev_ns"), "duplicate_timestamp").when(
-        F.col("ts_ns") < F.col("prev_ns"), "out_of_order_timestamp"
+    code = F.when(F.col("ts_ns") == F.col("latest_ns"), "duplicate_timestamp").when(
+        F.col("ts_ns") < F.col("latest_ns"), "out_of_order_timestamp"
     )
     return scanned.select(
         *keys, line, "ts_ns", code.alias("code"), F.lit("timestamp").alias("field")

@@ -24,7 +24,8 @@ class Scan:
     * ``lag``: the value on the previous row, null on the first row;
     * ``last``: the latest non-null value up to and including the row;
     * ``last_before``: the latest non-null value strictly before the row;
-    * ``sum``, ``max``: running aggregate including the row.
+    * ``sum``, ``max``: running aggregate including the row;
+    * ``max_before``: running maximum strictly before the row.
     """
 
     kind: str
@@ -94,8 +95,9 @@ def ordered_scan(
             results[name] = F.coalesce(F.col(local_name), F.lit(0)) + F.coalesce(
                 F.col(carry_name), F.lit(0)
             )
-        elif scan.kind == "max":
-            local_columns.append(F.max(value).over(upto).alias(local_name))
+        elif scan.kind in ("max", "max_before"):
+            frame = upto if scan.kind == "max" else before
+            local_columns.append(F.max(value).over(frame).alias(local_name))
             summaries.append(F.max(value).alias(f"_sum_{name}"))
             carries.append(F.max(summary).over(earlier).alias(carry_name))
             results[name] = F.greatest(F.col(local_name), F.col(carry_name))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posequery.functions.text import g6, run_key
@@ -120,12 +120,8 @@ def overwrite_decision(exists: Column, dirty: Column, force: bool = False) -> Co
     )
 
 
-def plan_ledger_write(runs: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
-    """Incoming runs with their key and what may be done with them.
-
-    ``runs`` carry ``sequence, commit, dirty, config_label, config_hash``; ``existing``
-    carries ``run_key``.
-    """
+def _planned(runs: DataFrame, existing: DataFrame, force: bool, arrival: str | None) -> DataFrame:
+    """The plan, with ``_nth``: the place of a run among the incoming ones of its key."""
     keyed = runs.withColumn(
         "run_key",
         run_key(
@@ -136,17 +132,39 @@ def plan_ledger_write(runs: DataFrame, existing: DataFrame, force: bool = False)
             F.col("config_hash"),
         ),
     )
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in runs.schema if "map<" not in f.dataType.simpleString()])
+    order = [F.col(arrival)] if arrival else []
+    # Rows without a key are no copies of each other; the hash keeps them apart.
+    same = Window.partitionBy("run_key", F.when(F.col("run_key").isNull(), row)).orderBy(*order, row)
+    numbered = keyed.withColumn("_nth", F.row_number().over(same))
     known = existing.select("run_key").distinct().withColumn("_known", F.lit(True))
-    joined = keyed.join(known, "run_key", "left")
+    joined = numbered.join(known, "run_key", "left")
+    exists = F.coalesce("_known", F.lit(False)) | (F.col("_nth") > 1)
     decision = F.when(F.col("run_key").isNull(), "invalid_key").otherwise(
-        overwrite_decision(F.coalesce("_known", F.lit(False)), F.col("dirty"), force)
+        overwrite_decision(exists, F.col("dirty"), force)
     )
     return joined.withColumn("decision", decision).drop("_known")
 
 
-def write_run_ledger(runs: DataFrame, path: str, force: bool = False) -> DataFrame:
+def plan_ledger_write(
+    runs: DataFrame, existing: DataFrame, force: bool = False, arrival: str | None = None
+) -> DataFrame:
+    """Incoming runs with their key and what may be done with them.
+
+    ``runs`` carry ``sequence, commit, dirty, config_label, config_hash``; ``existing``
+    carries ``run_key``.  Of incoming runs with one key the first by the column ``arrival``
+    (by a hash of the row if there is none) meets the ledger, the others meet the first.
+    """
+    return _planned(runs, existing, force, arrival).drop("_nth")
+
+
+def write_run_ledger(
+    runs: DataFrame, path: str, force: bool = False, arrival: str | None = None
+) -> DataFrame:
     """Write the runs that may be written and return the plan with all decisions.
 
+    Of several runs with one key that may be written, the last stays.
+
     The ledger is partitioned by sequence; a folder per run would mean a file per row.
     Partitions of touched sequences are merged and replaced, others stay as they are.
     """
@@ -158,8 +176,10 @@ def write_run_ledger(runs: DataFrame, path: str, force: bool = False) -> DataFra
             raise
         existing = None
     known = spark.createDataFrame([], "run_key string") if existing is None else existing
-    plan = cut(plan_ledger_write(runs, known, force), "ledger-plan")
-    good = plan.where(F.col("decision").isin("write", "overwrite_with_warning")).drop("decision")
+    plan = cut(_planned(runs, known, force, arrival), "ledger-plan")
+    good = plan.where(F.col("decision").isin("write", "overwrite_with_warning"))
+    last = good.groupBy("run_key").agg(F.max("_nth").alias("_nth"))
+    good = good.join(last, ["run_key", "_nth"], "left_semi").drop("decision", "_nth")
     merged = good
     if existing is not None:
         kept = existing.join(good.select("sequence").distinct(), "sequence", "left_semi").join(
@@ -175,7 +195,7 @@ def write_run_ledger(runs: DataFrame, path: str, force: bool = False) -> DataFra
         .partitionBy("sequence")
         .parquet(path)
     )
-    return plan
+    return plan.drop("_nth")
 
 
 def bench_table(ledger: DataFrame) -> DataFrame:
