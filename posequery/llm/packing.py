@@ -27,9 +27,17 @@ FAN_IN = 64
 #: Words whose ids a Python worker keeps (the first it meets), and their longest size.
 KEEP, LONGEST = 400_000, 64
 #: White space that the quick path does not cut at: runs of it, and anything but space and line feed.
-_ODD = re.compile(
-    rb"[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-)
+_RUNS = (b"  ", b" \n", b"\n ", b"\n\n")
+_CONTROLS = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _odd(text: bytes) -> bool:
+    if any(r in text for r in _RUNS) or len(text.translate(None, _CONTROLS)) < len(text):
+        return True
+    return not text.isascii() and _WIDE.search(text.decode("utf-8", "replace")) is not None
+
+
 #: Cuts between pre-tokens of byte-level BPE: fixed pattern of the tokenizer files.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -90,7 +98,7 @@ class ByteEncoder:
             return b"".join([table[w] if w in table else found[w] for w in words])
 
     def encode(self, text: bytes) -> bytes:
-        if not text or _ODD.search(text) or text[-1:].isspace() or any(s in text for s in self.special):
+        if not text or _odd(text) or text[-1:].isspace() or any(s in text for s in self.special):
             ids = self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
             return b"".join(i.to_bytes(4, "little") for i in ids)
         lines = [line.split(b" ") for line in text.split(b"\n")]

@@ -14,6 +14,7 @@ and each distinct cut is encoded once as long as a worker remembers it.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -233,7 +234,7 @@ def encode(docs: DataFrame, model: bytes, decoded: bool = False, id_col: str = "
             ids = [table.encode(t) for t in texts_of(block)]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
             key = block.column("doc_id")
             columns = [key, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
             fields = [("doc_id", key.type), ("ids", pa.list_(pa.int32()))]
