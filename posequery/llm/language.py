@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,10 +158,9 @@ def fit(
     totals = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("place", F.row_number().over(order)).where(F.col("place") <= grams_per_language)
-    members = {lang: [] for lang in languages}
-    for row in top.select("lang", "gram").collect():  # languages times grams_per_language at most
-        members[row["lang"]].append(row["gram"])
-    return build(languages, [np.array(members[x], np.int64).view(np.uint64) for x in languages], slots)
+    found = top.select("lang", "gram").toArrow()  # languages times grams_per_language at most
+    members = [found.filter(pc.equal(found["lang"], x))["gram"].to_numpy().view(np.uint64) for x in languages]
+    return build(languages, members, slots)
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
