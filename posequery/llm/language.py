@@ -53,7 +53,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes, keep = [], []
     for size in range(1, max(SIZES) + 1):
         ahead = np.zeros(n, np.uint64)
-        ahead[: n - size + 1] = buffer[size - 1 :]
+        ahead[: max(0, n - size + 1)] = buffer[size - 1 :]
         value = (value + ahead + np.uint64(1)) * _BASE
         value ^= value >> np.uint64(29)
         if size in SIZES:
