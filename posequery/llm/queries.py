@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from posequery.llm import chat, exact_dedup, language, near_dedup, packing, pieces, quality, repeats, token_counts, toxicity
 from posequery.llm.common import held_out
+from posequery.session import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -190,7 +191,8 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(_CONTROL).alias("text"),
     )
-    windows = chat.chat_windows(turns.unionByName(added))
+    # Turns and loss are read from the same windows: made once.
+    windows = cut(chat.chat_windows(turns.unionByName(added)), "windows")
     # Texts of a window first; only these are put together per conversation.
     read = chat.read_turns(windows).withColumn("line", F.concat("role", F.lit("\n"), "text", F.lit("\n")))
     told = read.groupBy("conv_id", "window").agg(
