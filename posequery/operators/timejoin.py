@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from posequery.plans.nearest import nearest_in_self, nearest_within
 from posequery.plans.ordered import Scan, chunk_start, ordered_scan
+from posequery.plans.pairing import Waiting
 from posequery.plans.spread import join_per_key
 from posequery.session import cut
 
@@ -141,28 +141,23 @@ _PAIR_TYPE = "seq long, ts_ns long, right_ts_ns long"
 
 
 def _greedy(tolerance_ns: int):
-    """Two-pointer pairing over batches sorted by sequence, island and time.
+    """Pairing over batches sorted by sequence, island and time.
 
     Only stamps within the tolerance of the newest one stay queued, so memory does
     not grow with the length of an island.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, waiting, waiting_side = None, deque(), None
+        current, waiting = None, Waiting(tolerance_ns)
         for batch in batches:
             pairs = []
             columns = [batch[c].tolist() for c in ("seq", "island", "ts_ns", "side")]
             for seq, island, stamp, side in zip(*columns, strict=True):
                 if (seq, island) != current:
-                    current = (seq, island)
-                    waiting.clear()
-                while waiting and stamp - waiting[0] > tolerance_ns:
-                    waiting.popleft()
-                if not waiting or side == waiting_side:
-                    waiting.append(stamp)
-                    waiting_side = side
-                else:
-                    other = waiting.popleft()
+                    current, waiting = (seq, island), Waiting(tolerance_ns)
+                waiting.pass_by(stamp)
+                other = waiting.offer(side, stamp)[0]
+                if other is not None:
                     left, right = (stamp, other) if side == 0 else (other, stamp)
                     pairs.append((seq, left, right))
             yield pd.DataFrame(pairs, columns=["seq", "ts_ns", "right_ts_ns"]).astype("int64")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
+from posequery.plans.pairing import Waiting
+
 
 def rotation_matrix(q: np.ndarray) -> np.ndarray:
     x, y, z, w = q
@@ -70,121 +71,94 @@ class KeyframeRule:
         return bool(np.hypot(moved[0], moved[1]).mean() > self.max_parallax_px)
 
 
-@dataclass
-class StereoSync:
-    """Greedy stereo pairing of pushed stamps with bounded queues.
+class Handler:
+    """What the rules of a sequence share: none ends and none minds being stopped."""
 
-    The first stamp that repeats or goes back makes the status sticky; later pushes
-    return it and change nothing.  Pairs made before stay valid.
-    """
+    def ends(self, row) -> bool:
+        """Whether ``row`` closes the sequence and is taken even after a fault."""
+        return False
 
-    tolerance_ns: int = 0
-    max_queue: int = 4096
-    left: deque = field(default_factory=deque)
-    right: deque = field(default_factory=deque)
-    last: dict = field(default_factory=dict)
-    sticky: str | None = None
-    counts: dict = field(
-        default_factory=lambda: dict.fromkeys(
-            [
-                "pushed_left",
-                "pushed_right",
-                "emitted",
-                "dropped_left",
-                "dropped_right",
-                "overflow_left",
-                "overflow_right",
-                "max_left_queue",
-                "max_right_queue",
-            ],
-            0,
-        )
-    )
+    def stop(self, status: str) -> None:
+        """Note that no further rows but the end will come."""
 
-    def __post_init__(self) -> None:
-        if self.tolerance_ns < 0 or self.max_queue < 1:
-            raise ValueError("tolerance must not be negative and the queue hold at least one")
 
-    def push(self, side: str, stamp: int) -> tuple[str, list[tuple[int, int]]]:
-        """Status of the push and the pairs it completed."""
-        if self.sticky:
-            return self.sticky, []
-        if side not in ("left", "right"):
-            self.sticky = "invalid"
-            return self.sticky, []
-        previous = self.last.get(side)
-        if previous is not None and stamp <= previous:
-            self.sticky = "duplicate" if stamp == previous else "out_of_order"
-            return self.sticky, []
-        self.last[side] = stamp
-        queue = self.left if side == "left" else self.right
-        queue.append(stamp)
-        self.counts[f"pushed_{side}"] += 1
-        if len(queue) > self.max_queue:
-            queue.popleft()
-            self.counts[f"overflow_{side}"] += 1
-        widest = f"max_{side}_queue"
-        self.counts[widest] = max(self.counts[widest], len(queue))
-        return "ok", self._drain()
-
-    def _drain(self) -> list[tuple[int, int]]:
-        pairs = []
-        while self.left and self.right:
-            gap = self.left[0] - self.right[0]
-            if abs(gap) <= self.tolerance_ns:
-                pairs.append((self.left.popleft(), self.right.popleft()))
-                self.counts["emitted"] += 1
-            elif gap < 0:
-                self.left.popleft()
-                self.counts["dropped_left"] += 1
-            else:
-                self.right.popleft()
-                self.counts["dropped_right"] += 1
-        return pairs
-
-    def flush(self) -> None:
-        """Count what is left in the queues as dropped."""
-        self.counts["dropped_left"] += len(self.left)
-        self.counts["dropped_right"] += len(self.right)
-        self.left.clear()
-        self.right.clear()
-
-
-class SyncHandler:
-    """Stereo pairing of one sequence; an ``end`` row flushes and reports the counters."""
+#: Counters of a finished sequence.
+SYNC_COUNTS = ["emitted"] + [f"{what}_{side}" for what in ("pushed", "dropped", "overflow", "longest") for side in ("left", "right")]
+
+
+class SyncHandler(Handler):
+    """Stereo pairing of one sequence; an ``end`` row gives up what waits and reports the counters.
+
+    A side must rise and be known: after the first stamp that is not, each further one is
+    answered with that fault.  Pairs made before stay valid.  ``max_queue`` bounds what
+    waits, oldest first; without it nothing is given up but what the tolerance rules out.
+    """
 
     output = "seq long, kind string, ts_ns long, right_ts_ns long, status string, counts map<string,long>"
 
-    def __init__(self, tolerance_ns: int = 0, max_queue: int = 4096) -> None:
-        self.sync = StereoSync(tolerance_ns, max_queue)
+    def __init__(self, tolerance_ns: int = 0, max_queue: int | None = None) -> None:
+        if tolerance_ns < 0 or (max_queue is not None and max_queue < 1):
+            raise ValueError("tolerance must not be negative and the queue hold at least one")
+        self.max_queue = max_queue
+        self.waiting = Waiting(tolerance_ns)
+        self.latest: dict[str, int] = {}
+        self.status: str | None = None
+        self.counts = dict.fromkeys(SYNC_COUNTS, 0)
 
     def load(self, state: dict) -> None:
-        self.sync.left, self.sync.right = deque(state["left"]), deque(state["right"])
-        self.sync.last, self.sync.sticky = state["last"], state["sticky"]
-        self.sync.counts = state["counts"]
+        self.waiting = Waiting(self.waiting.tolerance_ns, state["waiting"], state["side"])
+        self.latest, self.status, self.counts = state["latest"], state["status"], state["counts"]
 
     def dump(self) -> dict:
-        sync = self.sync
         return {
-            "left": list(sync.left),
-            "right": list(sync.right),
-            "last": sync.last,
-            "sticky": sync.sticky,
-            "counts": sync.counts,
+            "waiting": list(self.waiting.stamps),
+            "side": self.waiting.side,
+            "latest": self.latest,
+            "status": self.status,
+            "counts": self.counts,
         }
 
-    def feed(self, row) -> list[tuple]:
-        if row.camera == "end":
-            self.sync.flush()
-            return [("report", None, None, self.sync.sticky, dict(self.sync.counts))]
-        status, pairs = self.sync.push(row.camera, int(row.ts_ns))
-        out = [("pair", left, right, status, None) for left, right in pairs]
-        if status != "ok":
-            out.append(("fault", int(row.ts_ns), None, status, None))
-        return out
+    def ends(self, row) -> bool:
+        return row.camera == "end"
+
+    def stop(self, status: str) -> None:
+        self.status = self.status or status
 
+    def _fault(self, side: str, stamp: int) -> str | None:
+        if side not in ("left", "right"):
+            return "invalid"
+        ahead = stamp - self.latest.get(side, stamp - 1)
+        return None if ahead > 0 else "out_of_order" if ahead < 0 else "duplicate"
 
-class KeyframeHandler:
+    def feed(self, row) -> list[tuple]:
+        counts, waiting = self.counts, self.waiting
+        if self.ends(row):
+            if waiting.stamps:
+                counts[f"dropped_{waiting.side}"] += len(waiting.stamps)
+                waiting.stamps.clear()
+            return [("report", None, None, self.status, dict(counts))]
+        side, stamp = row.camera, int(row.ts_ns)
+        self.status = self.status or self._fault(side, stamp)
+        if self.status:
+            return [("fault", stamp, None, self.status, None)]
+        self.latest[side] = stamp
+        counts[f"pushed_{side}"] += 1
+        partner, gone, waits = waiting.offer(side, stamp)
+        if gone:
+            counts["dropped_right" if side == "left" else "dropped_left"] += gone
+        if waits and self.max_queue and len(waiting.stamps) > self.max_queue:
+            waiting.stamps.popleft()
+            counts[f"overflow_{side}"] += 1
+        counts[f"longest_{side}"] = max(counts[f"longest_{side}"], len(waiting.stamps) if waits else 1)
+        if partner is not None:
+            counts["emitted"] += 1
+            left, right = (stamp, partner) if side == "left" else (partner, stamp)
+            return [("pair", left, right, "ok", None)]
+        counts[f"dropped_{side}"] += not waits
+        return []
+
+
+class KeyframeHandler(Handler):
     """Keyframe decisions of one sequence; the state advances on accepted frames only."""
 
     output = "seq long, frame long, is_keyframe boolean"
@@ -229,7 +203,7 @@ class KeyframeHandler:
         return [(int(row.frame), chosen)]
 
 
-class AgeHandler:
+class AgeHandler(Handler):
     """Ages of marked ids of one sequence while they stay present in following frames."""
 
     output = "seq long, id long, frame long, age long, dropped boolean"
@@ -266,7 +240,7 @@ class AgeHandler:
         return out
 
 
-class WindowHandler:
+class WindowHandler(Handler):
     """Window membership of one sequence after each accepted frame."""
 
     output = "seq long, segment_id long, frame long, member_frame long, is_keyframe boolean"
@@ -297,7 +271,7 @@ class WindowHandler:
         return [(self.segment, int(row.frame), f, k) for f, k in self.window]
 
 
-class SkipDropHandler:
+class SkipDropHandler(Handler):
     """Drop, skip and deferred flush of culled ids of one sequence."""
 
     output = "seq long, frame long, id long, action string"
@@ -326,7 +300,7 @@ class SkipDropHandler:
         return out
 
 
-class SeedHandler:
+class SeedHandler(Handler):
     """Latest stereo observation per id of one sequence until enough ids are known."""
 
     output = "seq long, seed_frame long, id long, frame long, u double"

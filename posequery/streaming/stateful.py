@@ -4,7 +4,9 @@ The state of a sequence is small and does not grow with its length: queue fronts
 keyframe, ages, window members.  It is kept as JSON text.  A micro-batch brings a sequence's
 rows in any order; they are sorted by ``order`` first, so trigger limits (files per trigger)
 bound what one task holds.  A row that is not later than one already processed stops its
-sequence: late data is an error, not something to wait for.
+sequence: late data is an error, not something to wait for.  Each row that is not taken comes out
+with its place and a ``fault``: ``late``, or ``stopped`` after a late one.  A row that ends the
+sequence is taken all the same.
 """
 
 from __future__ import annotations
@@ -32,9 +34,12 @@ from posequery.streaming.rules import (
 def per_sequence(stream: DataFrame, make: Callable[[], object], output: str, order: str) -> DataFrame:
     """Run one handler per ``seq`` over rows in ``order``; works on streams.
 
-    A handler has ``feed(row)``, ``dump()`` and ``load(state)``.
+    A handler has ``feed(row)``, ``dump()``, ``load(state)``, ``ends(row)`` and ``stop(status)``.
+    To its ``output`` come ``fault`` and ``fault_place``, null beside its own rows.
     """
+    output += ", fault string, fault_place long"
     names = StructType.fromDDL(output).names
+    blank = [None] * (len(names) - 3)
 
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -48,11 +53,14 @@ def per_sequence(stream: DataFrame, make: Callable[[], object], output: str, ord
         out = []
         for row in rows.itertuples(index=False):
             place = int(getattr(row, order))
-            stopped = stopped or (last is not None and place <= last)
-            if stopped:
-                break
-            last = place
-            out += [(key[0], *values) for values in handler.feed(row)]
+            late = last is not None and place <= last
+            if (late or stopped) and not handler.ends(row):
+                stopped = True
+                handler.stop("late")
+                out.append((key[0], *blank, "late" if late else "stopped", place))
+                continue
+            last = place if last is None else max(last, place)
+            out += [(key[0], *values, None, None) for values in handler.feed(row)]
         state.update(
             (json.dumps({"last": last, "stopped": stopped, "handler": handler.dump()}),)
         )
@@ -77,7 +85,7 @@ def replay_events(imu: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     return merged.withColumn("replay_order", F.col("ts_ns") * 4 + F.col("rank"))
 
 
-def stereo_sync(events: DataFrame, tolerance_ns: int = 0, max_queue: int = 4096) -> DataFrame:
+def stereo_sync(events: DataFrame, tolerance_ns: int = 0, max_queue: int | None = None) -> DataFrame:
     """Pairs, faults and final reports of ``seq, camera, ts_ns, arrival`` events.
 
     ``camera`` is ``left``, ``right`` or ``end``; ``arrival`` is the order of the pushes.

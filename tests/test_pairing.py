@@ -1,11 +1,13 @@
 """Stereo pairing: analytic cases, brute force, and batch against push order."""
 
+import json
 import random
+from types import SimpleNamespace
 
 import pytest
 
 from posequery.operators import timejoin as tj
-from posequery.streaming.rules import StereoSync
+from posequery.streaming.rules import SyncHandler
 
 STAMPS = "seq long, ts_ns long"
 
@@ -58,43 +60,52 @@ def test_exact_pairs_and_counters(spark):
     assert tj.intersection_count(left, right).first().common == 3
 
 
-def push_all(sync, events):
-    pairs, statuses = [], []
-    for side, stamp in events:
-        status, found = sync.push(side, stamp)
-        statuses.append(status)
-        pairs += found
-    return pairs, statuses
-
-
-def test_synchroniser_cases():
-    sync = StereoSync()
-    pairs, _ = push_all(sync, [("left", 1), ("left", 2), ("right", 2), ("left", 3), ("right", 3)])
-    assert pairs == [(2, 2), (3, 3)] and sync.counts["dropped_left"] == 1
-
-    sync = StereoSync(tolerance_ns=3_000_000)
-    assert push_all(sync, [("left", 1_000_000), ("right", 3_500_000)])[0] == [(1_000_000, 3_500_000)]
-
-    sync = StereoSync(max_queue=2)
-    push_all(sync, [("left", 1), ("left", 2), ("left", 3)])
-    assert sync.counts["overflow_left"] == 1 and sync.counts["max_left_queue"] == 2
-
-    sync = StereoSync()
-    push_all(sync, [("left", 1), ("left", 2), ("left", 3), ("right", 10)])
-    assert sync.counts["dropped_left"] == 3 and sync.counts["dropped_right"] == 0
-    sync.flush()
-    assert sync.counts["dropped_right"] == 1
-
-
-def test_synchroniser_faults_are_sticky():
-    sync = StereoSync()
-    pairs, statuses = push_all(
-        sync, [("left", 5), ("right", 5), ("left", 5), ("left", 9), ("right", 9)]
-    )
-    assert pairs == [(5, 5)]
-    assert statuses == ["ok", "ok", "duplicate", "duplicate", "duplicate"]
-    assert push_all(StereoSync(), [("left", 5), ("left", 4)])[1] == ["ok", "out_of_order"]
-    assert push_all(StereoSync(), [("up", 5), ("left", 6)])[1] == ["invalid", "invalid"]
-    for bad in ({"tolerance_ns": -1}, {"max_queue": 0}):
-        with pytest.raises(ValueError):
-            StereoSync(**bad)
+def fed(handler, rows):
+    return [out for camera, stamp in rows for out in handler.feed(SimpleNamespace(camera=camera, ts_ns=stamp))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_handler_equals_two_pointers_in_any_interleaving(seed):
+    rng = random.Random(100 + seed)
+    left, right = (sorted(rng.sample(range(400), rng.randint(1, 90))) for _ in "lr")
+    tolerance = rng.choice([0, 2, 7, 30])
+    queues = {"left": list(left), "right": list(right)}
+    handler, out = SyncHandler(tolerance), []
+    while queues["left"] or queues["right"]:
+        side = rng.choice([s for s in queues if queues[s]])
+        out += fed(handler, [(side, queues[side].pop(0))])
+        again = SyncHandler(tolerance)
+        again.load(json.loads(json.dumps(handler.dump())))
+        handler = again
+    pairs = [(a, b) for kind, a, b, _, _ in out if kind == "pair"]
+    assert pairs == two_pointer(left, right, tolerance)
+    (report,) = fed(handler, [("end", 0)])
+    counts = report[-1]
+    assert report[3] is None and counts["emitted"] == len(pairs)
+    for side, stamps in (("left", left), ("right", right)):
+        assert counts[f"pushed_{side}"] == len(stamps) == len(pairs) + counts[f"dropped_{side}"]
+        assert counts[f"overflow_{side}"] == 0
+
+
+def test_bounded_queue_counts_what_it_gives_up():
+    handler = SyncHandler(0, max_queue=3)
+    out = fed(handler, [("right", 7 * k) for k in range(8)] + [("left", 14), ("left", 42), ("end", 0)])
+    assert [o[1:3] for o in out if o[0] == "pair"] == [(42, 42)]
+    counts = out[-1][-1]
+    assert (counts["overflow_right"], counts["longest_right"]) == (5, 3)
+    assert (counts["dropped_left"], counts["dropped_right"]) == (1, 2)
+
+
+@pytest.mark.parametrize(
+    "bad, status", [(("left", 31), "duplicate"), (("left", 12), "out_of_order"), (("rear", 90), "invalid")]
+)
+def test_first_fault_answers_all_that_follows(bad, status):
+    out = fed(SyncHandler(), [("left", 31), ("right", 31), bad, ("right", 77), ("left", 77), ("end", 0)])
+    assert [o[0] for o in out] == ["pair", "fault", "fault", "fault", "report"]
+    assert {o[3] for o in out[1:]} == {status}
+
+
+@pytest.mark.parametrize("options", [(-3,), (0, 0)])
+def test_handler_rejects_options(options):
+    with pytest.raises(ValueError):
+        SyncHandler(*options)
