@@ -226,6 +226,25 @@ def rpe_report(
     )
 
 
+def for_every_run(report: DataFrame, association: DataFrame) -> DataFrame:
+    """An error report with one row per run of ``association_report``.
+
+    A run that did not associate well enough has that ``error_code`` and null errors, also
+    where it has no matched rows and so no row in ``report``.
+    """
+    keys = ["run", "seq"]
+    gate = association.select(*keys, "est_total", "matched", "match_rate", F.col("error_code").alias("gate"))
+    values = [c for c in report.columns if c not in (*keys, "error_code")]
+    return gate.join(report, keys, "left").select(
+        *keys,
+        "est_total",
+        "matched",
+        "match_rate",
+        F.coalesce("gate", "error_code").alias("error_code"),
+        *[F.when(F.col("gate").isNull(), F.col(c)).alias(c) for c in values],
+    )
+
+
 def diag_segments(rows: DataFrame, diag: DataFrame) -> DataFrame:
     """Rows with the ``segment_id`` of their diagnostics; others are left out."""
     return rows.join(

@@ -191,3 +191,13 @@ def test_undefined_reports_keep_their_row(spark):
     assert row.error_code == "degenerate" and row.trans_rmse is None
     row = ev.rpe_report(matched, 10_000 * MS, 20 * MS, tj.MINUTE_NS).first()
     assert row.error_code == "no_delta_pairs" and row.dropped_no_partner == 10
+
+
+def test_every_run_has_a_row(spark):
+    report = spark.createDataFrame([("a", 1, None, 0.5), ("b", 1, None, 0.0)], "run string, seq long, error_code string, trans_rmse double")
+    rows = [("a", 1, 9, 9, 1.0, None), ("b", 1, 50, 5, 0.1, "match_rate_too_low"), ("c", 1, 7, 0, 0.0, "no_overlap")]
+    kind = "run string, seq long, est_total long, matched long, match_rate double, error_code string"
+    out = ev.for_every_run(report, spark.createDataFrame(rows, kind)).orderBy("run").collect()
+    assert [(r.run, r.error_code, r.trans_rmse) for r in out] == [
+        ("a", None, 0.5), ("b", "match_rate_too_low", None), ("c", "no_overlap", None)
+    ]
