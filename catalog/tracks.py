@@ -97,7 +97,7 @@ def low_connectivity(spark, sf):
     " OR lm_iterations >= 100 OR max_window_pose_shift_m > 0.5",
 )
 def heavy(spark, sf):
-    return tk.heavy_frames(frames(spark, sf)).select("seq", "frame")
+    return tk.heavy_frames(frames(spark, sf), 420, 450).select("seq", "frame")
 
 
 @query(

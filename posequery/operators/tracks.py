@@ -480,10 +480,11 @@ def longest_tracks_first(lifetable: DataFrame) -> DataFrame:
     return lifetable.orderBy(F.desc("length"), "seq", "id")
 
 
-def heavy_frames(frames: DataFrame, first: int = 420, last: int = 450) -> DataFrame:
-    """Frames worth full detail: an index range, any cull, many iterations, a large shift."""
+def heavy_frames(frames: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Frames worth full detail: any cull, many iterations, a large shift, an index range if given."""
+    ranged = F.lit(False) if first is None or last is None else F.col("frame").between(first, last)
     return frames.where(
-        F.col("frame").between(first, last)
+        ranged
         | (F.col("outliers_culled") > 0)
         | (F.col("lm_iterations") >= 100)
         | (F.col("max_window_pose_shift_m") > 0.5)
