@@ -33,7 +33,8 @@ from posequery.session import cut
 WORDS, LEAST_SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_WORDS = [f"bits_{k}" for k in range(8)]
+#: Parity bits of a text, in 64-bit words: enough for texts of several hundred words to differ visibly.
+_WORDS = [f"bits_{k}" for k in range(32)]
 #: Ends of the rank cells below 1; cells of length 1 follow.
 _CELLS = (0.0, 2.0**-5, 2.0**-4, 2.0**-3, 2.0**-2, 2.0**-1, 1.0)
 
@@ -85,14 +86,15 @@ def occurrences(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     return owner, mix(hashes + _A * (nth.astype(np.uint64) + np.uint64(1)))
 
 
-def parity_bits(owner: np.ndarray, slabs: np.ndarray, texts: int) -> list[list[int]]:
-    """512 bits per text, each the parity of the shingles that hash to it.
+def parity_bits(owner: np.ndarray, slabs: np.ndarray, texts: int) -> np.ndarray:
+    """2,048 bits per text in 64-bit words, each the parity of the shingles that hash to it.
 
     Two texts differ in at least as many shingles as bits.
     """
-    size = 64 * len(_WORDS)
-    odd = np.bincount(owner * size + (slabs % np.uint64(size)).astype(np.int64), minlength=texts * size) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(texts, len(_WORDS)).tolist()
+    place = (slabs % np.uint64(64 * len(_WORDS))).astype(np.int64)
+    out = np.zeros(texts * len(_WORDS), np.uint64)
+    np.bitwise_xor.at(out, owner * len(_WORDS) + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+    return out.view(np.int64)
 
 
 def signatures(owner: np.ndarray, hashes: np.ndarray, texts: int, k: int) -> np.ndarray:
@@ -158,9 +160,10 @@ def _sketches(rows: DataFrame, bands: int, height: int) -> DataFrame:
             owner, values = shingles(codes, offsets, hashes)
             weight = np.bincount(owner, minlength=len(texts))
             bits = parity_bits(*occurrences(owner, values), len(texts))
-            values = bands_of(signatures(owner, values, len(texts), bands * height), bands, height)
-            values = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(values.reshape(-1))
+            values = bands_of(signatures(owner, values, len(texts), bands * height), bands, height).reshape(-1)
+            values, bits = (
+                pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n), pa.array(flat))
+                for n, flat in ((bands, values), (len(_WORDS), bits))
             )
             own = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]
             schema = pa.schema(
