@@ -87,14 +87,14 @@ def occurrences(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def parity_bits(owner: np.ndarray, slabs: np.ndarray, texts: int) -> np.ndarray:
-    """2,048 bits per text in 64-bit words, each the parity of the shingles that hash to it.
+    """2,048 bits per text, a row of 64-bit words, each the parity of the shingles that hash to it.
 
     Two texts differ in at least as many shingles as bits.
     """
     place = (slabs % np.uint64(64 * len(_WORDS))).astype(np.int64)
     out = np.zeros(texts * len(_WORDS), np.uint64)
     np.bitwise_xor.at(out, owner * len(_WORDS) + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
-    return out.view(np.int64)
+    return out.reshape(texts, len(_WORDS))
 
 
 def signatures(owner: np.ndarray, hashes: np.ndarray, texts: int, k: int) -> np.ndarray:
@@ -163,7 +163,7 @@ def _sketches(rows: DataFrame, bands: int, height: int) -> DataFrame:
             values = bands_of(signatures(owner, values, len(texts), bands * height), bands, height).reshape(-1)
             values, bits = (
                 pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n), pa.array(flat))
-                for n, flat in ((bands, values), (len(_WORDS), bits))
+                for n, flat in ((bands, values), (len(_WORDS), bits.view(np.int64).reshape(-1)))
             )
             own = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]
             schema = pa.schema(
