@@ -27,11 +27,15 @@ def run_stream(
     split,
     build: Callable[[DataFrame], DataFrame],
     mode: str = "append",
+    ends: DataFrame | None = None,
 ) -> DataFrame:
-    """Feed ``source`` in two steps, below and from ``split``, and return all output rows."""
+    """Feed ``source`` in two steps, below and from ``split``, and return all output rows.
+
+    ``ends`` are fed as a last step; they move the watermark past all rows before them.
+    """
     folder, sink, checkpoint = (fresh_path(spark, n) for n in ("stream", "sink", "checkpoint"))
     early = F.col(order) < split
-    for step in (source.where(early), source.where(~early)):
+    for step in (source.where(early), source.where(~early), *([] if ends is None else [ends])):
         step.write.mode("append").parquet(folder)
         stream = spark.readStream.schema(source.schema).parquet(folder)
         writer = build(stream).writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -243,8 +247,7 @@ def first_warnings(spark, sf):
     )
 
 
-# Rows stay open until the watermark, the smaller of the two sides' latest stamps less ten
-# seconds, has passed them; the last ones of a finished stream are therefore not emitted.
+# The SQL leaves out the last hour before the earlier end of the two sides; the query does not.
 _OPEN = (
     "(SELECT least((SELECT max(ts_ns) FROM v_est), (SELECT max(ts_ns) FROM v_gt)) - 3600000000000)"
 )
@@ -262,6 +265,13 @@ def stream_associate(spark, sf):
     def build(stream):
         return st.stream_associate(stream.where("side = 'est'"), stream.where("side = 'gt'"), 2_500_000)
 
-    rows = run_stream(spark, est.unionByName(gt), "ts_ns", HALF_NS, build)
-    last = est.unionByName(gt).groupBy("side").agg(F.max("ts_ns").alias("m")).agg(F.min("m"))
-    return rows.where(F.col("ts_ns") < last.scalar() - 3_600_000_000_000)
+    # Rows stay open until the watermark, the smaller of the two sides' latest stamps less ten
+    # seconds, has passed them.  One end row per side, an hour and more past all stamps and an
+    # hour apart, lets it pass them all; end rows match nothing.
+    both = est.unionByName(gt)
+    last = both.agg(F.max("ts_ns").alias("last"), F.min("seq").alias("seq"))
+    hours = F.when(F.col("side") == "est", 1).otherwise(2)
+    ends = spark.createDataFrame([("est",), ("gt",)], "side string").crossJoin(last).select(
+        "side", F.lit(None).cast("string").alias("run"), "seq", (F.col("last") + hours * F.lit(3_600_000_000_000)).alias("ts_ns")
+    )
+    return run_stream(spark, both, "ts_ns", HALF_NS, build, ends=ends)
