@@ -103,7 +103,7 @@ def chat_windows(
         F.min("place").alias("first"), F.min("before").alias("from"), F.sum("tokens").alias("own"), F.max("left").alias("left"), F.max("opening").alias("opening")
     )
     # Candidates for history by their place, then as far as the budget reaches back.
-    wanted = spans.where("first > 1").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(history_turns)))).withColumn("place", F.col("first") - F.col("place"))
+    wanted = spans.where("first > 0").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(history_turns)))).withColumn("place", F.col("first") - F.col("place"))
     told = wanted.select(*_KEY, F.col("span").alias("window"), "place", "from", (F.col("left") - F.col("own")).alias("room"))
     history = rest.join(told, [*_KEY, "place"]).where("from - before <= room AND NOT (place = 0 AND opening > 0)")
     again = spans.where("first > 0 AND opening > 0").join(system, _KEY)
