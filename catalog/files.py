@@ -467,9 +467,8 @@ def skipped_summaries(spark, sf):
     " unnest([p_brand, CAST(p_size AS VARCHAR)]) AS value FROM part",
 )
 def run_meta(spark, sf):
-    entries = config(spark, sf).where(F.col("key").isin("tracker.brand", "window.size"))
     files = (
-        entries.groupBy("run")
+        config(spark, sf).groupBy("run")
         .agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("config"))
         .select(
             F.concat(F.lit("part-"), "run", F.lit("/meta.json")).alias("path"),

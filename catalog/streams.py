@@ -17,7 +17,7 @@ from catalog.tracks import _AGED, _AGES, _COUNTED, KEYFRAME_SQL, MAX_AGE, TIME_R
 from posequery.fixtures import DAY_NS, EPOCH_2024, view, with_views
 from posequery.session import fresh_path
 from posequery.streaming import stateful as st
-from posequery.streaming.rules import KeyframeRule
+from posequery.streaming.rules import SYNC_COUNTS, KeyframeRule
 
 
 def run_stream(
@@ -100,8 +100,7 @@ def stereo_sync_report(spark, sf):
     rows = run_stream(
         spark, events(spark, sf), "ts_ns", HALF_NS, lambda s: st.stereo_sync(s, SOFT_NS)
     )
-    names = ["pushed_left", "pushed_right", "emitted", "dropped_left", "dropped_right"]
-    return rows.where("kind = 'report'").select("seq", *[F.col("counts")[n].alias(n) for n in names])
+    return rows.where("kind = 'report'").select("seq", *[F.col("counts")[n].alias(n) for n in SYNC_COUNTS])
 
 
 @query(

@@ -224,8 +224,7 @@ def behind(spark, sf):
     f" avg({_NORM}) AS m FROM res WHERE disparity > 0 AND depth > 0 GROUP BY seq, id) GROUP BY seq",
 )
 def probe(spark, sf):
-    # Behind the camera all residuals are equal, and the largest would be any of them.
-    found = lm.residual_probe(residuals(spark, sf).where("depth > 0"))
+    found = lm.residual_probe(residuals(spark, sf))
     return found.select("seq", r6("res_mean_px"), r6("res_max_px"), "res_max_id")
 
 

@@ -114,7 +114,8 @@ def behind_camera_counts(residuals: DataFrame) -> DataFrame:
 def residual_probe(residuals: DataFrame) -> DataFrame:
     """Mean and largest of the landmarks' mean residuals, and the id of the largest.
 
-    Equal maxima resolve to the smaller id.
+    Equal maxima, to nine decimals, resolve to the smaller id: behind the camera all residuals
+    are equal, but their means differ by the order of summing.
     """
     per_landmark = (
         residuals.where(F.col("disparity") > 0)
@@ -124,7 +125,7 @@ def residual_probe(residuals: DataFrame) -> DataFrame:
     return per_landmark.groupBy("seq").agg(
         F.avg("mean_px").alias("res_mean_px"),
         F.max("mean_px").alias("res_max_px"),
-        F.max_by("id", F.struct("mean_px", -F.col("id"))).alias("res_max_id"),
+        F.max_by("id", F.struct(F.round("mean_px", 9), -F.col("id"))).alias("res_max_id"),
     )
 
 
