@@ -68,6 +68,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(rows.withColumn("_key", F.monotonically_increasing_id()), "keyed")
 
 
+def keyed_columns(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``_key`` and the ``columns`` (own name: name in ``docs``), ``doc_id`` among them.
+
+    The key is the id where ids are unique longs.  Else rows are numbered as they are read and
+    written once, so that a rerun of a task cannot number them anew.
+    """
+    rows = docs.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+    if dict(rows.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
+        if rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+            return rows.withColumn("_key", F.col("doc_id").cast("long"))
+    return cut(rows.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
 def texts_of(block: pa.RecordBatch) -> list[bytes]:
     """UTF-8 bytes of the block's texts; null counts as empty."""
     return pc.fill_null(block.column("text").cast(pa.binary()), b"").to_pylist()

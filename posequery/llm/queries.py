@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posequery.llm import chat, exact_dedup, language, near_dedup, packing, pieces, quality, repeats, token_counts, toxicity
+from posequery.llm import chat, exact_dedup, language, merkle, mixing, near_dedup, packing, pieces, quality, repeats, token_counts, toxicity, whitening
 from posequery.llm.common import held_out
 from posequery.session import cut
 
@@ -212,3 +212,113 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def _merkle_sql(levels: int = 7) -> str:
+    """SQL of the manifest for trees of up to ``16 ** levels`` leaves.
+
+    A level is a table of nodes with the number of nodes beside them; a tree that has one node left
+    goes up unchanged, with no siblings.
+    """
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    fields = " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""
+WITH RECURSIVE bit(i, k, v) AS (
+  SELECT i::UBIGINT, 0, i::UBIGINT FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM bit WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS byte FROM bit WHERE k = 8),
+doc AS (
+  SELECT d.*, {fields} AS head, row_number() OVER () AS row,
+         xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::UBIGINT),
+             lambda a, b: xor(a >> 8, byte[((xor(a, b) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 5 = 0 AS tampered
+  FROM documents d, crc),
+leaf AS (
+  SELECT row, doc_id, source, sha256(head || {value("text")}) AS leaf,
+         sha256(head || CASE WHEN tampered THEN {value(low)} ELSE {value("text")} END) AS changed
+  FROM doc),
+tree AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaf GROUP BY source),
+n0 AS (
+  SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf, row) - 1 AS pos, leaf AS digest, n
+  FROM leaf JOIN tree ON leaf.source IS NOT DISTINCT FROM tree.source),
+f0 AS (
+  SELECT row, doc_id, leaf, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf, row) - 1 AS pos, changed AS folded, '' AS proof
+  FROM leaf JOIN tree ON leaf.source IS NOT DISTINCT FROM tree.source)"""
+    ]
+
+    def climb(nodes: str, folds: str) -> None:
+        for k in range(levels):
+            parts.append(f"""
+{nodes}{k + 1} AS (
+  SELECT tree, pos // 16 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest, (n + 15) // 16 AS n
+  FROM {nodes}{k} WHERE n > 1 GROUP BY tree, pos // 16, n
+  UNION ALL SELECT tree, pos, digest, n FROM {nodes}{k} WHERE n = 1),
+{nodes}s{k} AS (
+  SELECT tree, pos,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, n
+  FROM {nodes}{k} WINDOW w AS (PARTITION BY tree, pos // 16 ORDER BY pos)),
+{folds}{k + 1} AS (
+  SELECT f.row, f.doc_id, f.leaf, f.tree, CASE WHEN n > 1 THEN f.pos // 16 ELSE f.pos END AS pos,
+         CASE WHEN n > 1 THEN sha256(l || folded || r) ELSE folded END AS folded, proof || l || r AS proof
+  FROM {folds}{k} f JOIN {nodes}s{k} USING (tree, pos))""")
+
+    climb("n", "f")
+    parts.append(f"""
+m0 AS (SELECT 0 AS tree, tree AS pos, digest, count(*) OVER () AS n FROM n{levels}),
+g0 AS (SELECT row, doc_id, leaf, 0 AS tree, tree AS pos, folded, proof FROM f{levels})""")
+    climb("m", "g")
+    return ",".join(parts) + f"""
+SELECT g.doc_id, g.leaf, s.digest AS subroot, m.digest AS root, sha256(g.proof) AS proof_sha256,
+       g.folded AS folded_root, g.folded = m.digest AS verified
+FROM g{levels} g JOIN f0 USING (row) JOIN n{levels} s ON s.tree = f0.tree, m{levels} m
+"""
+
+
+@query("op11_merkle", _merkle_sql())
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, folder, "documents"), tampered)
+
+
+#: Capped sources are those with the least size for their weight; each is capped if the level
+#: that the others leave is above it.
+MIX_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')) AS size FROM documents),
+src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM doc GROUP BY source),
+budget AS (SELECT sum(size)::BIGINT AS b FROM doc),
+level AS (
+  SELECT *, b - coalesce(sum(3 * source_size) OVER e, 0)::BIGINT AS room, (sum(w) OVER () - coalesce(sum(w) OVER e, 0))::BIGINT AS open
+  FROM src, budget WINDOW e AS (ORDER BY source_size::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+capped AS (SELECT *, w * room > 3 * source_size * open AS above FROM level),
+rest AS (
+  SELECT min(b) - coalesce(sum(3 * source_size) FILTER (WHERE above), 0)::BIGINT AS room, (sum(w) FILTER (WHERE NOT above))::BIGINT AS open FROM capped),
+target AS (
+  SELECT source, source_size, CASE WHEN above THEN (3 * source_size)::DOUBLE ELSE (w * rest.room)::DOUBLE / rest.open::DOUBLE END AS target
+  FROM capped, rest),
+queue AS (
+  SELECT d.*, t.source_size, t.target,
+         sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS served
+  FROM doc d JOIN target t ON d.source IS NOT DISTINCT FROM t.source),
+turn AS (
+  SELECT doc_id, size, k, (source_size * k + served)::DOUBLE / target AS finish
+  FROM queue, range(3) r(k) WHERE size > 0 AND target > 0),
+total AS (SELECT *, sum(size) OVER (ORDER BY finish, doc_id, k ROWS UNBOUNDED PRECEDING) AS upto FROM turn),
+mixed AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM total, budget WHERE upto <= b GROUP BY doc_id)
+SELECT q.doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM queue q LEFT JOIN mixed USING (doc_id)
+"""
+
+
+@query("op12_mixing", MIX_SQL)
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
