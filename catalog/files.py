@@ -463,8 +463,10 @@ def skipped_summaries(spark, sf):
 
 @query(
     "a13_read_run_meta",
-    "SELECT concat('part-', p_partkey) AS sequence, unnest(['tracker.brand', 'window.size']) AS key,"
-    " unnest([p_brand, CAST(p_size AS VARCHAR)]) AS value FROM part",
+    "SELECT concat('part-', p_partkey) AS sequence,"
+    " unnest(['tracker.brand', 'solver.sigma', 'window.size', 'enable.cull']) AS key,"
+    " unnest([p_brand, printf('%.17g', p_retailprice / 7), CAST(p_size AS VARCHAR),"
+    " CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END]) AS value FROM part",
 )
 def run_meta(spark, sf):
     files = (

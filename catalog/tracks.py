@@ -220,8 +220,8 @@ def behind(spark, sf):
     "d16_residual_probe",
     _RES_VIEWS
     + f"SELECT seq, {s6('avg(m)', 'res_mean_px')}, {s6('max(m)', 'res_max_px')},"
-    " first(id ORDER BY m DESC, id) AS res_max_id FROM (SELECT seq, id,"
-    f" avg({_NORM}) AS m FROM res WHERE disparity > 0 AND depth > 0 GROUP BY seq, id) GROUP BY seq",
+    " first(id ORDER BY round(m, 9) DESC, id) AS res_max_id FROM (SELECT seq, id,"
+    f" avg({_NORM}) AS m FROM res WHERE disparity > 0 GROUP BY seq, id) GROUP BY seq",
 )
 def probe(spark, sf):
     found = lm.residual_probe(residuals(spark, sf))
@@ -752,6 +752,48 @@ def keyframe_select(spark, sf):
     return keyframes(spark, sf, **TIME_RULE)
 
 
-@query("i3_keyframe_select_all_rules")
+def _rotation_sql(prefix: str) -> list[list[str]]:
+    """Entries of the rotation matrix of the unit quaternion in columns ``prefix``qx .. ``prefix``qw."""
+    x, y, z, w = (f"{prefix}q{c}" for c in "xyzw")
+    one = lambda a, b: f"(1 - 2 * ({a} * {a} + {b} * {b}))"
+    two = lambda a, b, sign, c, d: f"(2 * ({a} * {b} {sign} {c} * {d}))"
+    return [
+        [one(y, z), two(x, y, "-", z, w), two(x, z, "+", y, w)],
+        [two(x, y, "+", z, w), one(x, z), two(y, z, "-", x, w)],
+        [two(x, z, "-", y, w), two(y, z, "+", x, w), one(x, y)],
+    ]
+
+
+def _all_rules_sql(min_tracks: int, survival: str = "6e-1", parallax: str = "30", reach_ns: int = 500_000_000) -> str:
+    """Keyframes by all four rules: frames near enough in time are compared first, then the choice is followed."""
+    here, there = _rotation_sql("a."), _rotation_sql("b.")
+    turn = [[" + ".join(f"{here[k][i]} * {there[k][j]}" for k in range(3)) for j in range(3)] for i in range(3)]
+    ray = ["(b.u - 320) / 4e2", "(b.v - 240) / 4e2", "1"]
+    turned = [" + ".join(f"({turn[i][j]}) * {ray[j]}" for j in range(3)) for i in range(3)]
+    return (
+        "WITH RECURSIVE v_obs AS (" + view_sql("obs") + "), v_frames AS (" + view_sql("frames") + "), posed AS (SELECT seq, frame, ts_ns,"
+        " status = 'ok' AS ok, row_number() OVER (PARTITION BY seq ORDER BY ts_ns) AS i,"
+        " last_value(CASE WHEN status = 'ok' THEN {'x': qx, 'y': qy, 'z': qz, 'w': qw} END IGNORE NULLS) OVER"
+        " (PARTITION BY seq ORDER BY ts_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM v_frames),"
+        " rows AS MATERIALIZED (SELECT p.seq, frame, ts_ns, ok, i, coalesce(o.n, 0) AS n, coalesce(q.x, 0) AS qx, coalesce(q.y, 0) AS qy,"
+        " coalesce(q.z, 0) AS qz, coalesce(q.w, 1) AS qw FROM posed p LEFT JOIN"
+        " (SELECT seq, frame, count(*) AS n FROM v_obs GROUP BY seq, frame) o USING (seq, frame)),"
+        " seen AS (SELECT r.*, o.id, o.u, o.v FROM rows r JOIN v_obs o USING (seq, frame)),"
+        f" ray AS (SELECT a.seq, a.i, b.i AS before, a.u, a.v, {turned[0]} AS x, {turned[1]} AS y, {turned[2]} AS z FROM seen a JOIN seen b"
+        f" ON a.seq = b.seq AND a.id = b.id AND b.i < a.i AND a.ts_ns - b.ts_ns <= {reach_ns}),"
+        " pair AS MATERIALIZED (SELECT seq, i, before, count(*) AS common, avg(sqrt(power(u - (x / z * 400 + 320), 2) + power(v - (y / z * 400 + 240), 2)))"
+        " FILTER (z > 1e-6) AS moved FROM ray GROUP BY seq, i, before),"
+        " walk AS (SELECT seq, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame, 0 AS kfs, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS last_ns,"
+        " CAST(0 AS BIGINT) AS last_n, false AS chosen FROM (SELECT DISTINCT seq FROM rows) UNION ALL"
+        " SELECT seq, i, frame, CASE WHEN c AND ok THEN kfs + 1 ELSE kfs END, CASE WHEN c AND ok THEN i ELSE last END,"
+        " CASE WHEN c AND ok THEN ts_ns ELSE last_ns END, CASE WHEN c AND ok THEN n ELSE last_n END, c FROM"
+        f" (SELECT r.*, w.kfs, w.last, w.last_ns, w.last_n, r.n > 0 AND (w.kfs < 2 OR r.n < {min_tracks} OR r.ts_ns - w.last_ns > {reach_ns}"
+        f" OR coalesce(p.common, 0)::DOUBLE / greatest(w.last_n, 1) < {survival} OR coalesce(p.moved > {parallax}, false)) AS c"
+        " FROM walk w JOIN rows r ON r.seq = w.seq AND r.i = w.i + 1 LEFT JOIN pair p ON p.seq = r.seq AND p.i = r.i AND p.before = w.last))"
+        " SELECT seq, frame FROM walk WHERE chosen"
+    )
+
+
+@query("i3_keyframe_select_all_rules", _all_rules_sql(2))
 def keyframe_select_all(spark, sf):
     return keyframes(spark, sf, min_tracks=2)
