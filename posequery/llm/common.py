@@ -119,8 +119,20 @@ def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_row_key(docs: DataFrame, id_col: str = "doc_id", key: str = "_row_key") -> DataFrame:
-    """``docs`` with a long ``key`` that no two rows share: the id where ids are unique longs."""
+    """``docs`` with a long ``key`` that no two rows share: the id where ids are unique longs.
+
+    ``key`` must be a name that ``docs`` does not have (:func:`free_name`).  Rows with null or repeated
+    ids are numbered as they are read and written once; an empty table stays empty.
+    """
     if dict(docs.dtypes)[id_col] == "bigint":
         ids = docs.groupBy(id_col).count().where(f"count > 1 OR `{id_col}` IS NULL")
         if ids.isEmpty():

@@ -257,17 +257,20 @@ def spans_per_row(spans: DataFrame) -> DataFrame:
     return spans.groupBy("_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def cut_texts(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """``rows`` without ``spans``, and with their texts cut; broken code points are dropped."""
-    schema = rows.drop("spans").schema
+def cut_texts(rows: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """``rows`` without ``spans_col``, and with their texts cut; broken code points are dropped.
+
+    Null texts and those without spans stay as they are.  Of any other columns none is looked at.
+    """
+    schema = rows.drop(spans_col).schema
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(spans_col)).to_pylist()
             new = [_outside(t.encode(), united(s)).decode("utf-8", "ignore") if s and t else t for t, s in zip(texts, spans)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.column(at).type)).drop_columns(["spans"])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.column(at).type)).drop_columns([spans_col])
 
     return rows.mapInArrow(run, schema)
 
