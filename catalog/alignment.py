@@ -173,6 +173,52 @@ def pair_soft(spark, sf):
     return tj.pair_soft(view(spark, sf, "left"), view(spark, sf, "right"), SOFT_NS, CHUNK_NS)
 
 
+# With hours of tolerance a sequence has no gap: one stretch of stamps that all depend on each other.
+DENSE_NS, DENSE_WIDTH_NS, DENSE_QUEUE = 6 * 3600 * 10**9, 86400 * 10**9, 9
+
+
+def _pushes_sql(tolerance_ns: int, max_queue: int) -> str:
+    """Pairs and counters of pushes in order, followed with the queue itself; ``seen`` has a row for each push."""
+    return (
+        with_views("left", "right").replace("WITH ", "WITH RECURSIVE ", 1)
+        + ", stamp AS (SELECT seq, ts_ns, 0 AS side FROM v_left UNION ALL SELECT seq, ts_ns, 1 FROM v_right),"
+        " push AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ts_ns, side) AS i FROM stamp),"
+        " seen AS (SELECT seq, 0::BIGINT AS i, 0::BIGINT AS ts_ns, 0 AS side, 0 AS waiting, []::BIGINT[] AS queue, NULL::BIGINT AS partner,"
+        " false AS waits, false AS overflow FROM (SELECT DISTINCT seq FROM push) UNION ALL"
+        " SELECT seq, i, ts_ns, side, CASE WHEN met IS NULL THEN side ELSE waiting END, CASE WHEN met IS NOT NULL THEN kept[2:]"
+        f" WHEN len(mine) = {max_queue} THEN list_append(mine[2:], ts_ns) ELSE list_append(mine, ts_ns) END, met, met IS NULL,"
+        f" met IS NULL AND len(mine) = {max_queue} FROM (SELECT *, CASE WHEN side <> waiting THEN kept[1] END AS met,"
+        " CASE WHEN side = waiting THEN kept ELSE []::BIGINT[] END AS mine FROM (SELECT p.*, s.waiting, CASE WHEN p.side = s.waiting THEN s.queue"
+        f" ELSE list_filter(s.queue, lambda q: q >= p.ts_ns - {tolerance_ns}) END AS kept"
+        " FROM seen s JOIN push p ON p.seq = s.seq AND p.i = s.i + 1)))"
+    )
+
+
+@query(
+    "c4_pair_soft_dense",
+    _pushes_sql(DENSE_NS, DENSE_QUEUE)
+    + " SELECT seq, CASE WHEN side = 0 THEN ts_ns ELSE partner END AS ts_ns,"
+    " CASE WHEN side = 0 THEN partner ELSE ts_ns END AS right_ts_ns FROM seen WHERE partner IS NOT NULL",
+)
+def pair_soft_dense(spark, sf):
+    return tj.pair_soft(view(spark, sf, "left"), view(spark, sf, "right"), DENSE_NS, DENSE_WIDTH_NS, DENSE_QUEUE)
+
+
+@query(
+    "d26_sync_report_queues",
+    _pushes_sql(DENSE_NS, DENSE_QUEUE)
+    + " SELECT seq, count(partner) AS emitted, count(*) FILTER (side = 0) AS pushed_left, count(*) FILTER (side = 1) AS pushed_right,"
+    " count(*) FILTER (side = 0) - count(partner) - count(*) FILTER (side = 0 AND overflow) AS dropped_left,"
+    " count(*) FILTER (side = 1) - count(partner) - count(*) FILTER (side = 1 AND overflow) AS dropped_right,"
+    " count(*) FILTER (side = 0 AND overflow) AS overflow_left, count(*) FILTER (side = 1 AND overflow) AS overflow_right,"
+    " coalesce(max(CASE WHEN waits THEN len(queue) ELSE 1 END) FILTER (side = 0), 0)::BIGINT AS longest_left,"
+    " coalesce(max(CASE WHEN waits THEN len(queue) ELSE 1 END) FILTER (side = 1), 0)::BIGINT AS longest_right"
+    " FROM seen WHERE i > 0 GROUP BY seq",
+)
+def sync_report_queues(spark, sf):
+    return tj.steps_report(tj.sync_steps(view(spark, sf, "left"), view(spark, sf, "right"), DENSE_NS, DENSE_WIDTH_NS, DENSE_QUEUE))
+
+
 @query(
     "c5_exact_intersection_count",
     with_views("left", "right")
@@ -195,8 +241,9 @@ def intersection_count(spark, sf):
     " (SELECT seq, count(*) AS emitted FROM pairs GROUP BY seq) USING (seq)",
 )
 def sync_report(spark, sf):
-    left, right = view(spark, sf, "left"), view(spark, sf, "right")
-    return tj.sync_report(left, right, tj.pair_soft(left, right, SOFT_NS, CHUNK_NS))
+    return tj.steps_report(tj.sync_steps(view(spark, sf, "left"), view(spark, sf, "right"), SOFT_NS, CHUNK_NS)).select(
+        "seq", "pushed_left", "pushed_right", "emitted", "dropped_left", "dropped_right"
+    )
 
 
 @query(

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posequery.plans.clamps import OPEN, counters
 from posequery.plans.nearest import nearest_in_self, nearest_within
 from posequery.plans.ordered import Scan, chunk_start, ordered_scan
-from posequery.plans.pairing import Waiting
 from posequery.plans.spread import join_per_key
 from posequery.session import cut
 
@@ -137,92 +134,92 @@ def sync_report(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFram
     )
 
 
-_PAIR_TYPE = "seq long, ts_ns long, right_ts_ns long"
-
-
-def _greedy(tolerance_ns: int):
-    """Pairing over batches sorted by sequence, island and time.
-
-    Only stamps within the tolerance of the newest one stay queued, so memory does
-    not grow with the length of an island.
+def sync_steps(
+    left: DataFrame, right: DataFrame, tolerance_ns: int, width_ns: int = MINUTE_NS, max_queue: int | None = None
+) -> DataFrame:
+    """``seq, ts_ns, side, rank, partner, waits, queue, overflow`` of every stamp, in push order.
+
+    Stamps are pushed as they rise, left (``side`` 0) before right (1) where equal.  What waits is
+    always the latest stamps of one side, so a signed number tells all: a push drops what is too
+    old of the other side, takes one off if any is left, and waits otherwise.  That is a bounded
+    counter (:mod:`plans.clamps`), so a sequence without a gap is spread like any other.
+    ``rank`` numbers the stamps of a side from 0, ``partner`` is the rank on the other side,
+    null without a pair; ``queue`` counts what waits after a stamp that waits.  With
+    ``max_queue`` the oldest goes when more would wait, and ``overflow`` is true.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, waiting = None, Waiting(tolerance_ns)
-        for batch in batches:
-            pairs = []
-            columns = [batch[c].tolist() for c in ("seq", "island", "ts_ns", "side")]
-            for seq, island, stamp, side in zip(*columns, strict=True):
-                if (seq, island) != current:
-                    current, waiting = (seq, island), Waiting(tolerance_ns)
-                waiting.pass_by(stamp)
-                other = waiting.offer(side, stamp)[0]
-                if other is not None:
-                    left, right = (stamp, other) if side == 0 else (other, stamp)
-                    pairs.append((seq, left, right))
-            yield pd.DataFrame(pairs, columns=["seq", "ts_ns", "right_ts_ns"]).astype("int64")
-
-    return run
+    if tolerance_ns < 0 or (max_queue is not None and max_queue < 1):
+        raise ValueError("tolerance must not be negative and the queue hold at least one")
+    if tolerance_ns >= width_ns:
+        raise ValueError("chunk width must exceed the tolerance")
+    merged = left.select("seq", "ts_ns", F.lit(0).alias("side")).unionByName(right.select("seq", "ts_ns", F.lit(1).alias("side")))
+    # Copies of the stamps near the end of a chunk tell the next one what may still wait.
+    own, ahead = chunk_start(F.col("ts_ns"), width_ns), chunk_start(F.col("ts_ns") + F.lit(tolerance_ns), width_ns)
+    spread = merged.select("*", own.alias("own"), F.explode(F.array_distinct(F.array(own, ahead))).alias("chunk"))
+    time = Window.partitionBy("seq", "chunk").orderBy("ts_ns")
+    at_left = F.count_if(F.col("side") == 1).over(time.rangeBetween(-tolerance_ns, -1)) if tolerance_ns else F.lit(0)
+    at_right = F.count_if(F.col("side") == 0).over(time.rangeBetween(-tolerance_ns, 0))
+    is_left, most = F.col("side") == 0, max_queue or OPEN
+    near = F.when(is_left, at_left).otherwise(at_right).cast("long")
+    rows = spread.withColumn("near", near).where(F.col("own") == F.col("chunk"))
+    rows = rows.select(
+        "seq", "ts_ns", "side", "near", F.floor(F.col("chunk") / width_ns).alias("chunk"),
+        F.when(is_left, 1).otherwise(-1).cast("long").alias("add"),
+        F.when(is_left, 1 - F.col("near")).otherwise(-most).cast("long").alias("low"),
+        F.when(is_left, most).otherwise(F.col("near") - 1).cast("long").alias("high"),
+    )
+    counted = cut(counters(rows, ["ts_ns", "side"]), "counted")
+    ranks = ordered_scan(
+        counted, ["seq"], ["ts_ns", "side"], width_ns,
+        lefts=Scan("sum", is_left.cast("long")), rights=Scan("sum", (~is_left).cast("long")),
+    )
+    left_over = F.when(is_left, F.greatest(F.col("before"), -F.col("near"))).otherwise(F.least(F.col("before"), F.col("near")))
+    waits = F.when(is_left, F.col("left_over") >= 0).otherwise(F.col("left_over") <= 0)
+    others = F.when(is_left, F.col("rights")).otherwise(F.col("lefts"))
+    return ranks.withColumn("left_over", left_over).select(
+        "seq", "ts_ns", "side",
+        (F.when(is_left, F.col("lefts")).otherwise(F.col("rights")) - 1).alias("rank"),
+        F.when(~waits, others - F.abs("left_over")).alias("partner"),
+        waits.alias("waits"),
+        F.when(waits, F.least(F.abs("left_over") + 1, F.lit(most))).alias("queue"),
+        (waits & (F.abs("left_over") + 1 > most)).alias("overflow"),
+    )
+
+
+def pairs_of(steps: DataFrame) -> DataFrame:
+    """``seq, ts_ns, right_ts_ns`` of the pairs in :func:`sync_steps`; read twice, so written is better."""
+    later = steps.where("partner IS NOT NULL").select("seq", F.col("ts_ns").alias("later"), "side", F.col("partner").alias("rank"))
+    earlier = steps.where("waits").select("seq", F.col("ts_ns").alias("earlier"), (1 - F.col("side")).alias("side"), "rank")
+    both = later.join(earlier, ["seq", "side", "rank"])
+    left = F.when(F.col("side") == 0, F.col("later")).otherwise(F.col("earlier"))
+    right = F.when(F.col("side") == 0, F.col("earlier")).otherwise(F.col("later"))
+    return both.select("seq", left.alias("ts_ns"), right.alias("right_ts_ns"))
+
+
+def steps_report(steps: DataFrame) -> DataFrame:
+    """All counters of a sequence at its end, what still waits being dropped, as the stream reports them."""
+    out = [F.count("partner").alias("emitted")]
+    for value, side in enumerate(("left", "right")):
+        here = F.col("side") == value
+        pushed, partner_here = F.count_if(here), F.count("partner")
+        overflow = F.count_if(here & F.col("overflow"))
+        out += [
+            pushed.alias(f"pushed_{side}"),
+            (pushed - partner_here - overflow).alias(f"dropped_{side}"),
+            overflow.alias(f"overflow_{side}"),
+            F.coalesce(F.max(F.when(here, F.coalesce("queue", F.lit(1)))), F.lit(0)).alias(f"longest_{side}"),
+        ]
+    return steps.groupBy("seq").agg(*out)
 
 
 def pair_soft(
-    left: DataFrame, right: DataFrame, tolerance_ns: int, width_ns: int = MINUTE_NS
+    left: DataFrame, right: DataFrame, tolerance_ns: int, width_ns: int = MINUTE_NS, max_queue: int | None = None
 ) -> DataFrame:
     """Greedy pairing of two ordered streams; pairs carry the left stamp.
 
-    Fronts within the tolerance are paired, otherwise the earlier one is dropped.
-    This is not a nearest join.  The merged stream is cut where a gap exceeds the
-    tolerance: no pair spans such a gap, so every island is solved on its own.
-    Islands with one stamp per side need no further work; the rest go through an
-    ordered pass.
+    Fronts within the tolerance are paired, otherwise the earlier one is dropped.  This is not
+    a nearest join.
     """
-    if tolerance_ns < 0:
-        raise ValueError("tolerance_ns must not be negative")
-    merged = left.select("seq", "ts_ns", F.lit(0).alias("side")).unionByName(
-        right.select("seq", "ts_ns", F.lit(1).alias("side"))
-    )
-    if tolerance_ns >= width_ns:
-        raise ValueError("chunk width must exceed the tolerance")
-    # A stamp opens an island when none lies within the tolerance before it.  Copies of the
-    # stamps near the end of a chunk let the next chunk decide alone.
-    ahead = F.col("ts_ns") + F.lit(tolerance_ns)
-    own = chunk_start(F.col("ts_ns"), width_ns)
-    spread = merged.select(
-        "*",
-        own.alias("own"),
-        F.explode(F.array_distinct(F.array(own, chunk_start(ahead, width_ns)))).alias("chunk"),
-    )
-    before = F.lag("ts_ns").over(Window.partitionBy("seq", "chunk").orderBy("ts_ns", "side"))
-    opened = F.when(
-        before.isNull() | (F.col("ts_ns") - before > tolerance_ns), F.col("ts_ns")
-    )
-    marked = spread.withColumn("opened", opened).where(F.col("own") == F.col("chunk"))
-    islands = cut(
-        ordered_scan(
-            marked.select("seq", "ts_ns", "side", "opened"),
-            ["seq"],
-            ["ts_ns", "side"],
-            width_ns,
-            island=Scan("last", F.col("opened")),
-        ).drop("opened"),
-        "islands",
-    )
-    is_left = F.col("side") == 0
-    shape = islands.groupBy("seq", "island").agg(
-        F.count_if(is_left).alias("n_left"),
-        F.count_if(~is_left).alias("n_right"),
-        F.min(F.when(is_left, F.col("ts_ns"))).alias("ts_ns"),
-        F.min(F.when(~is_left, F.col("ts_ns"))).alias("right_ts_ns"),
-    )
-    single = (F.col("n_left") == 1) & (F.col("n_right") == 1)
-    simple = shape.where(single).select("seq", "ts_ns", "right_ts_ns")
-    mixed = shape.where(~single & (F.col("n_left") > 0) & (F.col("n_right") > 0))
-    ordered = (
-        islands.join(mixed.select("seq", "island"), ["seq", "island"], "left_semi")
-        .repartition("seq", "island")
-        .sortWithinPartitions("seq", "island", "ts_ns", "side")
-    )
-    return simple.unionByName(ordered.mapInPandas(_greedy(tolerance_ns), _PAIR_TYPE))
+    return pairs_of(cut(sync_steps(left, right, tolerance_ns, width_ns, max_queue), "sync_steps"))
 
 
 def pose_at(queries: DataFrame, poses: DataFrame, width_ns: int = MINUTE_NS) -> DataFrame:
