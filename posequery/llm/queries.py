@@ -44,9 +44,7 @@ def _language_filters(docs: DataFrame) -> language.Filters:
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    labelled = docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id")
-    model = toxicity.fit(labelled, languages=_language_filters(docs))
+    model = toxicity.fit(docs.where(~held_out()), table(spark, folder, "labels"), languages=_language_filters(docs))
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "lang_pred")
 
 
