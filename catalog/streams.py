@@ -1,7 +1,8 @@
 """Streaming forms of the stateful operators.
 
-The given tables are appended to a source folder in two steps of stamp order; the query
-runs on what is new after each step and goes on from its checkpoint.
+The given tables are appended to a source folder in steps of stamp order, each in slices of a
+file; a trigger takes one file, so no task sorts more than a slice.  After each step the query
+runs on what is new and goes on from its checkpoint.
 """
 
 from __future__ import annotations
@@ -11,15 +12,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import ORACLES, query
 from catalog.alignment import _ASSOC
 from catalog.tracks import _AGED, _AGES, _COUNTED, KEYFRAME_SQL, MAX_AGE, TIME_RULE
 from posequery.fixtures import DAY_NS, EPOCH_2024, view, with_views
-from posequery.session import fresh_path
+from posequery.operators import timejoin as tj
+from posequery.session import cut, fresh_path
+from posequery.streaming import replay
 from posequery.streaming import stateful as st
 from posequery.streaming.rules import SYNC_COUNTS, KeyframeRule
 
 
+#: Files that a step is cut into, by stamp; a trigger takes one.
+SLICES = 2
+
+
 def run_stream(
     spark: SparkSession,
     source: DataFrame,
@@ -28,16 +35,27 @@ def run_stream(
     build: Callable[[DataFrame], DataFrame],
     mode: str = "append",
     ends: DataFrame | None = None,
+    behind=None,
 ) -> DataFrame:
     """Feed ``source`` in two steps, below and from ``split``, and return all output rows.
 
-    ``ends`` are fed as a last step; they move the watermark past all rows before them.
+    ``ends`` are fed as a last step; they move the watermark past all rows before them.  Rows that
+    ``behind`` holds for are fed with the second step, wherever they belong.
     """
     folder, sink, checkpoint = (fresh_path(spark, n) for n in ("stream", "sink", "checkpoint"))
+    source = cut(source, "source")
     early = F.col(order) < split
+    if behind is not None:
+        early = early & ~behind
     for step in (source.where(early), source.where(~early), *([] if ends is None else [ends])):
-        step.write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(source.schema).parquet(folder)
+        low, high = step.agg(F.min(order), F.max(order)).first()
+        if low is None:
+            continue
+        width = (high - low) // SLICES + 1
+        for k in range(SLICES):
+            within = (F.col(order) >= low + k * width) & (F.col(order) < low + (k + 1) * width)
+            step.where(within).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(folder)
         writer = build(stream).writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         if mode == "append":
             job = writer.format("parquet").option("path", sink).trigger(availableNow=True).start()
@@ -47,9 +65,8 @@ def run_stream(
     return spark.read.parquet(sink)
 
 
-def taken(rows: DataFrame) -> DataFrame:
-    """Output of a handler without its fault rows; the given tables hold no late rows."""
-    return rows.where("fault IS NULL").drop("fault", "fault_place")
+#: Columns of a row that was taken.
+_TAKEN = "CAST(NULL AS VARCHAR) AS fault, CAST(NULL AS BIGINT) AS fault_place"
 
 
 def _overwrite(path: str):
@@ -61,6 +78,7 @@ def _overwrite(path: str):
 
 HALF_NS = EPOCH_2024 + 15 * DAY_NS
 SOFT_NS = 3_000_000
+HOUR_NS = 3_600_000_000_000
 
 
 def events(spark, sf):
@@ -114,20 +132,57 @@ def stereo_sync_report(spark, sf):
     return rows.where("kind = 'report'").select("seq", *[F.col("counts")[n].alias(n) for n in SYNC_COUNTS])
 
 
+@query(
+    "i2_stereo_sync_resumed",
+    # The report of the whole sequence, and the pairs that a stamp of the second half completes.
+    with_views("left", "right", pairs=_PAIRS)
+    + f"SELECT seq, ts_ns, right_ts_ns FROM pairs WHERE greatest(ts_ns, right_ts_ns) >= {HALF_NS}",
+)
+def stereo_sync_resumed(spark, sf):
+    """The first half in one batch, the second as a stream that takes up what the batch left."""
+    return _resumed(spark, sf).where("kind = 'pair'").select("seq", "ts_ns", "right_ts_ns")
+
+
+def _resumed(spark, sf):
+    early = [view(spark, sf, n).where(F.col("ts_ns") < HALF_NS) for n in ("left", "right")]
+    state = cut(tj.sync_state(cut(tj.sync_steps(*early, SOFT_NS, DAY_NS), "steps")), "state")
+    rest = events(spark, sf).where((F.col("ts_ns") >= HALF_NS) | (F.col("camera") == "end"))
+    return run_stream(spark, rest, "ts_ns", HALF_NS + 5 * DAY_NS, lambda s: st.stereo_sync(s, SOFT_NS, initial=state))
+
+
+query("i2_stereo_sync_resumed_report", ORACLES["i2_stereo_sync_report"])(
+    lambda spark, sf: _resumed(spark, sf).where("kind = 'report'").select("seq", *[F.col("counts")[n].alias(n) for n in SYNC_COUNTS])
+)
+
+# In sequences 3 and 7 the last right image of the first half cannot be read.
 @query(
     "i1_replay_events",
     with_views("imu", "left", "right")
-    + "SELECT seq, ts_ns, kind FROM (SELECT seq, ts_ns, 'imu' AS kind FROM v_imu UNION ALL"
-    " SELECT seq, ts_ns, 'left' FROM v_left UNION ALL SELECT seq, ts_ns, 'right' FROM v_right)",
+    + f", bad AS (SELECT seq, max(ts_ns) AS ts_ns, count(*) AS n FROM v_right WHERE seq % 4 = 3 AND ts_ns < {HALF_NS} GROUP BY seq),"
+    " event AS (SELECT seq, ts_ns, 'imu' AS sensor, 0 AS rank FROM v_imu UNION ALL SELECT seq, ts_ns, 'left', 1 FROM v_left"
+    " UNION ALL SELECT seq, ts_ns, 'right', 2 FROM v_right),"
+    " told AS (SELECT e.*, CASE WHEN b.n IS NULL THEN sensor ELSE 'error' END AS kind, concat('record=', b.n) AS said, b.n FROM event e"
+    " LEFT JOIN bad b ON e.sensor = 'right' AND b.seq = e.seq AND b.ts_ns = e.ts_ns UNION ALL"
+    " SELECT seq, max(ts_ns), 'end', 3, 'end', NULL, NULL FROM event GROUP BY seq),"
+    " placed AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(max(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING"
+    " AND 1 PRECEDING), 0) > 0 AS broken FROM told WINDOW w AS (PARTITION BY seq ORDER BY ts_ns, rank))"
+    " SELECT seq, CASE WHEN NOT broken THEN place END AS position, ts_ns, kind, sensor, CASE WHEN broken THEN 'after error'"
+    " WHEN kind IN ('end', 'error') THEN kind ELSE 'event' END AS state, CASE WHEN n > 0 THEN said END AS cause FROM placed",
 )
 def replay_events(spark, sf):
-    kinds = [view(spark, sf, n).select("seq", "ts_ns").withColumn("k", F.lit(n)) for n in ("imu", "left", "right")]
-    source = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
-
-    def build(stream):
-        return st.replay_events(*[stream.where(F.col("k") == n) for n in ("imu", "left", "right")])
-
-    return run_stream(spark, source, "ts_ns", HALF_NS, build).select("seq", "ts_ns", "kind")
+    kinds = [view(spark, sf, n).select("seq", "ts_ns") for n in ("imu", "left", "right")]
+    rows = replay.replay_events(*kinds)
+    bad = kinds[2].where(f"seq % 4 = 3 AND ts_ns < {HALF_NS}").groupBy("seq").agg(F.max("ts_ns").alias("ts_ns"), F.count("*").alias("n"))
+    broken = F.col("n").isNotNull() & (F.col("sensor") == "right")
+    rows = rows.join(bad, ["seq", "ts_ns"], "left").select(
+        "seq", "ts_ns", F.when(broken, "error").otherwise(F.col("kind")).alias("kind"), "sensor", F.when(broken, F.concat(F.lit("record="), "n")).alias("cause")
+    )
+    ends = rows.groupBy("seq").agg(F.max("ts_ns").alias("ts_ns"))
+    rows = rows.unionByName(ends.select("seq", "ts_ns", F.lit("end").alias("kind"), F.lit("end").alias("sensor"), F.lit(None).cast("string").alias("cause")))
+    # Rows arrive up to six hours behind their stamp, an end marker behind all others.
+    hours = F.when(F.col("kind") == "end", 7).otherwise(F.pmod(F.xxhash64("seq", "ts_ns", "sensor"), F.lit(7)))
+    rows = rows.withColumn("arrival", F.col("ts_ns") + hours * F.lit(HOUR_NS))
+    return run_stream(spark, rows, "arrival", HALF_NS, lambda s: replay.ordered_replay(s, 8 * 3_600_000))
 
 
 def nested(spark, sf):
@@ -167,38 +222,35 @@ def half_frame(spark, sf):
     return view(spark, sf, "frames").agg(F.floor(F.max("frame") / 2)).scalar()
 
 
-@query("i3_keyframe_stream", KEYFRAME_SQL)
+@query(
+    "i3_keyframe_stream",
+    KEYFRAME_SQL.replace("SELECT seq, frame FROM walk WHERE chosen", f"SELECT seq, frame, chosen AS is_keyframe, {_TAKEN} FROM walk WHERE i > 0"),
+)
 def keyframe_stream(spark, sf):
     rule = KeyframeRule(400.0, 400.0, 320.0, 240.0, **TIME_RULE)
-    rows = run_stream(
-        spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.keyframe_select(s, rule)
-    )
-    return rows.where("is_keyframe").select("seq", "frame")
+    return run_stream(spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.keyframe_select(s, rule))
 
 
 @query(
     "i4_zombie_age_stream",
     with_views("obs", "culls", present=_AGES, aged=_AGED)
-    + f"SELECT seq, id, frame, age, age >= {MAX_AGE} AS dropped FROM aged",
+    + f"SELECT seq, id, frame, age, age >= {MAX_AGE} AS dropped, {_TAKEN} FROM aged",
 )
 def zombie_stream(spark, sf):
-    rows = run_stream(
-        spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.zombie_age(s, MAX_AGE)
-    )
-    return taken(rows)
+    return run_stream(spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.zombie_age(s, MAX_AGE))
 
 
 @query(
     "i5_window_eviction_stream",
     with_views("frames", counted=_COUNTED)
-    + "SELECT f.seq, f.segment_id, f.frame, m.frame AS member_frame, m.is_keyframe FROM counted f"
+    + f"SELECT f.seq, f.segment_id, f.frame, m.frame AS member_frame, m.is_keyframe, {_TAKEN} FROM counted f"
     " JOIN counted m ON f.seq = m.seq AND f.segment_id = m.segment_id AND m.frame <= f.frame"
     " AND ((m.is_keyframe AND f.nk - m.nk < 7) OR (NOT m.is_keyframe"
     " AND f.no - m.no < 10 - least(f.nk, 7)))",
 )
 def window_stream(spark, sf):
     accepted = nested(spark, sf).where("accepted")
-    return taken(run_stream(spark, accepted, "frame", half_frame(spark, sf), st.window_eviction))
+    return run_stream(spark, accepted, "frame", half_frame(spark, sf), st.window_eviction)
 
 
 @query(
@@ -208,14 +260,38 @@ def window_stream(spark, sf):
     " ELSE 'skip' END AS action FROM (SELECT *, count(*) OVER (PARTITION BY seq, frame) AS n,"
     " row_number() OVER (PARTITION BY seq, frame ORDER BY id) AS rank FROM v_culls)),"
     " later AS (SELECT seq, frame, lead(frame) OVER (PARTITION BY seq ORDER BY frame) AS next FROM v_frames)"
-    " SELECT seq, frame, id, action FROM acted UNION ALL SELECT a.seq, l.next, a.id, 'flush' FROM acted a"
+    f" SELECT seq, frame, id, action, {_TAKEN} FROM acted UNION ALL SELECT a.seq, l.next, a.id, 'flush', NULL, NULL FROM acted a"
     " JOIN later l USING (seq, frame) WHERE a.action = 'defer' AND l.next IS NOT NULL",
 )
 def skip_drop_stream(spark, sf):
-    rows = run_stream(
-        spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.skip_drop(s, 2, 1)
+    return run_stream(spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.skip_drop(s, 2, 1))
+
+
+# Some frames of sequences 2 and 7 arrive with the second half: late ones stop their sequence.
+_BEHIND = "seq % 5 = 2 AND frame % 20 < 4"
+
+
+@query(
+    "i6_skip_drop_late_rows",
+    with_views("culls", "frames")
+    + ", half AS (SELECT floor(max(frame) / 2) AS h FROM v_frames),"
+    f" fed AS (SELECT seq, frame, frame < h AND NOT ({_BEHIND}) AS first FROM v_frames, half),"
+    " reach AS (SELECT seq, max(frame) FILTER (first) AS last FROM fed GROUP BY seq),"
+    " judged AS (SELECT f.seq, f.frame, f.first, coalesce(f.frame <= last, false) AS late, coalesce(bool_or(NOT first AND f.frame <= last)"
+    " OVER (PARTITION BY f.seq), false) AS stops FROM fed f JOIN reach USING (seq)),"
+    " taken AS (SELECT seq, frame FROM judged WHERE first OR NOT stops),"
+    " acted AS (SELECT seq, frame, id, CASE WHEN n < 2 THEN 'drop' WHEN rank <= 1 THEN 'defer'"
+    " ELSE 'skip' END AS action FROM (SELECT c.*, count(*) OVER (PARTITION BY seq, frame) AS n,"
+    " row_number() OVER (PARTITION BY seq, frame ORDER BY id) AS rank FROM v_culls c JOIN taken USING (seq, frame))),"
+    " later AS (SELECT seq, frame, lead(frame) OVER (PARTITION BY seq ORDER BY frame) AS next FROM taken)"
+    f" SELECT seq, frame, id, action, {_TAKEN} FROM acted UNION ALL SELECT a.seq, l.next, a.id, 'flush', NULL, NULL FROM acted a"
+    " JOIN later l USING (seq, frame) WHERE a.action = 'defer' AND l.next IS NOT NULL UNION ALL"
+    " SELECT seq, NULL, NULL, NULL, CASE WHEN late THEN 'late' ELSE 'stopped' END, frame FROM judged WHERE stops AND NOT first",
+)
+def skip_drop_late(spark, sf):
+    return run_stream(
+        spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.skip_drop(s, 2, 1), behind=F.expr(_BEHIND)
     )
-    return taken(rows)
 
 
 @query(
@@ -224,12 +300,12 @@ def skip_drop_stream(spark, sf):
     + ", firsts AS (SELECT seq, id, min(frame) AS first FROM v_obs WHERE disparity > 0 GROUP BY seq, id),"
     " seeds AS (SELECT seq, first AS seed_frame FROM firsts QUALIFY row_number() OVER"
     " (PARTITION BY seq ORDER BY first, id) = 10)"
-    " SELECT o.seq, s.seed_frame, o.id, max(o.frame) AS frame, arg_max(o.u, o.frame) AS u"
+    f" SELECT o.seq, s.seed_frame, o.id, max(o.frame) AS frame, arg_max(o.u, o.frame) AS u, {_TAKEN}"
     " FROM v_obs o JOIN seeds s ON o.seq = s.seq AND o.frame <= s.seed_frame WHERE o.disparity > 0"
     " GROUP BY o.seq, s.seed_frame, o.id",
 )
 def seed_stream(spark, sf):
-    return taken(run_stream(spark, nested(spark, sf), "frame", half_frame(spark, sf), st.accumulate_seed))
+    return run_stream(spark, nested(spark, sf), "frame", half_frame(spark, sf), st.accumulate_seed)
 
 
 @query(

@@ -137,14 +137,15 @@ def sync_report(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFram
 def sync_steps(
     left: DataFrame, right: DataFrame, tolerance_ns: int, width_ns: int = MINUTE_NS, max_queue: int | None = None
 ) -> DataFrame:
-    """``seq, ts_ns, side, rank, partner, waits, queue, overflow`` of every stamp, in push order.
+    """``seq, ts_ns, side, rank, partner, waits, queue, overflow, left_over`` of every stamp, in push order.
 
     Stamps are pushed as they rise, left (``side`` 0) before right (1) where equal.  What waits is
     always the latest stamps of one side, so a signed number tells all: a push drops what is too
     old of the other side, takes one off if any is left, and waits otherwise.  That is a bounded
     counter (:mod:`plans.clamps`), so a sequence without a gap is spread like any other.
     ``rank`` numbers the stamps of a side from 0, ``partner`` is the rank on the other side,
-    null without a pair; ``queue`` counts what waits after a stamp that waits.  With
+    null without a pair; ``queue`` counts what waits after a stamp that waits, ``left_over`` what waits
+    before it takes one or joins.  With
     ``max_queue`` the oldest goes when more would wait, and ``overflow`` is true.
     """
     if tolerance_ns < 0 or (max_queue is not None and max_queue < 1):
@@ -181,7 +182,7 @@ def sync_steps(
         F.when(~waits, others - F.abs("left_over")).alias("partner"),
         waits.alias("waits"),
         F.when(waits, F.least(F.abs("left_over") + 1, F.lit(most))).alias("queue"),
-        (waits & (F.abs("left_over") + 1 > most)).alias("overflow"),
+        (waits & (F.abs("left_over") + 1 > most)).alias("overflow"), "left_over",
     )
 
 
@@ -211,6 +212,34 @@ def steps_report(steps: DataFrame) -> DataFrame:
     return steps.groupBy("seq").agg(*out)
 
 
+def sync_state(steps: DataFrame) -> DataFrame:
+    """What a stream needs to go on after :func:`sync_steps`, a row per sequence.
+
+    ``side`` and ``waiting`` (the stamps, as many as the stream would hold), the latest stamp of either
+    side, the counters so far, with nothing that waits dropped yet, and ``last``: the place
+    of the latest push in ``arrival``, four for each nanosecond and one more for a right one.
+    """
+    latest = F.max_by(F.struct("side", "waits", "queue", "rank", "left_over"), F.struct("ts_ns", "side"))
+    stamp = lambda side: F.max(F.when(F.col("side") == side, F.col("ts_ns")))
+    top = lambda side: F.max(F.when(F.col("side") == side, F.col("rank")))
+    ends = steps.groupBy("seq").agg(
+        latest.alias("x"), stamp(0).alias("left"), stamp(1).alias("right"), top(0).alias("top_left"), top(1).alias("top_right"),
+        F.max(F.col("ts_ns") * 4 + F.col("side")).alias("last"),
+    )
+    side = F.when(F.col("x.waits"), F.col("x.side")).otherwise(1 - F.col("x.side"))
+    n = F.when(F.col("x.waits"), F.col("x.queue")).otherwise(F.abs("x.left_over") - 1)
+    ends = ends.select("seq", "left", "right", "last", side.alias("side"), n.alias("n"), F.when(side == 0, F.col("top_left")).otherwise(F.col("top_right")).alias("top"))
+    held = steps.select("seq", "side", "rank", "ts_ns").join(ends.select("seq", "side", "n", "top"), ["seq", "side"]).where("rank > top - n")
+    held = held.groupBy("seq").agg(F.sort_array(F.collect_list("ts_ns")).alias("waiting"))
+    counts = steps_report(steps)
+    waits = lambda value, name: F.when(F.col("side") == value, F.col(name) - F.col("n")).otherwise(F.col(name)).alias(name)
+    joined = ends.join(held, "seq", "left").join(counts, "seq")
+    return joined.select(
+        "seq", "last", F.when(F.col("side") == 0, "left").otherwise("right").alias("side"), F.coalesce("waiting", F.array().cast("array<long>")).alias("waiting"),
+        "left", "right", waits(0, "dropped_left"), waits(1, "dropped_right"), *(c for c in counts.columns if c != "seq" and not c.startswith("dropped")),
+    )
+
+
 def pair_soft(
     left: DataFrame, right: DataFrame, tolerance_ns: int, width_ns: int = MINUTE_NS, max_queue: int | None = None
 ) -> DataFrame:

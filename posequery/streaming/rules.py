@@ -72,7 +72,18 @@ class KeyframeRule:
 
 
 class Handler:
-    """What the rules of a sequence share: none ends and none minds being stopped."""
+    """What the rules of a sequence share: none ends and none minds being stopped.
+
+    ``state`` names what a rule remembers: a ``value`` (a row), a ``list`` of rows or a ``map`` of
+    rows, with their columns.  ``dump`` gives it as tuples under those names, None for a value
+    that is not there yet, and ``load`` takes the same.
+    """
+
+    state: dict[str, tuple[str, ...]] = {}
+
+    def begin(self, row) -> None:
+        """Take up what a batch run left of the sequence."""
+        raise NotImplementedError
 
     def ends(self, row) -> bool:
         """Whether ``row`` closes the sequence and is taken even after a fault."""
@@ -95,6 +106,12 @@ class SyncHandler(Handler):
     """
 
     output = "seq long, kind string, ts_ns long, right_ts_ns long, status string, counts map<string,long>"
+    state = {
+        "left": ("list", "ts_ns long"),
+        "right": ("list", "ts_ns long"),
+        "seen": ("value", "left long, right long, status string"),
+        "counts": ("map", "name string", "n long"),
+    }
 
     def __init__(self, tolerance_ns: int = 0, max_queue: int | None = None) -> None:
         if tolerance_ns < 0 or (max_queue is not None and max_queue < 1):
@@ -106,18 +123,26 @@ class SyncHandler(Handler):
         self.counts = dict.fromkeys(SYNC_COUNTS, 0)
 
     def load(self, state: dict) -> None:
-        self.waiting = Waiting(self.waiting.tolerance_ns, state["waiting"], state["side"])
-        self.latest, self.status, self.counts = state["latest"], state["status"], state["counts"]
+        side = "right" if state["right"] else "left"
+        self.waiting = Waiting(self.waiting.tolerance_ns, [t for (t,) in state[side]], side)
+        left, right, self.status = state["seen"] or (None, None, None)
+        self.latest = {s: t for s, t in (("left", left), ("right", right)) if t is not None}
+        self.counts |= {name: n for (name,), (n,) in state["counts"].items()}
 
     def dump(self) -> dict:
+        waiting = [(t,) for t in self.waiting.stamps]
         return {
-            "waiting": list(self.waiting.stamps),
-            "side": self.waiting.side,
-            "latest": self.latest,
-            "status": self.status,
-            "counts": self.counts,
+            "left": waiting if self.waiting.side == "left" else [],
+            "right": waiting if self.waiting.side == "right" else [],
+            "seen": (self.latest.get("left"), self.latest.get("right"), self.status),
+            "counts": {(name,): (n,) for name, n in self.counts.items()},
         }
 
+    def begin(self, row) -> None:
+        self.waiting = Waiting(self.waiting.tolerance_ns, [int(t) for t in row.waiting], row.side)
+        self.latest = {s: int(t) for s, t in (("left", row.left), ("right", row.right)) if t is not None and t == t}
+        self.counts |= {name: int(getattr(row, name)) for name in self.counts}
+
     def ends(self, row) -> bool:
         return row.camera == "end"
 
@@ -162,6 +187,10 @@ class KeyframeHandler(Handler):
     """Keyframe decisions of one sequence; the state advances on accepted frames only."""
 
     output = "seq long, frame long, is_keyframe boolean"
+    state = {
+        "at": ("value", "count int, rotation array<double>, last_ns long, last_rotation array<double>"),
+        "tracks": ("list", "id long, u double, v double"),
+    }
 
     def __init__(self, rule: KeyframeRule) -> None:
         self.rule = rule
@@ -169,10 +198,18 @@ class KeyframeHandler(Handler):
         self.rotation = [0.0, 0.0, 0.0, 1.0]
 
     def load(self, state: dict) -> None:
-        self.count, self.last, self.rotation = state["count"], state["last"], state["rotation"]
+        if state["at"] is None:
+            return
+        self.count, self.rotation, last_ns, turned = state["at"]
+        if last_ns is not None:
+            ids, us, vs = (list(c) for c in zip(*state["tracks"])) if state["tracks"] else ([], [], [])
+            self.last = {"ts_ns": last_ns, "ids": ids, "us": us, "vs": vs, "rotation": turned}
 
     def dump(self) -> dict:
-        return {"count": self.count, "last": self.last, "rotation": self.rotation}
+        if self.last is None:
+            return {"at": (self.count, self.rotation, None, None), "tracks": []}
+        tracks = list(zip(*(self.last[c] for c in ("ids", "us", "vs"))))
+        return {"at": (self.count, self.rotation, self.last["ts_ns"], self.last["rotation"]), "tracks": tracks}
 
     @staticmethod
     def _unpacked(held: dict) -> dict:
@@ -207,6 +244,7 @@ class AgeHandler(Handler):
     """Ages of marked ids of one sequence while they stay present in following frames."""
 
     output = "seq long, id long, frame long, age long, dropped boolean"
+    state = {"at": ("value", "frame long"), "ages": ("map", "id long", "age long")}
 
     def __init__(self, max_age: int) -> None:
         self.max_age = max_age
@@ -214,11 +252,11 @@ class AgeHandler(Handler):
         self.ages: dict[int, int] = {}
 
     def load(self, state: dict) -> None:
-        self.frame = state["frame"]
-        self.ages = {int(k): v for k, v in state["ages"].items()}
+        (self.frame,) = state["at"] or (None,)
+        self.ages = {i: age for (i,), (age,) in state["ages"].items()}
 
     def dump(self) -> dict:
-        return {"frame": self.frame, "ages": self.ages}
+        return {"at": (self.frame,), "ages": {(i,): (age,) for i, age in self.ages.items()}}
 
     def feed(self, row) -> list[tuple]:
         present = set() if row.ids is None else {int(i) for i in row.ids}
@@ -244,16 +282,18 @@ class WindowHandler(Handler):
     """Window membership of one sequence after each accepted frame."""
 
     output = "seq long, segment_id long, frame long, member_frame long, is_keyframe boolean"
+    state = {"at": ("value", "segment long"), "window": ("list", "frame long, is_keyframe boolean")}
 
     def __init__(self, max_frames: int = 10, max_keyframes: int = 7) -> None:
         self.max_frames, self.max_keyframes = max_frames, max_keyframes
         self.segment, self.window = None, []
 
     def load(self, state: dict) -> None:
-        self.segment, self.window = state["segment"], state["window"]
+        (self.segment,) = state["at"] or (None,)
+        self.window = [list(member) for member in state["window"]]
 
     def dump(self) -> dict:
-        return {"segment": self.segment, "window": self.window}
+        return {"at": (self.segment,), "window": [tuple(member) for member in self.window]}
 
     def _evict(self, index: int | None) -> None:
         self.window.pop(0 if index is None else index)
@@ -275,16 +315,17 @@ class SkipDropHandler(Handler):
     """Drop, skip and deferred flush of culled ids of one sequence."""
 
     output = "seq long, frame long, id long, action string"
+    state = {"pending": ("list", "id long")}
 
     def __init__(self, min_culled: int = 4, defer_topk: int = 0) -> None:
         self.min_culled, self.defer_topk = min_culled, defer_topk
         self.pending: list[int] = []
 
     def load(self, state: dict) -> None:
-        self.pending = state["pending"]
+        self.pending = [i for (i,) in state["pending"]]
 
     def dump(self) -> dict:
-        return {"pending": self.pending}
+        return {"pending": [(i,) for i in self.pending]}
 
     def feed(self, row) -> list[tuple]:
         frame = int(row.frame)
@@ -304,24 +345,25 @@ class SeedHandler(Handler):
     """Latest stereo observation per id of one sequence until enough ids are known."""
 
     output = "seq long, seed_frame long, id long, frame long, u double"
+    state = {"at": ("value", "seeded boolean"), "held": ("map", "id long", "frame long, u double")}
 
     def __init__(self, min_ids: int = 10) -> None:
         self.min_ids = min_ids
         self.seeded, self.held = False, {}
 
     def load(self, state: dict) -> None:
-        self.seeded = state["seeded"]
-        self.held = {int(k): v for k, v in state["held"].items()}
+        (self.seeded,) = state["at"] or (False,)
+        self.held = {i: seen for (i,), seen in state["held"].items()}
 
     def dump(self) -> dict:
-        return {"seeded": self.seeded, "held": self.held}
+        return {"at": (self.seeded,), "held": {(i,): seen for i, seen in self.held.items()}}
 
     def feed(self, row) -> list[tuple]:
         if self.seeded or row.ids is None:
             return []
         for i, u, disparity in zip(row.ids, row.us, row.disparities, strict=True):
             if disparity > 0:
-                self.held[int(i)] = [int(row.frame), float(u)]
+                self.held[int(i)] = int(row.frame), float(u)
         if len(self.held) < self.min_ids:
             return []
         out = [(int(row.frame), i, f, u) for i, (f, u) in sorted(self.held.items())]

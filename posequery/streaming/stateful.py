@@ -1,27 +1,28 @@
 """Stateful operators on streams of one row per event or frame, keyed by sequence.
 
 The state of a sequence is small and does not grow with its length: queue fronts, the last
-keyframe, ages, window members.  It is kept as JSON text.  A micro-batch brings a sequence's
-rows in any order; they are sorted by ``order`` first, so trigger limits (files per trigger)
-bound what one task holds.  A row that is not later than one already processed stops its
-sequence: late data is an error, not something to wait for.  Each row that is not taken comes out
-with its place and a ``fault``: ``late``, or ``stopped`` after a late one.  A row that ends the
-sequence is taken all the same.
+keyframe, ages, window members.  It is kept in typed columns, a value, list or map each, and only
+what a micro-batch changed is written.  A micro-batch brings a sequence's rows in any order;
+they are sorted by ``order`` first, so trigger limits (files per trigger) bound what one task
+holds.  A row that is not later than one already processed stops its sequence: late data is
+an error, not something to wait for (:mod:`replay` restores order).  Each row that is not taken
+comes out with its place and a ``fault``: ``late``, or ``stopped`` after a late one.  A row that ends
+the sequence is taken all the same.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from posequery.streaming.rules import (
     AgeHandler,
+    Handler,
     KeyframeHandler,
     KeyframeRule,
     SeedHandler,
@@ -30,29 +31,68 @@ from posequery.streaming.rules import (
     WindowHandler,
 )
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def per_sequence(stream: DataFrame, make: Callable[[], object], output: str, order: str) -> DataFrame:
-    """Run one handler per ``seq`` over rows in ``order``; works on streams.
 
-    A handler has ``feed(row)``, ``dump()``, ``load(state)``, ``ends(row)`` and ``stop(status)``.
-    To its ``output`` come ``fault`` and ``fault_place``, null beside its own rows.
-    """
-    output += ", fault string, fault_place long"
-    names = StructType.fromDDL(output).names
-    blank = [None] * (len(names) - 3)
-
-    def run(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        handler, last, stopped = make(), None, False
-        if state.exists:
-            saved = json.loads(state.get[0])
-            last, stopped = saved["last"], saved["stopped"]
-            handler.load(saved["handler"])
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        out = []
-        for row in rows.itertuples(index=False):
-            place = int(getattr(row, order))
+def typed_state(spark: SparkSession) -> None:
+    """Let streams that start from now on keep their state in RocksDB, which typed state needs."""
+    spark.conf.set(_PROVIDER, _ROCKS)
+
+
+class _Sequence(StatefulProcessor):
+    """One handler per key over rows in order."""
+
+    def __init__(self, make: Callable[[], Handler], names: list[str], order: str) -> None:
+        self.make, self.names, self.order = make, names, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kinds = {"value": handle.getValueState, "list": handle.getListState, "map": handle.getMapState}
+        self.place = handle.getValueState("place", "last long, stopped boolean")
+        self.held = {name: (kind, kinds[kind](name, *columns)) for name, (kind, *columns) in self.make().state.items()}
+
+    def _read(self) -> dict:
+        out = {}
+        for name, (kind, held) in self.held.items():
+            if kind == "value":
+                out[name] = tuple(held.get()) if held.exists() else None
+            elif kind == "list":
+                out[name] = [tuple(row) for row in held.get()] if held.exists() else []
+            else:
+                out[name] = {tuple(key): tuple(value) for key, value in held.iterator()} if held.exists() else {}
+        return out
+
+    def _write(self, before: dict, after: dict) -> None:
+        for name, (kind, held) in self.held.items():
+            old, new = before[name], after[name]
+            if old == new:
+                continue
+            if kind == "value":
+                held.update(new)
+            elif kind == "list":
+                held.put(new) if new else held.clear()
+            else:
+                for key in old.keys() - new.keys():
+                    held.removeKey(key)
+                for key, value in new.items():
+                    if old.get(key) != value:
+                        held.updateValue(key, value)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        handler = self.make()
+        for row in initialState.itertuples(index=False):
+            handler.begin(row)
+            self.place.update((int(row.last), False))
+        self._write(self._read(), handler.dump())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        handler, before = self.make(), self._read()
+        handler.load(before)
+        last, stopped = self.place.get() if self.place.exists() else (None, False)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        blank, out = [None] * (len(self.names) - 3), []
+        for row in batch.itertuples(index=False):
+            place = int(getattr(row, self.order))
             late = last is not None and place <= last
             if (late or stopped) and not handler.ends(row):
                 stopped = True
@@ -61,38 +101,39 @@ def per_sequence(stream: DataFrame, make: Callable[[], object], output: str, ord
                 continue
             last = place if last is None else max(last, place)
             out += [(key[0], *values, None, None) for values in handler.feed(row)]
-        state.update(
-            (json.dumps({"last": last, "stopped": stopped, "handler": handler.dump()}),)
-        )
+        self.place.update((last, stopped))
+        self._write(before, handler.dump())
         # Object columns keep 64-bit stamps exact beside nulls.
-        yield pd.DataFrame(out, columns=names, dtype=object)
-
-    return stream.groupBy("seq").applyInPandasWithState(
-        run, output, "state string", "append", GroupStateTimeout.NoTimeout
-    )
+        yield pd.DataFrame(out, columns=self.names, dtype=object)
 
 
-def replay_events(imu: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """One stream of typed events from three sensor streams.
+def per_sequence(
+    stream: DataFrame, make: Callable[[], Handler], output: str, order: str, initial: DataFrame | None = None
+) -> DataFrame:
+    """Run one handler per ``seq`` over rows in ``order``; works on streams.
 
-    Streams have no global order; consumers restore it per sequence by ``replay_order``.
+    To the handler's ``output`` come ``fault`` and ``fault_place``, null beside its own rows.  ``initial``
+    holds a row for each sequence that a batch run has begun: ``seq``, the ``last`` place, and
+    what the handler's ``begin`` takes.
     """
-
-    def tag(df: DataFrame, kind: str, rank: int) -> DataFrame:
-        return df.select("seq", "ts_ns", F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
-
-    merged = tag(imu, "imu", 0).unionByName(tag(left, "left", 1)).unionByName(tag(right, "right", 2))
-    return merged.withColumn("replay_order", F.col("ts_ns") * 4 + F.col("rank"))
+    typed_state(stream.sparkSession)
+    output += ", fault string, fault_place long"
+    processor = _Sequence(make, StructType.fromDDL(output).names, order)
+    start = None if initial is None else initial.groupBy("seq")
+    return stream.groupBy("seq").transformWithStateInPandas(processor, output, "Append", "none", start)
 
 
-def stereo_sync(events: DataFrame, tolerance_ns: int = 0, max_queue: int | None = None) -> DataFrame:
+def stereo_sync(
+    events: DataFrame, tolerance_ns: int = 0, max_queue: int | None = None, initial: DataFrame | None = None
+) -> DataFrame:
     """Pairs, faults and final reports of ``seq, camera, ts_ns, arrival`` events.
 
-    ``camera`` is ``left``, ``right`` or ``end``; ``arrival`` is the order of the pushes.
+    ``camera`` is ``left``, ``right`` or ``end``; ``arrival`` is the order of the pushes.  A stream that
+    goes on from a batch run takes its ``initial`` from ``timejoin.sync_state``.
     """
     SyncHandler(tolerance_ns, max_queue)  # rejects bad options before the stream starts
     return per_sequence(
-        events, lambda: SyncHandler(tolerance_ns, max_queue), SyncHandler.output, "arrival"
+        events, lambda: SyncHandler(tolerance_ns, max_queue), SyncHandler.output, "arrival", initial
     )
 
 

@@ -1,6 +1,5 @@
 """Stereo pairing: analytic cases, brute force, and batch against push order."""
 
-import json
 import random
 from types import SimpleNamespace
 
@@ -75,7 +74,7 @@ def test_handler_equals_two_pointers_in_any_interleaving(seed):
         side = rng.choice([s for s in queues if queues[s]])
         out += fed(handler, [(side, queues[side].pop(0))])
         again = SyncHandler(tolerance)
-        again.load(json.loads(json.dumps(handler.dump())))
+        again.load(handler.dump())
         handler = again
     pairs = [(a, b) for kind, a, b, _, _ in out if kind == "pair"]
     assert pairs == two_pointer(left, right, tolerance)

@@ -63,7 +63,7 @@ def test_registry_is_consistent():
     queries, oracles = registry.queries(), registry.oracle_sql()
     assert set(oracles) <= set(queries)
     missing = set(queries) - set(oracles)
-    assert {m for m in missing if not m.startswith("op") and m != "pipeline"} == {"i3_keyframe_select_all_rules"}
+    assert {m for m in missing if not m.startswith("op") and m != "pipeline"} == set()
 
 
 SAMPLE = [
