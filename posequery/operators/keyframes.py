@@ -4,8 +4,10 @@ Whether a frame becomes a keyframe depends on the last accepted keyframe, so the
 rule looks sequential.  But after half a second without one the next usable frame is
 always chosen: a chunk of time can be entered only with one of the keyframes of the
 second before it, or with an older one that no longer matters.  Each chunk is solved
-for all of those entries at once (their paths soon merge), and a light ordered pass
-picks the entry that really holds.
+for all of those entries at once (their paths soon merge): it becomes a map from the state at
+its entry to that at its exit, and a frame knows for which entries it is chosen.  Maps compose within
+groups of chunks, then within groups of groups; the entry that really holds comes down
+the same way.  Only maps travel, never frames, and no task sees a whole sequence.
 """
 
 from __future__ import annotations
@@ -14,17 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posequery.plans.ordered import Scan, ordered_scan
+from posequery.session import cut
 from posequery.streaming.rules import KeyframeRule, rotation_matrix
 
 _NONE, _OLD = -1, -2
-_CHUNK_TYPE = (
-    "seq long, chunk long, paths array<struct<count:int,entry:long,exit_count:int,"
-    "exit_entry:long,frames:array<bigint>>>"
-)
+#: Chunks, or groups, whose maps are composed at a time.
+_GROUP = 64
+# A row is a map's entry (``at`` is its place, ``exit_*`` where it leads), or a frame with one bit for each
+# entry that chooses it.
+_CHUNK_TYPE = "seq long, chunk long, at int, count int, entry long, exit_count int, exit_entry long, frame long, chosen array<long>"
 
 
 def nested_frames(frames: DataFrame, obs: DataFrame, width_ns: int) -> DataFrame:
@@ -77,7 +81,7 @@ def _unpack(row) -> dict:
     }
 
 
-def _solve_chunk(rule: KeyframeRule):
+def _solve_chunk(rule: KeyframeRule, width_ns: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_ns")
         chunk = int(pdf["chunk"].iloc[0])
@@ -99,37 +103,84 @@ def _solve_chunk(rule: KeyframeRule):
                     chosen[entry].append(row["frame"])
                     if row["accepted"]:
                         state[entry] = (min(current[0] + 1, 2), row["frame"])
-        paths = [
-            {
-                "count": e[0],
-                "entry": e[1],
-                "exit_count": state[e][0],
-                "exit_entry": state[e][1],
-                "frames": chosen[e],
-            }
-            for e in entries
-        ]
-        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "chunk": [chunk], "paths": [paths]})
+        seq, number, out = int(pdf["seq"].iloc[0]), chunk // width_ns, []
+        for at, entry in enumerate(entries):
+            out.append((seq, number, at, *entry, *state[entry], None, None))
+        masks: dict[int, int] = {}
+        for at, entry in enumerate(entries):
+            for frame in chosen[entry]:
+                masks[frame] = masks.get(frame, 0) | 1 << at
+        words = len(entries) // 63 + 1
+        for frame, mask in masks.items():
+            out.append((seq, number, None, None, None, None, None, frame, [mask >> 63 * k & (1 << 63) - 1 for k in range(words)]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _CHUNK_TYPE.split(", ")], dtype=object)
 
     return run
 
 
-def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pick the path of each chunk by the state its predecessor ended in."""
-    sequence, state = None, (0, _NONE)
+_STATE_TYPE = "seq long, _group long, chunk long, of_count int, of_entry long, count int, entry long, at int"
+
+
+def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For every entry of a group's first chunk, the state at each chunk's entry, and at the end with a null chunk.
+
+    Rows are map entries sorted by sequence, group, chunk and place.
+    """
+    names = [c.split()[0] for c in _STATE_TYPE.split(", ")]
+    group, chunk, paths, own, out = None, None, {}, {}, []
+
+    def go_on() -> None:
+        """Take all paths through the chunk read last."""
+        if not paths:
+            paths.update({state: state for state in own})
+        for start, state in paths.items():
+            state = state if state in own else (state[0], _OLD)
+            at, after = own[state]
+            out.append((*group, chunk, *start, *state, at))
+            # A chunk that chooses nothing leaves an older keyframe what it was.
+            paths[start] = after
+
+    def close() -> None:
+        go_on()
+        out.extend((*group, None, *start, *state, None) for start, state in paths.items())
+
     for batch in batches:
+        columns = [batch[c].tolist() for c in ("seq", "_group", "chunk", "at", "count", "entry", "exit_count", "exit_entry")]
+        for seq, g, c, at, count, entry, exit_count, exit_entry in zip(*columns, strict=True):
+            if (seq, g) != group or c != chunk:
+                if group is not None:
+                    close() if (seq, g) != group else go_on()
+                if (seq, g) != group:
+                    paths = {}
+                group, chunk, own = (seq, g), c, {}
+            own[count, entry] = at, (exit_count, exit_entry)
+        yield pd.DataFrame(out, columns=names, dtype=object)
         out = []
-        for seq, paths in zip(batch["seq"].tolist(), batch["paths"], strict=True):
-            if seq != sequence:
-                sequence, state = seq, (0, _NONE)
-            by_entry = {(p["count"], p["entry"]): p for p in paths}
-            path = by_entry.get(state)
-            if path is None:
-                path = by_entry[(state[0], _OLD)]
-            out += [(seq, f) for f in path["frames"]]
-            if len(path["frames"]):
-                state = (path["exit_count"], path["exit_entry"])
-        yield pd.DataFrame(out, columns=["seq", "frame"]).astype("int64")
+    if group is not None:
+        close()
+        yield pd.DataFrame(out, columns=names, dtype=object)
+
+
+def _entered(maps: DataFrame) -> DataFrame:
+    """``seq, chunk, at``: the place of the entry that really holds in each chunk's map."""
+    grouped = maps.withColumn("_group", F.floor(F.col("chunk") / _GROUP))
+    grouped = grouped.repartition("seq", "_group").sortWithinPartitions("seq", "_group", "chunk", "at")
+    states = cut(grouped.mapInPandas(_compose, _STATE_TYPE), "states")
+    inner = states.where("chunk IS NOT NULL")
+    groups = states.where("chunk IS NULL").select(
+        "seq", F.col("_group").alias("chunk"), F.col("of_count").alias("count"), F.col("of_entry").alias("entry"), F.col("count").alias("exit_count"), F.col("entry").alias("exit_entry")
+    )
+    # Places within a group's map: the start of a sequence first, the oldest keyframe last.
+    order = Window.partitionBy("seq", "chunk").orderBy("count", F.desc("entry"))
+    groups = cut(groups.withColumn("at", (F.row_number().over(order) - 1).cast("int")), "groups")
+    if (groups.groupBy("seq").agg(F.countDistinct("chunk").alias("n")).agg(F.max("n")).first()[0] or 0) > 1:
+        real = _entered(groups).select("seq", F.col("chunk").alias("_group"), F.col("at").alias("_at"))
+        named = groups.select("seq", F.col("chunk").alias("_group"), F.col("at").alias("_at"), F.col("count").alias("of_count"), F.col("entry").alias("of_entry"))
+        real = named.join(real, ["seq", "_group", "_at"]).drop("_at")
+        inner = inner.join(real, ["seq", "_group", "of_count", "of_entry"], "left_semi")
+    else:
+        inner = inner.where(f"of_count = 0 AND of_entry = {_NONE}")
+    return inner.select("seq", "chunk", "at")
 
 
 def select_keyframes(nested: DataFrame, rule: KeyframeRule, width_ns: int) -> DataFrame:
@@ -145,6 +196,8 @@ def select_keyframes(nested: DataFrame, rule: KeyframeRule, width_ns: int) -> Da
     ahead = stamp + F.lit(reach)
     chunks = F.array_distinct(F.array(own, ahead - F.pmod(ahead, F.lit(width_ns))))
     spread = nested.withColumn("chunk", F.explode(chunks))
-    solved = spread.groupBy("seq", "chunk").applyInPandas(_solve_chunk(rule), _CHUNK_TYPE)
-    ordered = solved.repartition("seq").sortWithinPartitions("seq", "chunk")
-    return ordered.mapInPandas(_follow, "seq long, frame long")
+    solved = cut(spread.groupBy("seq", "chunk").applyInPandas(_solve_chunk(rule, width_ns), _CHUNK_TYPE), "solved")
+    entered = _entered(solved.where("frame IS NULL").drop("frame", "chosen")).withColumnRenamed("at", "_at")
+    frames = solved.where("frame IS NOT NULL").select("seq", "chunk", "frame", "chosen").join(entered, ["seq", "chunk"])
+    picked = F.expr("shiftright(chosen[CAST(_at DIV 63 AS INT)], CAST(_at % 63 AS INT)) & 1 = 1")
+    return frames.where(picked).select("seq", "frame")

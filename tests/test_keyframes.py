@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
+from posequery.operators import keyframes
 from posequery.operators.keyframes import nested_frames, select_keyframes
 from posequery.streaming.rules import KeyframeHandler, KeyframeRule, rotation_matrix
 
@@ -68,7 +69,8 @@ def test_pure_rotation_is_no_parallax():
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_batch_equals_loop(spark, seed):
+def test_batch_equals_loop(spark, seed, monkeypatch):
+    monkeypatch.setattr(keyframes, "_GROUP", 3)  # groups of groups of chunks
     rng = random.Random(seed)
     frames, t = [], 0
     u, base = 100.0, 0
