@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import query, r6, s6
-from posequery.fixtures import view, with_views
+from posequery.fixtures import view, view_sql, with_views
 from posequery.operators import evaluate as ev
 from posequery.operators import timejoin as tj
 from posequery.session import cut
@@ -150,6 +150,65 @@ def rpe(spark, sf):
     )
 
 
+# Beside the given runs one that lies far from its ground truth and one of which two thirds match nothing.
+_MORE_EST = (
+    "SELECT * FROM est_0 UNION ALL SELECT * REPLACE ('far' AS run, ts_ns + 4000000000000000 AS ts_ns) FROM est_0 WHERE seq = 1"
+    " UNION ALL SELECT * REPLACE ('thin' AS run, ts_ns + CASE WHEN event_id % 3 = 0 THEN 0 ELSE 600000000 END AS ts_ns) FROM est_0 WHERE seq = 2"
+)
+
+
+def gated_pairs(spark, sf):
+    """Matched pairs and the association report of the runs of ``_MORE_EST``."""
+    est = view(spark, sf, "est")
+    late = F.when(F.col("event_id") % 3 == 0, 0).otherwise(600_000_000)
+    far = est.where("seq = 1").withColumns({"run": F.lit("far"), "ts_ns": F.col("ts_ns") + 4_000_000_000_000_000})
+    thin = est.where("seq = 2").withColumns({"run": F.lit("thin"), "ts_ns": F.col("ts_ns") + late})
+    gt = view(spark, sf, "gt").drop("event_id")
+    found = cut(tj.associate(est.unionByName(far).unionByName(thin).drop("event_id"), gt, width_ns=CHUNK_NS), "associated")
+    return cut(tj.matched_pairs(found), "pairs"), tj.association_report(found, gt)
+
+
+_GATE = (
+    "SELECT e.run, e.seq, est_total, coalesce(matched, 0) AS matched, coalesce(matched, 0) / est_total::DOUBLE AS match_rate,"
+    " CASE WHEN coalesce(matched, 0) = 0 THEN 'no_overlap' WHEN matched < 3 THEN 'too_few_matches'"
+    " WHEN matched / est_total::DOUBLE < 5e-1 THEN 'match_rate_too_low' END AS error_code FROM"
+    " (SELECT run, seq, count(*) AS est_total FROM v_est GROUP BY run, seq) e LEFT JOIN"
+    " (SELECT run, seq, count(*) AS matched FROM assoc GROUP BY run, seq) m ON e.run = m.run AND e.seq = m.seq"
+)
+_MORE_VIEWS = {"est_0": view_sql("est"), "v_est": _MORE_EST}
+_STATS = [f"{p}{s}" for p in ("trans_", "rot_") for s in ev.STAT_FIELDS]
+
+
+@query(
+    "d3_ate_errors",
+    with_views("gt", **_MORE_VIEWS, **ATE_CTES, gate=_GATE)
+    + f"SELECT g.run, g.seq, est_total, matched, match_rate, error_code, s.n, {', '.join(_STATS)} FROM gate g LEFT JOIN"
+    f" (SELECT run, seq, count(*) AS n, {stats_sql('et', 'trans_')}, {stats_sql('er', 'rot_')} FROM ate GROUP BY run, seq) s"
+    " ON g.run = s.run AND g.seq = s.seq AND g.error_code IS NULL",
+)
+def ate_errors(spark, sf):
+    matched, gate = gated_pairs(spark, sf)
+    report = ev.for_every_run(ev.ate_report(matched), gate)
+    return report.select("run", "seq", "est_total", "matched", "match_rate", "error_code", "n", *map(r6, _STATS))
+
+
+@query(
+    "d4_rpe_errors",
+    with_views("gt", **_MORE_VIEWS, assoc=_ASSOC, partner=_PARTNER, rpe=_RPE, gate=_GATE)
+    + "SELECT g.run, g.seq, est_total, g.matched, match_rate, coalesce(error_code, CASE WHEN pair_count IS NULL THEN 'no_delta_pairs' END)"
+    " AS error_code, CASE WHEN error_code IS NULL THEN coalesce(pair_count, 0) END AS pair_count,"
+    " CASE WHEN error_code IS NULL THEN g.matched - coalesce(pair_count, 0) END AS dropped_no_partner,"
+    f" {', '.join(_STATS)} FROM gate g LEFT JOIN"
+    f" (SELECT run, seq, count(*) AS pair_count, {stats_sql('et', 'trans_')}, {stats_sql('er', 'rot_')} FROM rpe GROUP BY run, seq) s"
+    " ON g.run = s.run AND g.seq = s.seq AND g.error_code IS NULL",
+)
+def rpe_errors(spark, sf):
+    matched, gate = gated_pairs(spark, sf)
+    report = ev.for_every_run(ev.rpe_report(matched, DELTA_NS, TOLERANCE_NS, 3 * TOLERANCE_NS), gate)
+    columns = ["run", "seq", "est_total", "matched", "match_rate", "error_code", "pair_count", "dropped_no_partner"]
+    return report.select(*columns, *map(r6, _STATS))
+
+
 @query(
     "c3_pair_exact",
     with_views("left", "right")

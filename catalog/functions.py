@@ -8,6 +8,7 @@ from catalog import query, r6, s6
 from posequery.fixtures import ns_expression, table, view, with_views
 from posequery.functions import camera as cam
 from posequery.functions import geometry as g
+from posequery.functions import nested
 from posequery.functions import text as tx
 from posequery.sources import sensors as sn
 
@@ -215,42 +216,67 @@ def text(spark, sf):
     )
 
 
+# Every eleventh document is cut off; a number comes as text, a label is blank in every third.
+_DOCUMENT = (
+    "concat('{{\"run\":', props, ',\"n\":\"', CAST(event_id AS {text}), '\",\"label\":\"',"
+    " CASE WHEN event_id % 3 = 0 THEN '' ELSE 'named' END, '\"', CASE WHEN event_id % 11 = 0 THEN '' ELSE '}}' END)"
+)
+
+
 @query(
     "h12_json",
-    "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS missing,"
-    " CAST(NULL AS DOUBLE) AS bad FROM events",
+    f"SELECT event_id, json_valid(d) AS readable, CASE WHEN json_valid(d) THEN coalesce(CAST(d->>'$.run.k' AS BIGINT), -1) ELSE -1 END AS k,"
+    " CASE WHEN json_valid(d) THEN CAST(d->>'$.n' AS DOUBLE) END AS n, CAST(NULL AS DOUBLE) AS wrong,"
+    " CASE WHEN json_valid(d) AND event_id % 3 <> 0 THEN 'named' ELSE 'none' END AS label"
+    f" FROM (SELECT event_id, {_DOCUMENT.format(text='VARCHAR')} AS d FROM events)",
 )
 def json(spark, sf):
-    return table(spark, sf, "events").select(
+    document = F.expr(_DOCUMENT.format(text="STRING"))
+    rows = table(spark, sf, "events").select("event_id", nested.parsed(document).alias("d"))
+    d = F.col("d")
+    return rows.select(
         "event_id",
-        F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
-        F.get_json_object("props", "$.a.b").try_cast("double").alias("missing"),
-        F.concat(F.get_json_object("props", "$.k"), F.lit("x")).try_cast("double").alias("bad"),
+        nested.is_object(d).alias("readable"),
+        nested.found_at(d, ["missing.k", "run.k"], "bigint", -1).alias("k"),
+        nested.found_at(d, "n", "double").alias("n"),
+        nested.found_at(d, "run", "double").alias("wrong"),
+        nested.found_at(d, ["label", "other"], "string", "none", blank=False).alias("label"),
     )
 
 
+# Configurations of neighbouring runs; a run without a label lacks the key.
+_SETTINGS = {"brand": "p_brand", "size": "CAST(p_size AS {text})", "label": "CASE WHEN p_partkey % 4 <> 1 THEN p_type END"}
+
+
+@query(
+    "h13_config_differences",
+    "WITH setting AS ("
+    + " UNION ALL ".join(f"SELECT p_partkey AS run, '{k}' AS key, {v.format(text='VARCHAR')} AS value FROM part" for k, v in _SETTINGS.items())
+    + ") SELECT a.run, a.key, a.value AS left_value, b.value AS right_value FROM setting a JOIN setting b"
+    " ON b.run = a.run + 1 AND b.key = a.key WHERE a.value IS DISTINCT FROM b.value",
+)
+def config_differences(spark, sf):
+    entries = [F.struct(F.lit(k).alias("key"), F.expr(v.format(text="STRING")).alias("value")) for k, v in _SETTINGS.items()]
+    present = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+    runs = table(spark, sf, "part").select(F.col("p_partkey").alias("run"), F.map_from_entries(present).alias("config"))
+    later = runs.select((F.col("run") - 1).alias("run"), F.col("config").alias("other"))
+    apart = runs.join(later, "run").select("run", F.explode(nested.differing(F.col("config"), F.col("other"))).alias("d"))
+    return apart.select("run", "d.key", F.col("d.left").alias("left_value"), F.col("d.right").alias("right_value"))
+
+
 @query(
     "h13_array_map",
-    "SELECT o_custkey % 100 AS key, CAST(sum(o_orderkey % 7 + 1) AS BIGINT) AS total, count(*) AS n,"
-    " bool_or(o_orderkey % 7 = 3) AS has_three FROM orders GROUP BY ALL",
+    "SELECT l_orderkey AS frame, rank, l_partkey AS key, dt_m FROM (SELECT l_orderkey, l_partkey, CAST(l_discount AS DOUBLE) AS dt_m,"
+    " row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_partkey) AS rank FROM lineitem WHERE l_linenumber <> 3) WHERE rank <= 2",
 )
-def array_map(spark, sf):
-    rows = table(spark, sf, "orders").selectExpr(
-        "o_custkey % 100 AS key",
-        "sequence(o_orderkey % 7, o_orderkey % 7) AS ids",
-        "map('n', 1, 'm', 2) AS config",
-    )
-    grown = rows.select(
-        "key",
-        F.explode(F.transform("ids", lambda i: i + 1)).alias("id"),
-        F.array_contains("ids", F.lit(3).cast("long")).alias("three"),
-        F.size(F.map_entries("config")).alias("entries"),
-    )
-    return grown.groupBy("key").agg(
-        F.sum("id").alias("total"),
-        F.count_if(F.col("entries") == 2).alias("n"),
-        F.bool_or("three").alias("has_three"),
+def largest_shifts(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_discount"))).alias("x")
     )
+    shift = F.transform("x", lambda x: F.when(x["l_linenumber"] != 3, x["l_discount"].cast("double")))
+    top = rows.select("l_orderkey", nested.largest_shifts(F.col("x.l_partkey"), shift, 2).alias("top"))
+    ranked = top.select(F.col("l_orderkey").alias("frame"), F.posexplode("top").alias("at", "s"))
+    return ranked.select("frame", (F.col("at") + 1).cast("long").alias("rank"), "s.key", "s.dt_m")
 
 
 @query(

@@ -149,6 +149,25 @@ def frame_counts(spark, sf):
     return lg.frame_counts(frames(spark, sf))
 
 
+#: Rounds of renewed optimisation of a frame, and the ids that its run culled.
+REOPT = "(CASE WHEN outliers_culled > 0 THEN frame % 3 ELSE 0 END)"
+LIVE_SQL = (
+    "SELECT f.run, f.seq, image_frames, coalesce(u.n, 0) AS outliers_culled_unique, outlier_reopts, pnp_fallbacks FROM"
+    f" (SELECT run, seq, count(*) AS image_frames, CAST(sum({REOPT}) AS BIGINT) AS outlier_reopts,"
+    " count(*) FILTER (status = 'ok' AND num_shared > 0 AND NOT pnp_success AND NOT reanchor) AS pnp_fallbacks FROM seen"
+    " GROUP BY run, seq) f LEFT JOIN (SELECT run, seq, count(DISTINCT id) AS n FROM v_culls JOIN v_frames USING (seq, frame)"
+    " GROUP BY run, seq) u ON u.run = f.run AND u.seq = f.seq"
+)
+
+
+@query("d12_unique_culls_and_reopts", with_views("frames", "culls", seen=_SEEN) + LIVE_SQL)
+def unique_culls(spark, sf):
+    rows = frames(spark, sf).withColumn("outlier_reopt_rounds", F.expr(REOPT))
+    culls = view(spark, sf, "culls").join(rows.select("run", "seq", "frame"), ["seq", "frame"])
+    counts = lg.frame_counts(rows, culls=culls)
+    return counts.select("run", "seq", "image_frames", "outliers_culled_unique", "outlier_reopts", "pnp_fallbacks")
+
+
 @query(
     "d17_segment_summary",
     with_views("frames", seen=_SEEN)

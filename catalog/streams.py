@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from catalog import ORACLES, query
 from catalog.alignment import _ASSOC
+from catalog.runs import REOPT
 from catalog.tracks import _AGED, _AGES, _COUNTED, KEYFRAME_SQL, MAX_AGE, TIME_RULE
 from posequery.fixtures import DAY_NS, EPOCH_2024, view, with_views
 from posequery.operators import timejoin as tj
@@ -323,6 +324,16 @@ def running_counts(spark, sf):
     )
 
 
+@query("i7_live_counters", ORACLES["d12_unique_culls_and_reopts"])
+def live_counters(spark, sf):
+    extra = view(spark, sf, "frames").selectExpr("seq", "frame", "num_shared", "pnp_success", f"CAST({REOPT} AS INT) AS outlier_reopt_rounds")
+    rows = nested(spark, sf).join(extra, ["seq", "frame"]).select(
+        "run", "seq", "frame", "status", "segment_id", "num_shared", "pnp_success", "culled", "outlier_reopt_rounds"
+    )
+    told = run_stream(spark, rows, "frame", half_frame(spark, sf), st.live_counters)
+    return told.groupBy("run", "seq").agg(F.max_by(F.struct("*"), "image_frames").alias("x")).select("x.*")
+
+
 @query(
     "i7_first_warnings",
     with_views("frames") + "SELECT DISTINCT run, seq, message FROM v_frames WHERE message <> ''",

@@ -13,7 +13,7 @@ from posequery.functions.text import fnv1a64_hex
 from posequery.operators.tracks import FRAMES
 from posequery.plans.ordered import Scan, ordered_scan
 from posequery.plans.quantiles import exact_quantiles
-from posequery.plans.spread import join_per_key
+from posequery.session import cut
 
 RUN = ["run", "seq"]
 # Rejection messages that count as failed seeding.
@@ -54,14 +54,19 @@ def _with_reanchor(frames: DataFrame, width: int) -> DataFrame:
     return seen.withColumn("reanchor", grew)
 
 
-def frame_counts(frames: DataFrame, width: int = FRAMES) -> DataFrame:
-    """Counters of a run over its diagnostics."""
+def frame_counts(frames: DataFrame, width: int = FRAMES, culls: DataFrame | None = None, pnp_init: bool = True) -> DataFrame:
+    """Counters of a run over its diagnostics.
+
+    With ``culls`` (``run, seq, frame, id``) come ``outliers_culled_unique``, ids that a run culled at
+    least once, and ``outlier_reopts``, the sum of the frames' ``outlier_reopt_rounds``.  Where a run was made
+    without starting from PnP (``pnp_init``), nothing falls back and ``pnp_fallbacks`` is 0.
+    """
     ok = F.col("status") == "ok"
 
     def total(name: str) -> Column:
         return F.sum(name).cast("long").alias(name)
 
-    return (
+    counts = (
         _with_reanchor(frames, width)
         .groupBy(*RUN)
         .agg(
@@ -78,12 +83,17 @@ def frame_counts(frames: DataFrame, width: int = FRAMES) -> DataFrame:
             ).alias("seed_rejected"),
             F.count_if(ok & F.col("pnp_success")).alias("pnp_successes"),
             F.count_if(
-                ok & (F.col("num_shared") > 0) & ~F.col("pnp_success") & ~F.col("reanchor")
+                F.lit(pnp_init) & ok & (F.col("num_shared") > 0) & ~F.col("pnp_success") & ~F.col("reanchor")
             ).alias("pnp_fallbacks"),
             total("outliers_culled"),
             total("num_cheirality"),
+            *([] if culls is None else [F.coalesce(F.sum("outlier_reopt_rounds"), F.lit(0)).cast("long").alias("outlier_reopts")]),
         )
     )
+    if culls is None:
+        return counts
+    unique = culls.select(*RUN, "id").distinct().groupBy(*RUN).agg(F.count(F.lit(1)).alias("outliers_culled_unique"))
+    return counts.join(unique, RUN, "left").na.fill(0, ["outliers_culled_unique"])
 
 
 def segment_summary(frames: DataFrame, width: int = FRAMES) -> DataFrame:
@@ -340,6 +350,8 @@ def histogram(
     Without ``bins`` their number is the largest value, at least 10 and at most 50.
     A single-valued group spans half a unit on either side.
     """
+    # Equal values are one row with a count before they meet their group's limits.
+    rows = cut(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")), "values")
     limits = rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     count = (
         F.lit(bins)
@@ -356,9 +368,9 @@ def histogram(
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     index = F.least(F.floor((F.col(value) - F.col("lo")) / width), F.col("bins") - 1)
     return (
-        join_per_key(rows.select(*keys, value), limits, keys)
+        rows.join(limits, list(keys))
         .groupBy(*keys, "bins", "lo", "hi", index.cast("long").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_w").alias("n"))
         .select(
             *keys,
             "bin",

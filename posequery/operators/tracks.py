@@ -111,9 +111,25 @@ def frontend_totals(frames: DataFrame) -> DataFrame:
         ],
         observed.alias("observations"),
     )
-    middle = exact_quantiles(frames, ["seq"], "epipolar_median_px", {"epipolar_median_px": 0.5})
-    high = exact_quantiles(frames, ["seq"], "epipolar_p95_px", {"epipolar_p95_px": 0.95})
-    return totals.join(middle, "seq", "left").join(high, "seq", "left")
+    # Both metrics go through one pass, a row for each, told apart by a key.
+    metrics = ["epipolar_median_px", "epipolar_p95_px"]
+    stacked = frames.select("seq", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("px")) for m in metrics))).alias("m"))
+    ranked = exact_quantiles(stacked.select("seq", "m.*"), ["seq", "metric"], "px", {"middle": 0.5, "high": 0.95})
+    pick = lambda metric, column: F.max(F.when(F.col("metric") == metric, F.col(column))).alias(metric)
+    return totals.join(ranked.groupBy("seq").agg(pick(metrics[0], "middle"), pick(metrics[1], "high")), "seq", "left")
+
+
+def detector_totals(frames: DataFrame) -> DataFrame:
+    """Per sequence sums of the frame file's ``detected``, ``tracked`` and ``fb_rejected``, and shares of them.
+
+    ``rejected_share`` is what the check backwards took off the tracks that were tried,
+    ``new_share`` what detection added to all tracks; null where nothing was counted.
+    """
+    names = ["tracked", "detected", "fb_rejected"]
+    sums = [F.sum(n).cast("long").alias(n) for n in names]
+    totals = frames.groupBy("seq").agg(F.count(F.lit(1)).alias("frames"), *sums)
+    share = lambda part, *of: F.col(part) / F.nullif(sum(F.col(c) for c in of), F.lit(0))
+    return totals.select("*", share("fb_rejected", "tracked", "fb_rejected").alias("rejected_share"), share("detected", "tracked", "detected").alias("new_share"))
 
 
 def shared_landmarks(obs: DataFrame, landmarks: DataFrame) -> DataFrame:

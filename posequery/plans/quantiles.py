@@ -1,8 +1,9 @@
-"""Exact quantiles that stay distributed when one group holds most rows.
+"""Exact quantiles that stay distributed when one group, or one value, holds most rows.
 
-The built-in ``percentile`` merges a group's distinct values in one task.  Here
-values are counted in coarse buckets first, only the buckets that hold a wanted
-rank are looked at again in finer buckets, and only those are read value by value.
+The built-in ``percentile`` merges a group's distinct values in one task.  Here rows become
+distinct values with a count first, combined before they shuffle, so a value that fills a third
+of the table is one row from then on.  Counts are summed in coarse buckets, only the buckets that
+hold a wanted rank are looked at again in finer buckets, and only those value by value.
 The bucket functions never decrease, so the answer is exact.
 """
 
@@ -13,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posequery.plans.spread import join_per_key
+from posequery.session import cut
 
 _PER_E_FOLD = 256
 _OFFSET = 1 << 20
@@ -70,56 +71,51 @@ def _holding(counted: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     )
 
 
+def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``keys, _v, _w``: every finite value of each group once, with its number of rows; written."""
+    number = F.col(value).cast("double")
+    rows = df.select(*keys, number.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    return cut(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w")), "values")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles at ``q * (n - 1)``.
 
     Null and non-finite values are left out.  ``quantiles`` maps output names to
-    fractions.  The input is read three times; cut its lineage first when costly.
+    fractions.  The input is read once, when called; its distinct values are written.
     """
     keys = list(keys)
     fractions = list(quantiles.values())
     if any(not 0.0 <= q <= 1.0 for q in fractions):
         raise ValueError("quantile fractions must lie in [0, 1]")
-    number = F.col(value).cast("double")
-    rows = (
-        df.select(*keys, number.alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
-        .withColumn("_b0", _coarse(F.col("_v")))
-    )
+    rows = counted_values(df, keys, value).withColumn("_b0", _coarse(F.col("_v")))
 
     whole = Window.partitionBy(*keys)
     level0 = (
         rows.groupBy(*keys, "_b0")
-        .agg(F.count(F.lit(1)).alias("_count"))
+        .agg(F.sum("_w").alias("_count"))
         .withColumn("_n", F.sum("_count").over(whole))
         .withColumn("_ranks", _ranks(F.col("_n"), fractions))
         .withColumn("_base", F.lit(0).cast("long"))
     )
     target0 = _holding(level0, keys, ["_b0"])
 
-    inside0 = join_per_key(rows, target0, [*keys, "_b0"]).withColumn(
-        "_b1", _fine(F.col("_v"), F.col("_b0"))
-    )
+    # Of a value's rows one is left, so the joins need no salt; the held buckets are few.
+    inside0 = rows.join(target0, [*keys, "_b0"]).withColumn("_b1", _fine(F.col("_v"), F.col("_b0")))
     level1 = inside0.groupBy(*keys, "_b0", "_b1").agg(
-        F.count(F.lit(1)).alias("_count"),
+        F.sum("_w").alias("_count"),
         F.first("_n").alias("_n"),
         F.first("_ranks").alias("_ranks"),
         F.first("_base").alias("_base"),
     )
     target1 = _holding(level1, [*keys, "_b0"], ["_b1"])
 
-    inside1 = join_per_key(
-        rows.withColumn("_b1", _fine(F.col("_v"), F.col("_b0"))),
-        target1,
-        [*keys, "_b0", "_b1"],
-    )
-    level2 = inside1.groupBy(*keys, "_b0", "_b1", "_v").agg(
-        F.count(F.lit(1)).alias("_count"),
-        F.first("_n").alias("_n"),
-        F.first("_ranks").alias("_ranks"),
-        F.first("_base").alias("_base"),
+    level2 = (
+        rows.withColumn("_b1", _fine(F.col("_v"), F.col("_b0")))
+        .join(target1, [*keys, "_b0", "_b1"])
+        .withColumnRenamed("_w", "_count")
     )
     running = (
         Window.partitionBy(*keys, "_b0", "_b1")

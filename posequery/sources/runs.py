@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from posequery.functions import nested
 from posequery.functions.text import g6, run_key
 from posequery.session import cut
 
@@ -43,50 +44,38 @@ def _whole_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     )
 
 
-def _or_default(value: Column, default: str) -> Column:
-    return F.when(F.coalesce(F.length(value), F.lit(0)) == 0, F.lit(default)).otherwise(value)
-
-
 def parse_summaries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ledger rows, and the paths skipped because they hold no readable object.
 
     ``files`` holds ``path, value``.  Missing parts fall back, bad numbers are null.
     """
-    parsed = files.withColumn("s", F.try_parse_json("value"))
-    readable = F.coalesce(F.schema_of_variant("s").startswith("OBJECT"), F.lit(False))
-    skipped = parsed.where(~readable).select("path")
-
-    def text(path: str) -> Column:
-        return F.try_variant_get("s", f"$.{path}", "string")
-
-    def number(path: str) -> Column:
-        return F.try_variant_get("s", f"$.{path}", "double")
-
-    def whole(path: str) -> Column:
-        return F.try_variant_get("s", f"$.{path}", "long")
-
-    dirty = F.coalesce(text("code.git_dirty"), text("git_dirty"), F.lit("false"))
-    in_code = text("code.git_commit_short")
-    commit = F.coalesce(F.when(F.length(in_code) > 0, in_code), text("git_commit_short"))
-    label = _or_default(text("config_label"), "default")
-    rows = parsed.where(readable).select(
-        _or_default(text("sequence"), "").alias("sequence"),
-        _or_default(commit, "unknown").alias("commit"),
-        (dirty == "true").alias("dirty"),
+    documents = files.withColumn("s", nested.parsed(F.col("value")))
+    readable = nested.is_object(F.col("s"))
+    skipped = documents.where(~readable).select("path")
+
+    def at(paths: str | list[str], kind: str, default=None, blank: bool = True) -> Column:
+        return nested.found_at(F.col("s"), paths, kind, default, blank)
+
+    label = at("config_label", "string", "default", blank=False)
+    numbers = {
+        "ate_trans_rmse": "ate.trans.rmse", "rpe_trans_rmse": "rpe.trans.rmse", "completion_rate": "trajectory.completion_rate",
+        "coverage_rate": "trajectory.coverage_rate", "rtf": "timing.rtf", "wall_s": "timing.wall_s",
+    }
+    named = {name: at(path, "double").alias(name) for name, path in numbers.items()}
+    rows = documents.where(readable).select(
+        at("sequence", "string", "").alias("sequence"),
+        at(["code.git_commit_short", "git_commit_short"], "string", "unknown", blank=False).alias("commit"),
+        (at(["code.git_dirty", "git_dirty"], "string", "false") == "true").alias("dirty"),
         label.alias("config_label"),
-        _or_default(text("config_hash"), "").alias("config_hash"),
-        F.concat(label, F.lit("_"), _or_default(text("config_hash"), "")).alias("config"),
-        _or_default(text("status"), "").alias("status"),
-        number("ate.trans.rmse").alias("ate_trans_rmse"),
-        number("rpe.trans.rmse").alias("rpe_trans_rmse"),
-        number("trajectory.completion_rate").alias("completion_rate"),
-        number("trajectory.coverage_rate").alias("coverage_rate"),
-        whole("trajectory.segments").alias("segments"),
-        whole("robustness.reanchors").alias("reanchors"),
-        number("timing.rtf").alias("rtf"),
-        number("timing.wall_s").alias("wall_s"),
+        at("config_hash", "string", "").alias("config_hash"),
+        F.concat(label, F.lit("_"), at("config_hash", "string", "")).alias("config"),
+        at("status", "string", "").alias("status"),
+        named["ate_trans_rmse"], named["rpe_trans_rmse"], named["completion_rate"], named["coverage_rate"],
+        at("trajectory.segments", "long").alias("segments"),
+        at("robustness.reanchors", "long").alias("reanchors"),
+        named["rtf"], named["wall_s"],
         "path",
-    )
+    )
     return rows, skipped
 
 

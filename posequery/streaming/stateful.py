@@ -184,6 +184,49 @@ def running_counts(frames: DataFrame) -> DataFrame:
     )
 
 
+class _LiveCounters(StatefulProcessor):
+    """Counters of a run and sequence that need a memory of ids and of the last good segment."""
+
+    NAMES = ("image_frames", "outliers_culled_unique", "outlier_reopts", "pnp_fallbacks")
+
+    def __init__(self, pnp_init: bool) -> None:
+        self.pnp_init = pnp_init
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.culled = handle.getMapState("culled", "id long", "frame long")
+        self.at = handle.getValueState("at", "segment long, frames long, unique long, reopts long, fallbacks long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        segment, *counts = self.at.get() if self.at.exists() else (None, 0, 0, 0, 0)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("frame", kind="stable")
+        for row in batch.itertuples(index=False):
+            counts[0] += 1
+            for i in [] if row.culled is None else row.culled:
+                if not self.culled.containsKey((int(i),)):
+                    self.culled.updateValue((int(i),), (int(row.frame),))
+                    counts[1] += 1
+            counts[2] += int(row.outlier_reopt_rounds or 0)
+            if row.status == "ok":
+                grew = segment is not None and row.segment_id > segment
+                counts[3] += bool(self.pnp_init and row.num_shared > 0 and not row.pnp_success and not grew)
+                segment = int(row.segment_id)
+        self.at.update((segment, *counts))
+        yield pd.DataFrame([(*key, *counts)], columns=["run", "seq", *self.NAMES])
+
+
+def live_counters(frames: DataFrame, pnp_init: bool = True) -> DataFrame:
+    """``run, seq, image_frames, outliers_culled_unique, outlier_reopts, pnp_fallbacks`` after each trigger.
+
+    The twin of ``ledger.frame_counts`` for what a plain running sum cannot count: an id counts when a
+    run culls it first, a fallback unless its segment is new.  Rows hold ``run, seq, frame, status,
+    segment_id, num_shared, pnp_success, culled, outlier_reopt_rounds``; the row with most
+    ``image_frames`` is the latest.
+    """
+    typed_state(frames.sparkSession)
+    output = "run string, seq long, " + ", ".join(f"{n} long" for n in _LiveCounters.NAMES)
+    return frames.groupBy("run", "seq").transformWithStateInPandas(_LiveCounters(pnp_init), output, "Append", "none")
+
+
 def first_warnings(frames: DataFrame) -> DataFrame:
     """Each kind of warning of a sequence once, whenever it first appears."""
     warned = frames.where(F.length("message") > 0)

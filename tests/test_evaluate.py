@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from posequery.operators import evaluate as ev
 from posequery.operators import timejoin as tj
 
-EPOCH = 1_403_636_579_763_555_584
+START = 1_700_000_000_000_000_123
 POSE = "run string, seq long, ts_ns long, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
 MS = 1_000_000
 
 
-def helix(n, step_ns=50 * MS):
-    """angle 0.2 i, unit circle rising 0.1 per pose, yaw along the angle."""
+def climb(n, step_ns=40 * MS):
+    """A parabola that rises steadily, turning at 0.6 rad/s: position (2t, t^2, t/2)."""
     for i in range(n):
-        a = 0.2 * i
-        yield [EPOCH + i * step_ns, math.cos(a), math.sin(a), 0.1 * i, 0.0, 0.0, math.sin(a / 2), math.cos(a / 2)]
+        t = i * step_ns * 1e-9
+        yield [START + i * step_ns, 2 * t, t * t, t / 2, 0.0, 0.0, math.sin(0.3 * t), math.cos(0.3 * t)]
 
 
 def frame(spark, rows, run="a"):
     return spark.createDataFrame([(run, 1, *r) for r in rows], POSE)
 
 
-def moved(rows, yaw=1.3, shift=(4.0, -7.0, 11.0)):
+def moved(rows, yaw=-0.8, shift=(12.0, 5.0, -2.5)):
     c, s = math.cos(yaw), math.sin(yaw)
     qz, qw = math.sin(yaw / 2), math.cos(yaw / 2)
     for t, x, y, z, *q in rows:
@@ -48,57 +48,61 @@ def pairs(spark, est, gt, **options):
 
 
 def test_identical_and_moved_trajectories_have_no_error(spark):
-    base = list(helix(40))
+    base = list(climb(50))
     for est in (base, list(moved(base))):
         matched = pairs(spark, est, base)
         row = ev.ate_report(matched).first()
-        assert row.n == 40 and row.error_code is None
+        assert row.n == 50 and row.error_code is None
         assert row.trans_max == pytest.approx(0, abs=1e-9)
         assert row.rot_max == pytest.approx(0, abs=1e-6)
-        rpe = ev.rpe_report(matched, 1_000 * MS, 20 * MS, tj.MINUTE_NS).first()
-        assert (rpe.pair_count, rpe.dropped_no_partner) == (20, 20)
+        rpe = ev.rpe_report(matched, 1_200 * MS, 15 * MS, tj.MINUTE_NS).first()
+        assert (rpe.pair_count, rpe.dropped_no_partner) == (20, 30)
         assert rpe.trans_max == pytest.approx(0, abs=1e-9)
 
 
-def test_drift_shows_in_relative_error(spark):
-    base = list(helix(60))
-    drift = [[t, x + 0.1 * (t - EPOCH) * 1e-9, *rest] for t, x, *rest in base]
-    row = ev.rpe_report(pairs(spark, drift, base), 1_000 * MS, 20 * MS, tj.MINUTE_NS).first()
+def slipping(rows, speed):
+    """``rows`` that slide along y by ``speed`` metres a second."""
+    return [[t, x, y + speed * (t - START) * 1e-9, *rest] for t, x, y, *rest in rows]
+
+
+@pytest.mark.parametrize("step_ms, n, delta_ms, steps", [(40, 70, 1_200, 30), (70, 60, 1_000, 14), (30, 80, 400, 13)])
+def test_slip_shows_in_relative_error(spark, step_ms, n, delta_ms, steps):
+    base = list(climb(n, step_ms * MS))
+    est = list(moved(slipping(base, 0.07)))
+    row = ev.rpe_report(pairs(spark, est, base), delta_ms * MS, 25 * MS, tj.MINUTE_NS).first()
+    assert (row.pair_count, row.dropped_no_partner) == (n - steps, steps)
     for value in (row.trans_rmse, row.trans_max, row.trans_median):
-        assert value == pytest.approx(0.1, abs=1e-9)
+        assert value == pytest.approx(0.07 * steps * step_ms * 1e-3, abs=1e-9)
     assert row.rot_max == pytest.approx(0, abs=1e-6)
-    fine = list(helix(100, 30 * MS))
-    drift = [[t, x + 0.1 * (t - EPOCH) * 1e-9, *rest] for t, x, *rest in fine]
-    row = ev.rpe_report(pairs(spark, drift, fine), 1_000 * MS, 20 * MS, tj.MINUTE_NS).first()
-    assert (row.pair_count, row.dropped_no_partner) == (67, 33)
-    assert row.trans_rmse == pytest.approx(0.099, abs=1e-9)
 
 
-def test_yaw_rate_shows_in_relative_rotation(spark):
-    line = [[EPOCH + i * 50 * MS, 0.1 * i, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0] for i in range(60)]
-    turning = []
-    for t, x, y, z, *_ in line:
-        half = math.radians(5.0) * (t - EPOCH) * 1e-9 / 2
-        turning.append([t, x, y, z, 0.0, 0.0, math.sin(half), math.cos(half)])
-    row = ev.rpe_report(pairs(spark, turning, line), 1_000 * MS, 20 * MS, tj.MINUTE_NS).first()
-    assert row.rot_rmse == pytest.approx(5.0, abs=1e-9)
+def test_turning_too_fast_shows_in_relative_rotation(spark):
+    base = list(climb(40))
+    fast = []
+    for t, x, y, z, *_ in base:
+        half = (0.6 + math.radians(8.0)) * (t - START) * 1e-9 / 2
+        fast.append([t, x, y, z, 0.0, 0.0, math.sin(half), math.cos(half)])
+    row = ev.rpe_report(pairs(spark, fast, base), 520 * MS, 5 * MS, tj.MINUTE_NS).first()
+    assert row.rot_rmse == pytest.approx(8.0 * 0.52, abs=1e-9)
 
 
 def test_scale_is_not_absorbed(spark):
-    base = list(helix(40))
-    scaled = [[t, 1.1 * x, 1.1 * y, 1.1 * z, *q] for t, x, y, z, *q in base]
-    assert ev.ate_report(pairs(spark, scaled, base)).first().trans_rmse > 0.05
+    base = list(climb(45))
+    middle = np.mean([r[1:4] for r in base], axis=0)
+    scaled = [[t, *(0.75 * np.array([x, y, z])).tolist(), *q] for t, x, y, z, *q in base]
+    spread = math.sqrt(np.mean([np.sum((np.array(r[1:4]) - middle) ** 2) for r in base]))
+    assert ev.ate_report(pairs(spark, scaled, base)).first().trans_rmse == pytest.approx(0.25 * spread, rel=1e-9)
 
 
 def test_alignment_degenerate_cases(spark):
     def code(points):
-        rows = [[EPOCH + i * 50 * MS, *map(float, p), 0.0, 0.0, 0.0, 1.0] for i, p in enumerate(points)]
+        rows = [[START + i * 50 * MS, *map(float, p), 0.0, 0.0, 0.0, 1.0] for i, p in enumerate(points)]
         return ev.align_se3(pairs(spark, rows, rows)).first().error_code
 
-    assert code([(0, 0, 0.0), (1, 0, 0.0), (0, 1, 0.0), (1, 1, 0.0)]) is None
-    assert code([(float(i), 2.0 * i, 0.0) for i in range(5)]) == "degenerate"
-    assert code([(1.0, 1.0, 1.0)] * 5) == "degenerate"
-    assert code([(0, 0, 0.0), (1, 0, 0.0)]) == "too_few_matches"
+    assert code([(-2, 1, 4), (3, 1, 4), (3, 6, 4), (0, 2, 4), (1, 5, 4)]) is None
+    assert code([(0.5 * i - 1, 3.0 - i, 0.25 * i) for i in range(7)]) == "degenerate"
+    assert code([(-2.0, 0.5, 7.0)] * 6) == "degenerate"
+    assert code([(5, 0, 1), (6, 2, 1)]) == "too_few_matches"
 
 
 def test_alignment_far_from_origin(spark):
@@ -107,7 +111,7 @@ def test_alignment_far_from_origin(spark):
     yaw, shift = 0.7, np.array([1e4, -2e4, 3e4])
     turn = np.array([[math.cos(yaw), -math.sin(yaw), 0], [math.sin(yaw), math.cos(yaw), 0], [0, 0, 1]])
     target = points @ turn.T + shift
-    stamps = [EPOCH + i * 50 * MS for i in range(50)]
+    stamps = [START + i * 50 * MS for i in range(50)]
     est = [[t, *map(float, p), 0.0, 0.0, 0.0, 1.0] for t, p in zip(stamps, points)]
     gt = [[t, *map(float, p), 0.0, 0.0, 0.0, 1.0] for t, p in zip(stamps, target)]
     row = ev.align_se3(pairs(spark, est, gt)).first()
@@ -118,7 +122,7 @@ def test_alignment_far_from_origin(spark):
 def test_mirrored_points_are_not_reflected(spark):
     rng = np.random.default_rng(4)
     points = rng.normal(size=(30, 3))
-    stamps = [EPOCH + i * 50 * MS for i in range(30)]
+    stamps = [START + i * 50 * MS for i in range(30)]
     est = [[t, *map(float, p), 0.0, 0.0, 0.0, 1.0] for t, p in zip(stamps, points)]
     gt = [[t, *map(float, p * [1, 1, -1]), 0.0, 0.0, 0.0, 1.0] for t, p in zip(stamps, points)]
     row = ev.align_se3(pairs(spark, est, gt)).first()
@@ -185,7 +189,7 @@ def test_option_checks(spark):
 
 
 def test_undefined_reports_keep_their_row(spark):
-    line = [[EPOCH + i * 50 * MS, float(i), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0] for i in range(10)]
+    line = [[START + i * 50 * MS, float(i), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0] for i in range(10)]
     matched = pairs(spark, line, line)
     row = ev.ate_report(matched).first()
     assert row.error_code == "degenerate" and row.trans_rmse is None

@@ -31,20 +31,23 @@ def decide(*frames):
     return [handler.feed(f)[0][1] for f in frames]
 
 
-SEEDS = [frame(100, 10, (100, 100)), frame(200, 10, (150, 100))]
+SEEDS = [frame(40, 12, (210, 60)), frame(95, 12, (260, 60))]
 
 
 @pytest.mark.parametrize(
     "third, expected",
     [
-        (frame(300, 10, (150, 100)), False),
-        (frame(300, 10, (200, 100)), True),
-        (frame(300, 10, (150, 100), first_id=100), True),
-        (frame(1200, 10, (151, 100)), True),
-        (frame(700, 10, (150, 100)), False),
-        (frame(701, 10, (150, 100)), True),
-        (frame(300, 5, (150, 100)), True),
-        (frame(300, 0, (0, 0)), False),
+        (frame(130, 12, (260, 60)), False),
+        (frame(130, 12, (260, 89)), False),
+        (frame(130, 12, (260, 91)), True),
+        (frame(130, 12, (237, 78)), False),
+        (frame(130, 12, (235, 78)), True),
+        (frame(130, 12, (260, 60), first_id=4), False),
+        (frame(130, 12, (260, 60), first_id=5), True),
+        (frame(595, 12, (260, 60)), False),
+        (frame(596, 12, (260, 60)), True),
+        (frame(130, 9, (260, 60)), True),
+        (frame(2595, 0, (0, 0)), False),
     ],
 )
 def test_rules(third, expected):
@@ -52,8 +55,8 @@ def test_rules(third, expected):
 
 
 def test_first_two_need_acceptance():
-    rejected = frame(100, 10, (100, 100), accepted=False)
-    assert decide(rejected, *[frame(t, 10, (100, 100)) for t in (200, 300, 400)]) == [True, True, True, False]
+    lost = frame(15, 14, (30, 400), accepted=False)
+    assert decide(lost, *[frame(t, 14, (30, 400)) for t in (55, 85, 140, 222)]) == [True, True, True, False, False]
 
 
 def test_pure_rotation_is_no_parallax():
