@@ -400,7 +400,7 @@ def _image_files(spark, sf):
     )
     return table(spark, sf, "pages").selectExpr(
         "page_id", "page_id % 10 AS seq", "'cam0' AS sensor", "concat(page_id, '.png') AS filename"
-    ).withColumn("content", header)
+    ).withColumn("content", F.concat(header, F.repeat(F.lit("0123456789"), 3000).cast("binary")))
 
 
 @query(
@@ -412,9 +412,30 @@ def _image_files(spark, sf):
     " OR page_id % 11 = 1 OR page_id % 13 = 2",
 )
 def image_inventory(spark, sf):
+    """Images behind their header as long as the page is; the folders are listed and 33 bytes a file are read."""
     files = _image_files(spark, sf)
-    manifest = files.where("page_id % 7 <> 6").drop("content")
-    return sn.image_inventory(manifest, files.where("page_id % 7 <> 5"), 752, 480)
+    root = fresh_path(spark, "images")
+    place = F.concat(F.lit(f"{root}/"), "seq", F.lit("/mav0/"), "sensor", F.lit("/data/"), "filename")
+    _write_files(files.where("page_id % 7 <> 5").select(place.alias("path"), "content"))
+    found = sn.read_image_heads(spark, root).withColumn("seq", F.col("seq").cast("long"))
+    return sn.image_inventory(files.where("page_id % 7 <> 6").drop("content"), found, 752, 480)
+
+
+def _write_files(rows):
+    """A file for each row (``path, content``)."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                system, place = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(place) as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    rows.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
 @query(

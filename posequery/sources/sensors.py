@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from posequery.functions.text import is_basename
 from posequery.operators.validate import check_order
 from posequery.session import cut
+from posequery.sources import heads
 from posequery.sources.lines import (
     Parsed,
     first_violation,
@@ -169,14 +170,17 @@ def image_inventory(
 ) -> DataFrame:
     """Manifest rows without file, files without row, and images of the wrong form.
 
-    ``manifest`` holds ``seq, sensor, filename``; ``files`` the same keys and ``content``.
-    Pixels are not decoded.
+    ``manifest`` holds ``seq, sensor, filename``; ``files`` the same keys and ``content``, of which the
+    first bytes are enough (:func:`heads.read_heads`); rows with an ``error`` column that is not
+    null could not be read.  Pixels are not decoded.
     """
     keys = ["seq", "sensor", "filename"]
     header = png_header(F.col("content"))
-    checked = files.select(*keys, header.alias("h"))
+    failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+    checked = files.select(*keys, header.alias("h"), failed.alias("failed"))
     issue = (
-        F.when(~F.col("h.ok"), "not_png")
+        F.when(F.col("failed"), "unreadable")
+        .when(~F.coalesce("h.ok", F.lit(False)), "not_png")
         .when((F.col("h.width") != width) | (F.col("h.height") != height), "wrong_size")
         .when(~F.col("h.grey") | ~F.col("h.depth").isin(list(depths)), "wrong_depth")
     )
@@ -193,6 +197,14 @@ def image_inventory(
     )
 
 
+def read_image_heads(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
+    """``seq, sensor, filename, path, content, error`` of the images below ``root``; 33 bytes of each are read."""
+    files = list_files(spark, root, pattern)
+    place = r"/([^/]+)/mav0/([^/]+)/(?:.*/)?([^/]+)$"
+    names = [F.regexp_extract("path", place, k).alias(n) for k, n in ((1, "seq"), (2, "sensor"), (3, "filename"))]
+    return heads.read_heads(files.select(*names, "path"))
+
+
 def missing_and_orphan(manifest: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows on one side only, marked by side."""
     left, right = manifest.select(*keys).distinct(), files.select(*keys).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from posequery.operators import validate as vd
 from posequery.sources import diagnostics as dg
 from posequery.sources import runs as rn
+from posequery.sources import heads
 from posequery.sources import sensors as sn
 from posequery.sources import trajectories as tr
 
@@ -150,6 +151,14 @@ def test_image_inventory_reads_headers(spark, tmp_path):
     manifest = spark.createDataFrame(
         [("s1", "cam0", f"{i}.png") for i in (1, 2, 3, 4, 5, 6)], "seq string, sensor string, filename string"
     )
+    read = sn.read_image_heads(spark, str(tmp_path))
+    assert {r.filename: r.content for r in read.collect()} == {name: content[:33] for name, content in images.items()}
+    assert sorted(sn.image_inventory(manifest, read, 752, 480).collect()) == sorted(sn.image_inventory(manifest, files, 752, 480).collect())
+    gone = read.select("seq", "sensor", "filename", "path").withColumn("path", F.when(F.col("filename") == "1.png", F.concat("path", F.lit(".not"))).otherwise(F.col("path")))
+    heads_ = heads.read_heads(gone.withColumn("path", F.when(F.col("filename") == "9.png", "odd://x/9.png").otherwise(F.col("path"))))
+    errors = {r.filename: r.error for r in heads_.collect() if r.error}
+    assert errors["1.png"] == "missing" and errors["9.png"].startswith("unreadable") and len(errors) == 2
+    assert ("1.png", "unreadable") in {(r.filename, r.issue) for r in sn.image_inventory(manifest, heads_, 752, 480).collect()}
     got = {r.filename: r.issue for r in sn.image_inventory(manifest, files, 752, 480).collect()}
     assert got == {
         "2.png": "wrong_size",
