@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query, r6, s6
-from posequery.fixtures import view, view_sql, with_views
+from posequery.fixtures import table, view, view_sql, with_views
 from posequery.functions import camera as cam
 from posequery.functions import geometry as g
 from posequery.operators import landmarks as lm
@@ -80,6 +80,43 @@ def gates(spark, sf):
     return tk.admission_gates(rows).select("seq", "frame", "initialized", "rejection")
 
 
+# The first 300 frames of a sequence seed nothing here; 55 different parts do.
+_SEEDING = (
+    "SELECT *, max(CASE WHEN status = 'ok' AND frame >= 300 THEN ts_ns END) OVER (PARTITION BY seq"
+    " ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ok, is_keyframe AND num_obs > 0 AND num_landmarks % 50 <> 1 AS sound FROM v_frames"
+)
+
+
+@query(
+    "b8_accumulated_seed",
+    with_views("frames", seeding=_SEEDING)
+    + ", turns AS (SELECT *, count(*) FILTER (last_ok IS NULL AND sound AND num_disparity >= 55) OVER"
+    " (PARTITION BY seq ORDER BY frame ROWS UNBOUNDED PRECEDING) AS turn FROM seeding),"
+    " poor AS (SELECT seq, frame, turn FROM turns WHERE last_ok IS NULL AND sound AND num_disparity < 55),"
+    " firsts AS (SELECT p.seq, p.turn, l_partkey AS id, min(p.frame) AS frame FROM poor p JOIN lineitem ON l_orderkey % 10 = p.seq"
+    " AND l_orderkey // 10 = p.frame WHERE l_discount > 0 GROUP BY ALL),"
+    " known AS (SELECT p.seq, p.frame, count(f.id) AS n FROM poor p LEFT JOIN firsts f ON f.seq = p.seq AND f.turn = p.turn AND f.frame <= p.frame GROUP BY ALL)"
+    " SELECT seq, frame, last_ok IS NOT NULL AS initialized, CASE WHEN num_obs = 0"
+    " THEN 'empty observations' WHEN num_landmarks % 50 = 1 THEN 'non-finite pixel or negative disparity'"
+    " WHEN last_ok IS NOT NULL AND ts_ns <= last_ok THEN 'timestamp not strictly increasing'"
+    " WHEN last_ok IS NOT NULL AND num_shared = 0 AND NOT is_keyframe"
+    " THEN 'zero shared landmarks (non-keyframe)' WHEN last_ok IS NULL AND NOT is_keyframe"
+    " THEN 'not initialised (non-keyframe)' WHEN NOT is_keyframe AND num_shared < 10"
+    " THEN 'insufficient shared landmarks (non-keyframe)' WHEN last_ok IS NOT NULL"
+    " AND num_shared = 0 AND num_disparity < 55 THEN 'insufficient observations to seed new segment'"
+    " WHEN n < 55 THEN 'accumulating seed observations (first segment)' END AS rejection FROM turns LEFT JOIN known USING (seq, frame)",
+)
+def accumulated_seed(spark, sf):
+    rows = frames(spark, sf).withColumns({
+        "bad_obs": F.when(F.col("num_landmarks") % 50 == 1, 1).otherwise(0),
+        "status": F.when(F.col("frame") >= 300, F.col("status")).otherwise("rejected"),
+    })
+    seen = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 10).alias("seq"), F.floor(F.col("l_orderkey") / 10).alias("frame"), F.col("l_partkey").alias("id"), F.col("l_discount").alias("disparity")
+    )
+    return tk.admission_gates(rows, min_seed=55, seed_obs=seen).select("seq", "frame", "initialized", "rejection")
+
+
 @query(
     "b9_low_connectivity",
     with_views("frames")
@@ -305,11 +342,11 @@ def survival(spark, sf):
     " FROM p GROUP BY seq, frame",
 )
 def parallax(spark, sf):
-    table = frames(spark, sf)
+    rows = frames(spark, sf)
     turned = links(spark, sf).select(
         "seq", "frame", "kf_frame", *[F.col(f"q{c}").alias(f"rot_{c}") for c in "xyzw"]
     )
-    past = table.select(
+    past = rows.select(
         "seq",
         F.col("frame").alias("kf_frame"),
         *[F.col(f"q{c}").alias(f"kf_rot_{c}") for c in "xyzw"],

@@ -10,6 +10,7 @@ from posequery.functions.stats import percentile_of_sorted, upper_median_of_sort
 from posequery.plans.ordered import Scan, ordered_scan
 from posequery.plans.quantiles import exact_quantiles
 from posequery.plans.spread import join_per_key
+from posequery.session import cut
 
 # Default chunk of a frame-ordered scan.
 FRAMES = 4096
@@ -511,15 +512,25 @@ def low_connectivity(shared: Column, initialized: Column, min_shared: int = 10)
     return initialized & (shared > 0) & (shared < min_shared)
 
 
+# Texts that other operators look for.
+SEED_FIRST = "insufficient observations to seed first segment"
+GATHERING = "accumulating seed observations (first segment)"
+
+
 def admission_gates(
     frames: DataFrame,
     width: int = FRAMES,
     min_inliers: int = 10,
     min_seed: int = 10,
     enable_reanchor: bool = True,
+    seed_obs: DataFrame | None = None,
 ) -> DataFrame:
     """``rejection`` of each frame: the first gate it fails, null when admitted.
 
+    With ``seed_obs`` (``seq, frame, id, disparity``) frames too poor to seed the first segment by
+    themselves seed it together: stereo ids are gathered until ``min_seed`` different ones are
+    known, and gathering starts anew after a frame that is rich enough alone.
+
     ``frames`` carry ``seq, frame, ts_ns, status, num_obs, bad_obs, num_disparity,
     num_shared, is_keyframe``.  A frame is initialised once an earlier one was
     accepted; time must pass the last accepted frame.
@@ -532,7 +543,7 @@ def admission_gates(
     broken = started & (F.col("num_shared") == 0)
     key = F.col("is_keyframe")
     short = F.col("num_disparity") < min_seed
-    return seen.withColumn("initialized", started).withColumn(
+    judged = seen.withColumn("initialized", started).withColumn(
         "rejection",
         F.when(F.col("num_obs") == 0, "empty observations")
         .when(F.col("bad_obs") > 0, "non-finite pixel or negative disparity")
@@ -548,5 +559,25 @@ def admission_gates(
             "insufficient shared landmarks (non-keyframe)",
         )
         .when(broken & short, "insufficient observations to seed new segment")
-        .when(~started & short, "insufficient observations to seed first segment"),
+        .when(~started & short, SEED_FIRST),
     )
+    return judged if seed_obs is None else _gathered(judged, seed_obs, min_seed, width)
+
+
+def _gathered(judged: DataFrame, obs: DataFrame, min_seed: int, width: int) -> DataFrame:
+    """``judged`` frames, those that fail to seed the first segment by what is gathered so far.
+
+    An id counts in the frame that shows it first since gathering began, so the number of different
+    ids is a running sum over frames; no frame looks back at others.
+    """
+    rich = ~F.col("initialized") & F.col("rejection").isNull()
+    poor = F.col("rejection") == SEED_FIRST
+    turns = cut(ordered_scan(judged, ["seq"], ["frame"], width, _turn=Scan("sum", F.when(rich, 1).otherwise(0).cast("long"))), "turns")
+    asked = turns.where(poor).select("seq", "frame", "_turn")
+    seen = obs.where(F.col("disparity") > 0).select("seq", "frame", "id").join(asked, ["seq", "frame"])
+    new = seen.groupBy("seq", "_turn", "id").agg(F.min("frame").alias("frame")).groupBy("seq", "_turn", "frame").agg(F.count(F.lit(1)).alias("_new"))
+    counted = asked.join(new, ["seq", "_turn", "frame"], "left").na.fill(0, ["_new"])
+    known = ordered_scan(counted, ["seq", "_turn"], ["frame"], width, _known=Scan("sum", F.col("_new"))).select("seq", "frame", "_known")
+    found = turns.join(known, ["seq", "frame"], "left")
+    waits = F.when(F.col("_known") < min_seed, GATHERING)
+    return found.withColumn("rejection", F.when(poor, waits).otherwise(F.col("rejection"))).drop("_turn", "_known")

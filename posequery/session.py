@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,7 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    Only a local session may fall back to a folder of its own, which goes when the process ends.
     """
     configured = spark.conf.get(_CHECKPOINT_DIR, None)
     if configured:
@@ -27,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
