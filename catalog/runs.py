@@ -282,6 +282,36 @@ def suite_integrity(spark, sf):
     return lg.suite_integrity(rows, rows.select("sequence"), ["commit"])
 
 
+@query(
+    "d20_suite_statuses",
+    with_views("runs", ledger=_LEDGER)
+    + "SELECT commit, status, count(*) AS runs, count(*) / CAST(sum(count(*)) OVER (PARTITION BY commit) AS DOUBLE) AS share"
+    " FROM ledger GROUP BY commit, status",
+)
+def suite_statuses(spark, sf):
+    return lg.suite_statuses(ledger(spark, sf), ["commit"])
+
+
+# A run's configuration: its label, a window that one sequence sets apart, nothing for runs with two warnings.
+_RUN_KEY = "concat(sequence, '/', commit, '/', config)"
+_WINDOW = "CASE WHEN segments % 5 = 4 THEN '12' ELSE '10' END"
+
+
+@query(
+    "d20_suite_texts",
+    with_views("runs")
+    + f"SELECT commit, config, count(*) AS runs, count(*) FILTER (warnings = 2) AS bare, count(DISTINCT text) AS texts,"
+    " count(DISTINCT text) AS hashes, count(DISTINCT text) = 1 AND count(*) FILTER (warnings = 2) = 0 AS identical FROM"
+    f" (SELECT *, CASE WHEN warnings <> 2 THEN concat('label=', config, chr(10), 'window=', {_WINDOW}, chr(10)) END AS text FROM v_runs)"
+    " GROUP BY commit, config",
+)
+def suite_texts(spark, sf):
+    runs = view(spark, sf, "runs").withColumn("run", F.expr(_RUN_KEY))
+    entries = F.array(F.struct(F.lit("window").alias("key"), F.expr(_WINDOW).alias("value")), F.struct(F.lit("label").alias("key"), F.col("config").alias("value")))
+    config_rows = runs.where("warnings <> 2").select("run", F.explode(entries).alias("e")).select("run", "e.*")
+    return lg.suite_texts(runs.select("commit", "config", "run"), config_rows, ["commit", "config"])
+
+
 _POSE_ROW = "seq, ts_ns, tx, ty, tz, qx, qy, qz, qw"
 
 

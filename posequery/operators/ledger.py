@@ -185,6 +185,35 @@ def config_hash(config: DataFrame) -> DataFrame:
     )
 
 
+def suite_statuses(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``status, runs, share`` for each status that occurs in a suite (``keys``)."""
+    counts = runs.groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("runs"))
+    totals = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    return counts.join(totals, list(keys)).select(*keys, "status", "runs", (F.col("runs") / F.col("_all")).alias("share"))
+
+
+def suite_texts(runs: DataFrame, config: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Whether all runs of a suite (``keys``) were made with one canonical configuration text, to the byte.
+
+    ``runs`` hold the suite's keys and ``run``, ``config`` the entries ``run, key, value``.  A run without
+    entries is ``bare`` and spoils the suite, as texts that differ do; ``hashes`` counts their short hashes,
+    which must be as many as the texts.
+    """
+    texts = config_hash(config)
+    return (
+        runs.select(*keys, "run")
+        .join(texts, "run", "left")
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("runs"),
+            F.count_if(F.col("text").isNull()).alias("bare"),
+            F.count_distinct("text").alias("texts"),
+            F.count_distinct("config_hash").alias("hashes"),
+        )
+        .withColumn("identical", (F.col("texts") == 1) & (F.col("bare") == 0))
+    )
+
+
 def suite_integrity(runs: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per suite (``keys``): sequences present and missing, code and config ids, statuses."""
     suites = runs.select(*keys).distinct()
