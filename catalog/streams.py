@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from catalog import ORACLES, query
 from catalog.alignment import _ASSOC
 from catalog.runs import REOPT
-from catalog.tracks import _AGED, _AGES, _COUNTED, KEYFRAME_SQL, MAX_AGE, TIME_RULE
+from catalog.tracks import _AGED, _AGES, _COUNTED, EVICTABLE, KEYFRAME_SQL, MAX_AGE, TIME_RULE
 from posequery.fixtures import DAY_NS, EPOCH_2024, view, with_views
 from posequery.operators import timejoin as tj
 from posequery.session import cut, fresh_path
@@ -268,6 +268,14 @@ def skip_drop_stream(spark, sf):
     return run_stream(spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.skip_drop(s, 2, 1))
 
 
+@query(
+    "i6_evictable_stream",
+    with_views("obs", "culls", tracks=EVICTABLE) + f"SELECT seq, frame, id, {_TAKEN} FROM tracks WHERE evictable",
+)
+def evictable_stream(spark, sf):
+    return run_stream(spark, nested(spark, sf), "frame", half_frame(spark, sf), lambda s: st.evictable(s, 2))
+
+
 # Some frames of sequences 2 and 7 arrive with the second half: late ones stop their sequence.
 _BEHIND = "seq % 5 = 2 AND frame % 20 < 4"
 

@@ -729,6 +729,45 @@ def skip_drop(spark, sf):
     return tk.skip_drop(view(spark, sf, "culls"), min_culled=2, defer_topk=1)
 
 
+EVICTABLE = (
+    "SELECT seq, frame, id, coalesce(marked >= run, false) AS evictable FROM (SELECT *, max(CASE WHEN before IS NULL OR before < frame - 1 THEN frame END)"
+    " OVER (PARTITION BY seq, id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT o.seq, o.frame, o.id, lag(o.frame) OVER w AS before,"
+    " max(c.frame) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS marked FROM v_obs o LEFT JOIN"
+    " (SELECT * FROM v_culls QUALIFY count(*) OVER (PARTITION BY seq, frame) >= 2) c ON c.seq = o.seq AND c.frame = o.frame AND c.id = o.id"
+    " WINDOW w AS (PARTITION BY o.seq, o.id ORDER BY o.frame)))"
+)
+
+
+@query("i6_evictable_tracks", with_views("obs", "culls") + EVICTABLE)
+def evictable_tracks(spark, sf):
+    return tk.mark_evictable(obs(spark, sf), view(spark, sf, "culls"), min_culled=2)
+
+
+@query(
+    "f5_evict_marked_tracks",
+    with_views("obs", "culls", tracks=EVICTABLE)
+    + "SELECT seq, frame, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY seq, frame ORDER BY evictable DESC, id) AS rank,"
+    " count(*) OVER (PARTITION BY seq, frame) AS total, count(*) FILTER (NOT evictable) OVER (PARTITION BY seq, frame) AS fixed FROM tracks)"
+    " WHERE evictable AND rank <= CASE WHEN fixed < 3 THEN total - fixed ELSE 0 END",
+)
+def evict_marked(spark, sf):
+    found = tk.evict_lowest_ids(tk.mark_evictable(obs(spark, sf), view(spark, sf, "culls"), min_culled=2), 3)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "d10_detector_totals",
+    "SELECT o_orderkey % 10 AS seq, count(*) AS frames, CAST(sum(o_custkey % 60) AS BIGINT) AS tracked, CAST(sum(o_orderkey % 40) AS BIGINT) AS detected,"
+    " CAST(sum(o_custkey % 9) AS BIGINT) AS fb_rejected, sum(o_custkey % 9) / CAST(sum(o_custkey % 60 + o_custkey % 9) AS DOUBLE) AS rejected_share,"
+    " sum(o_orderkey % 40) / CAST(sum(o_custkey % 60 + o_orderkey % 40) AS DOUBLE) AS new_share FROM orders GROUP BY ALL",
+)
+def detector_totals(spark, sf):
+    rows = table(spark, sf, "orders").selectExpr(
+        "o_orderkey % 10 AS seq", "o_custkey % 60 AS tracked", "o_orderkey % 40 AS detected", "o_custkey % 9 AS fb_rejected"
+    )
+    return tk.detector_totals(rows)
+
+
 @query(
     "i6_skip_drop_counts",
     with_views("culls")

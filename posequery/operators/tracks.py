@@ -464,6 +464,23 @@ def skip_drop_counts(actions: DataFrame) -> DataFrame:
     )
 
 
+def mark_evictable(obs: DataFrame, culls: DataFrame, min_culled: int = 4, width: int = FRAMES) -> DataFrame:
+    """``seq, frame, id, evictable`` of every observed track; feeds :func:`evict_lowest_ids`.
+
+    Where a frame's culls are skipped (:func:`skip_drop`), its culled tracks may be evicted from the
+    next frame on, until a frame misses them; a track that comes back starts unmarked.
+    """
+    skipped = skip_drop(culls, min_culled).where("action <> 'drop'").select("seq", "frame", "id", F.lit(True).alias("_mark"))
+    rows = obs.select("seq", "frame", "id").join(skipped, ["seq", "frame", "id"], "left")
+    seen = ordered_scan(
+        rows, ["seq", "id"], ["frame"], width,
+        _before=Scan("lag", F.col("frame")), _marked=Scan("last_before", F.when(F.col("_mark"), F.col("frame"))),
+    )
+    begins = F.when(F.col("_before").isNull() | (F.col("_before") < F.col("frame") - 1), F.col("frame"))
+    runs = ordered_scan(seen, ["seq", "id"], ["frame"], width, _run=Scan("last", begins))
+    return runs.select("seq", "frame", "id", F.coalesce(F.col("_marked") >= F.col("_run"), F.lit(False)).alias("evictable"))
+
+
 def smallest_ids(culls: DataFrame, k: int) -> DataFrame:
     """The ``k`` smallest culled ids of each frame."""
     order = Window.partitionBy("seq", "frame").orderBy("id")

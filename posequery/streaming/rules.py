@@ -341,6 +341,39 @@ class SkipDropHandler(Handler):
         return out
 
 
+class EvictableHandler(Handler):
+    """Tracks of one sequence that may be evicted: marked by a skipped cull and present ever since."""
+
+    output = "seq long, frame long, id long"
+    state = {"at": ("value", "frame long"), "marked": ("map", "id long", "since long")}
+
+    def __init__(self, min_culled: int = 4) -> None:
+        self.min_culled = min_culled
+        self.frame: int | None = None
+        self.marked: dict[int, int] = {}
+
+    def load(self, state: dict) -> None:
+        (self.frame,) = state["at"] or (None,)
+        self.marked = {i: since for (i,), (since,) in state["marked"].items()}
+
+    def dump(self) -> dict:
+        return {"at": (self.frame,), "marked": {(i,): (since,) for i, since in self.marked.items()}}
+
+    def feed(self, row) -> list[tuple]:
+        present = set() if row.ids is None else {int(i) for i in row.ids}
+        culled = set() if row.culled is None else {int(i) for i in row.culled}
+        frame = int(row.frame)
+        if self.frame is None or frame != self.frame + 1:
+            self.marked = {}
+        self.frame = frame
+        self.marked = {i: since for i, since in self.marked.items() if i in present}
+        out = [(frame, i) for i in sorted(self.marked)]
+        if self.min_culled > 0 and len(culled) >= self.min_culled:
+            for i in culled & present:
+                self.marked.setdefault(i, frame)
+        return out
+
+
 class SeedHandler(Handler):
     """Latest stereo observation per id of one sequence until enough ids are known."""
 

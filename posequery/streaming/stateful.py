@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from posequery.streaming.rules import (
     AgeHandler,
+    EvictableHandler,
     Handler,
     KeyframeHandler,
     KeyframeRule,
@@ -166,6 +167,11 @@ def skip_drop(frames: DataFrame, min_culled: int = 4, defer_topk: int = 0) -> Da
     )
 
 
+def evictable(frames: DataFrame, min_culled: int = 4) -> DataFrame:
+    """Tracks that may be evicted in each frame; rows hold ``seq, frame, ids, culled``."""
+    return per_sequence(frames, lambda: EvictableHandler(min_culled), EvictableHandler.output, "frame")
+
+
 def accumulate_seed(frames: DataFrame, min_ids: int = 10) -> DataFrame:
     """Seed observations; rows hold ``seq, frame, ids, us, disparities``."""
     return per_sequence(frames, lambda: SeedHandler(min_ids), SeedHandler.output, "frame")

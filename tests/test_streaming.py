@@ -137,3 +137,43 @@ def test_run_divergence_and_gaps(spark):
     s = spark.createDataFrame([(1, t) for t in stamps], "seq long, ts_ns long")
     rows = lg.stream_gaps(s, ["seq"], 50, 70, 128).orderBy("from_ns").collect()
     assert [(r.from_ns, r.to_ns, r.intervals, r.missing) for r in rows] == [(100, 300, 2, 2), (350, 550, 1, 3)]
+
+
+def test_marks_for_eviction_in_batch_and_handler(spark):
+    from types import SimpleNamespace
+
+    from posequery.operators.tracks import evict_lowest_ids, mark_evictable
+    from posequery.streaming.rules import EvictableHandler
+
+    present = {0: [1, 2, 3], 1: [1, 2, 3], 2: [1, 3], 3: [1, 2, 3], 5: [1, 2], 6: [1, 2]}
+    culled = {0: [1, 2], 1: [9, 3], 3: [3], 5: [1, 2]}
+    obs = spark.createDataFrame([(1, f, i) for f, ids in present.items() for i in ids], "seq long, frame long, id long")
+    culls = spark.createDataFrame([(1, f, i) for f, ids in culled.items() for i in ids], "seq long, frame long, id long")
+    marked = mark_evictable(obs, culls, min_culled=2, width=2)
+    want = [(1, 1), (1, 2), (2, 1), (2, 3), (3, 1), (3, 3), (6, 1), (6, 2)]
+    assert sorted((r.frame, r.id) for r in marked.where("evictable").collect()) == want
+    handler = EvictableHandler(2)
+    out = []
+    for f, ids in present.items():
+        again = EvictableHandler(2)
+        again.load(handler.dump())
+        handler = again
+        out += handler.feed(SimpleNamespace(frame=f, ids=ids, culled=culled.get(f)))
+    assert out == want
+    room = evict_lowest_ids(marked, 3).collect()
+    assert sorted((r.frame, r.id) for r in room) == [(1, 1), (1, 2), (2, 1), (2, 3), (3, 1), (3, 3), (6, 1), (6, 2)]
+
+
+def test_seed_is_gathered_over_poor_frames(spark):
+    from posequery.operators.tracks import GATHERING, admission_gates
+
+    #        frame, key, stereo, ids
+    frames = [(0, True, 2, [1, 2]), (1, True, 2, [2, 3]), (2, True, 9, [4]), (3, True, 2, [1, 5]), (4, False, 2, [6, 7]), (5, True, 2, [5, 6]), (6, True, 1, [8, 9])]
+    rows = [(1, f, f * 10, "rejected", 5, 0, stereo, 3, key) for f, key, stereo, _ in frames]
+    table = spark.createDataFrame(
+        rows, "seq long, frame long, ts_ns long, status string, num_obs long, bad_obs long, num_disparity long, num_shared long, is_keyframe boolean"
+    )
+    obs = spark.createDataFrame([(1, f, i, 1.0) for f, _, _, ids in frames for i in ids], "seq long, frame long, id long, disparity double")
+    found = {r.frame: r.rejection for r in admission_gates(table, width=2, min_seed=5, seed_obs=obs).collect()}
+    assert found[0] == found[1] == found[3] == found[5] == GATHERING
+    assert found[2] is None and found[4].startswith("not initialised") and found[6] is None
