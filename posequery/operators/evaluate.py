@@ -187,6 +187,12 @@ def ate_report(pairs: DataFrame, keys: Sequence[str] = ("run", "seq")) -> DataFr
     )
 
 
+def ate_rmse(pairs: DataFrame, keys: Sequence[str] = ("run", "seq")) -> DataFrame:
+    """``trans_rmse`` per group alone, for those that can be aligned: sums, no medians, nothing written."""
+    errors = ate_errors(pairs, align_se3(pairs, keys), keys)
+    return errors.groupBy(*keys).agg(F.sqrt(F.avg(F.col("err_trans_m") ** 2)).alias("trans_rmse"))
+
+
 def rpe_errors(partners: DataFrame) -> DataFrame:
     """Relative pose error of each row; null where it has no partner."""
     motions = partners.select(
@@ -260,7 +266,7 @@ def segment_decomposition(pairs: DataFrame, frames: DataFrame) -> DataFrame:
     """
     run = ["run", "seq"]
     segment = [*run, "segment_id"]
-    own = ate_report(pairs, segment).select(*segment, F.col("trans_rmse").alias("segment_ate"))
+    own = ate_rmse(pairs, segment).withColumnRenamed("trans_rmse", "segment_ate")
     size = frames.groupBy(*segment).agg(F.count(F.lit(1)).alias("frames"))
     total = size.groupBy(*run).agg(F.sum("frames").alias("run_frames"))
     shares = (
@@ -273,7 +279,7 @@ def segment_decomposition(pairs: DataFrame, frames: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.col("share") * F.col("segment_ate") ** 2), F.lit(0.0))
         ).alias("weighted_rms")
     )
-    overall = ate_report(pairs, run).select(*run, F.col("trans_rmse").alias("global_ate"))
+    overall = ate_rmse(pairs, run).withColumnRenamed("trans_rmse", "global_ate")
     return (
         shares.join(weighted, run)
         .join(overall, run, "left")

@@ -163,9 +163,14 @@ def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _entered(maps: DataFrame) -> DataFrame:
     """``seq, chunk, at``: the place of the entry that really holds in each chunk's map."""
-    grouped = maps.withColumn("_group", F.floor(F.col("chunk") / _GROUP))
+    low, high = maps.agg(F.min("chunk"), F.max("chunk")).first()
+    grouped = maps.withColumn("_group", F.floor((F.col("chunk") - F.lit(low)) / _GROUP))
     grouped = grouped.repartition("seq", "_group").sortWithinPartitions("seq", "_group", "chunk", "at")
-    states = cut(grouped.mapInPandas(_compose, _STATE_TYPE), "states")
+    states = grouped.mapInPandas(_compose, _STATE_TYPE)
+    start = f"chunk IS NOT NULL AND of_count = 0 AND of_entry = {_NONE}"
+    if low is None or high - low < _GROUP:
+        return states.where(start).select("seq", "chunk", "at")
+    states = cut(states, "states")
     inner = states.where("chunk IS NOT NULL")
     groups = states.where("chunk IS NULL").select(
         "seq", F.col("_group").alias("chunk"), F.col("of_count").alias("count"), F.col("of_entry").alias("entry"), F.col("count").alias("exit_count"), F.col("entry").alias("exit_entry")
@@ -173,14 +178,10 @@ def _entered(maps: DataFrame) -> DataFrame:
     # Places within a group's map: the start of a sequence first, the oldest keyframe last.
     order = Window.partitionBy("seq", "chunk").orderBy("count", F.desc("entry"))
     groups = cut(groups.withColumn("at", (F.row_number().over(order) - 1).cast("int")), "groups")
-    if (groups.groupBy("seq").agg(F.countDistinct("chunk").alias("n")).agg(F.max("n")).first()[0] or 0) > 1:
-        real = _entered(groups).select("seq", F.col("chunk").alias("_group"), F.col("at").alias("_at"))
-        named = groups.select("seq", F.col("chunk").alias("_group"), F.col("at").alias("_at"), F.col("count").alias("of_count"), F.col("entry").alias("of_entry"))
-        real = named.join(real, ["seq", "_group", "_at"]).drop("_at")
-        inner = inner.join(real, ["seq", "_group", "of_count", "of_entry"], "left_semi")
-    else:
-        inner = inner.where(f"of_count = 0 AND of_entry = {_NONE}")
-    return inner.select("seq", "chunk", "at")
+    real = _entered(groups).select("seq", F.col("chunk").alias("_group"), F.col("at").alias("_at"))
+    named = groups.select("seq", F.col("chunk").alias("_group"), F.col("at").alias("_at"), F.col("count").alias("of_count"), F.col("entry").alias("of_entry"))
+    real = named.join(real, ["seq", "_group", "_at"]).drop("_at")
+    return inner.join(real, ["seq", "_group", "of_count", "of_entry"], "left_semi").select("seq", "chunk", "at")
 
 
 def select_keyframes(nested: DataFrame, rule: KeyframeRule, width_ns: int) -> DataFrame:

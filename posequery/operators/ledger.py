@@ -13,7 +13,6 @@ from posequery.functions.text import fnv1a64_hex
 from posequery.operators.tracks import FRAMES
 from posequery.plans.ordered import Scan, ordered_scan
 from posequery.plans.quantiles import exact_quantiles
-from posequery.session import cut
 
 RUN = ["run", "seq"]
 # Rejection messages that count as failed seeding.
@@ -380,7 +379,7 @@ def histogram(
     A single-valued group spans half a unit on either side.
     """
     # Equal values are one row with a count before they meet their group's limits.
-    rows = cut(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")), "values")
+    rows = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     limits = rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     count = (
         F.lit(bins)

@@ -168,17 +168,13 @@ def sync_steps(
         F.when(is_left, 1 - F.col("near")).otherwise(-most).cast("long").alias("low"),
         F.when(is_left, most).otherwise(F.col("near") - 1).cast("long").alias("high"),
     )
-    counted = cut(counters(rows, ["ts_ns", "side"]), "counted")
-    ranks = ordered_scan(
-        counted, ["seq"], ["ts_ns", "side"], width_ns,
-        lefts=Scan("sum", is_left.cast("long")), rights=Scan("sum", (~is_left).cast("long")),
-    )
+    ranks = counters(rows, ["ts_ns", "side"], "lefts", "rights")
     left_over = F.when(is_left, F.greatest(F.col("before"), -F.col("near"))).otherwise(F.least(F.col("before"), F.col("near")))
     waits = F.when(is_left, F.col("left_over") >= 0).otherwise(F.col("left_over") <= 0)
     others = F.when(is_left, F.col("rights")).otherwise(F.col("lefts"))
     return ranks.withColumn("left_over", left_over).select(
         "seq", "ts_ns", "side",
-        (F.when(is_left, F.col("lefts")).otherwise(F.col("rights")) - 1).alias("rank"),
+        F.when(is_left, F.col("lefts")).otherwise(F.col("rights")).alias("rank"),
         F.when(~waits, others - F.abs("left_over")).alias("partner"),
         waits.alias("waits"),
         F.when(waits, F.least(F.abs("left_over") + 1, F.lit(most))).alias("queue"),

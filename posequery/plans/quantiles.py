@@ -14,7 +14,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posequery.session import cut
 
 _PER_E_FOLD = 256
 _OFFSET = 1 << 20
@@ -72,10 +71,10 @@ def _holding(counted: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``keys, _v, _w``: every finite value of each group once, with its number of rows; written."""
+    """``keys, _v, _w``: every finite value of each group once, with its number of rows."""
     number = F.col(value).cast("double")
     rows = df.select(*keys, number.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
-    return cut(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w")), "values")
+    return rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
 
 
 def exact_quantiles(
@@ -84,7 +83,7 @@ def exact_quantiles(
     """One row per group with linearly interpolated quantiles at ``q * (n - 1)``.
 
     Null and non-finite values are left out.  ``quantiles`` maps output names to
-    fractions.  The input is read once, when called; its distinct values are written.
+    fractions.  The input is read once: its counted values are three times the same exchange.
     """
     keys = list(keys)
     fractions = list(quantiles.values())
