@@ -136,8 +136,15 @@ def predicted_pose(frames: DataFrame, width: int = FRAMES) -> DataFrame:
     """
     accepted = frames.where(F.col("status") == "ok").select("seq", "frame", *g.POSE_COLUMNS)
     own = g.pose_struct(g.pose())
-    once = ordered_scan(accepted, ["seq"], ["frame"], width, prev=Scan("lag", own))
-    twice = ordered_scan(once, ["seq"], ["frame"], width, prevprev=Scan("lag", F.col("prev")))
+    twice = ordered_scan(
+        accepted,
+        ["seq"],
+        ["frame"],
+        width,
+        once=True,
+        prev=Scan("lag", own),
+        prevprev=Scan("lag", own, offset=2),
+    )
     last, before = g.pose("prev"), g.pose("prevprev")
     step = g.pose_between(before, last)
     moved = twice.select("seq", "frame", "prev", "prevprev", g.pose_struct(step).alias("step"))

@@ -13,6 +13,7 @@ from posequery.functions.text import fnv1a64_hex
 from posequery.operators.tracks import FRAMES
 from posequery.plans.ordered import Scan, ordered_scan
 from posequery.plans.quantiles import exact_quantiles
+from posequery.session import cut
 
 RUN = ["run", "seq"]
 # Rejection messages that count as failed seeding.
@@ -456,11 +457,13 @@ def stream_gaps(
         keys,
         ["ts_ns"],
         width_ns,
+        once=True,
         prev_ns=Scan("lag", F.col("ts_ns")),
         position=Scan("sum", one),
     )
     interval = F.col("ts_ns") - F.col("prev_ns")
-    long_ones = spaced.where(interval > threshold_ns).withColumn("interval_ns", interval)
+    # The few long intervals are written, so that numbering them does not scan the stream again.
+    long_ones = cut(spaced.where(interval > threshold_ns).withColumn("interval_ns", interval), "gaps")
     numbered = ordered_scan(
         long_ones, keys, ["ts_ns"], width_ns, nth=Scan("sum", one)
     ).withColumn("island", F.col("position") - F.col("nth"))

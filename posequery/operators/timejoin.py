@@ -254,13 +254,17 @@ def pose_at(queries: DataFrame, poses: DataFrame, width_ns: int = MINUTE_NS) ->
     merged = poses.select("seq", "ts_ns", F.lit(0).alias("side"), held.alias("held")).unionByName(
         queries.select("seq", "ts_ns", F.lit(1).alias("side")), allowMissingColumns=True
     )
+    # Before the first pose, the next one is the first.
     filled = ordered_scan(
-        merged, ["seq"], ["ts_ns", "side"], width_ns, latest=Scan("last", F.col("held"))
-    ).where(F.col("side") == 1)
-    first = poses.groupBy("seq").agg(F.min_by(held, "ts_ns").alias("first"))
-    return filled.join(first, "seq", "left").select(
-        "seq", "ts_ns", F.coalesce("latest", "first").alias("pose")
+        merged,
+        ["seq"],
+        ["ts_ns", "side"],
+        width_ns,
+        once=True,
+        latest=Scan("last", F.col("held")),
+        coming=Scan("last", F.col("held"), back=True),
     )
+    return filled.where(F.col("side") == 1).select("seq", "ts_ns", F.coalesce("latest", "coming").alias("pose"))
 
 
 IMU_AXES = ["ax", "ay", "az", "wx", "wy", "wz"]
@@ -292,23 +296,17 @@ def imu_segments(
     )
     order = ["ts_ns", "side"]
     image_stamp = F.when(F.col("side") == 1, F.col("ts_ns"))
-    forward = ordered_scan(
+    both = ordered_scan(
         merged,
         ["seq"],
         order,
         width_ns,
+        once=True,
         before=Scan("lag", F.col("ts_ns")),
         prev_image_ns=Scan("last_before", image_stamp),
         older=Scan("last", F.col("sample")),
-    )
-    both = ordered_scan(
-        forward,
-        ["seq"],
-        order,
-        width_ns,
-        reverse=True,
-        image_ns=Scan("last", image_stamp),
-        newer=Scan("last", F.col("sample")),
+        image_ns=Scan("last", image_stamp, back=True),
+        newer=Scan("last", F.col("sample"), back=True),
     )
     is_image = F.col("side") == 1
     exact = F.col("older.ts_ns") == F.col("ts_ns")

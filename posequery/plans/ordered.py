@@ -21,15 +21,19 @@ class Scan:
 
     ``kind`` is one of
 
-    * ``lag``: the value on the previous row, null on the first row;
+    * ``lag``: the value ``offset`` rows before, null where there is none;
     * ``last``: the latest non-null value up to and including the row;
     * ``last_before``: the latest non-null value strictly before the row;
     * ``sum``, ``max``: running aggregate including the row;
     * ``max_before``: running maximum strictly before the row.
+
+    ``back`` turns this scan round, so that ``lag`` is lead and ``last`` is next.
     """
 
     kind: str
     value: Column
+    offset: int = 1
+    back: bool = False
 
 
 def chunk_start(value: Column, width: int) -> Column:
@@ -43,43 +47,68 @@ def ordered_scan(
     order: Sequence[str],
     width: int,
     reverse: bool = False,
+    once: bool = False,
     **scans: Scan,
 ) -> DataFrame:
     """Add one column per scan, evaluated in ``order`` within ``keys``.
 
     ``order[0]`` must be integral; ``width`` chunks it.  ``order`` must be unique
-    within a key.  ``reverse`` runs the scan from the end, which turns ``lag`` into
-    lead and ``last`` into next.
+    within a key.  ``reverse`` turns every scan round; scans of both directions share a pass.
+
+    Rows and chunk summaries are two uses of ``df``.  By default the summaries read only their
+    own columns and are combined before they shuffle.  With ``once``, for scans that read every
+    column of ``df``, both come from one shuffle of the rows and ``df`` is computed once.
     """
     keys = list(keys)
     base = df.withColumn("_chunk", chunk_start(F.col(order[0]), width))
+    place = [*keys, "_chunk"]
+    if once:
+        # A struct is never null, so the join below puts no filter under one of the two uses.
+        # It takes the keys along, so that both uses read the same columns of the shuffle.
+        base = base.withColumn("_place", F.struct(*place)).drop(*place).repartition("_place")
+        base = base.select("*", *[F.col("_place")[c].alias(c) for c in keys])
+        place = ["_place"]
     for name, scan in scans.items():
         base = base.withColumn(f"_in_{name}", scan.value)
 
-    def direction(name: str) -> Column:
-        return F.desc(name) if reverse else F.asc(name)
+    def windows(back: bool):
+        turned = F.desc if back else F.asc
+        local = Window.partitionBy(*place).orderBy(*[turned(c) for c in order])
+        return local, Window.partitionBy(*keys).orderBy(turned("_chunk"))
 
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*[direction(c) for c in order])
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*[F.col(c) for c in order])
-    end_of = F.min_by if reverse else F.max_by
-    across = Window.partitionBy(*keys).orderBy(direction("_chunk"))
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-
+    ends = base  # what chunk summaries are taken from
     local_columns: list[Column] = []
     summaries: list[Column] = []
     carries: list[Column] = []
     results: dict[str, Column] = {}
     for name, scan in scans.items():
+        back = scan.back != reverse
+        local, across = windows(back)
+        upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = local.rowsBetween(Window.unboundedPreceding, -1)
+        earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+        end_of = F.min_by if back else F.max_by
         value = F.col(f"_in_{name}")
         local_name, carry_name = f"_local_{name}", f"_carry_{name}"
         summary = F.col(f"_sum_{name}")
-        if scan.kind == "lag":
+        if scan.kind == "lag" and scan.offset == 1:
             local_columns.append(F.lag(F.struct(value.alias("v"))).over(local).alias(local_name))
             summaries.append(end_of(F.struct(value.alias("v")), position).alias(f"_sum_{name}"))
             carries.append(F.lag(summary).over(across).alias(carry_name))
             results[name] = F.coalesce(F.col(local_name), F.col(carry_name))["v"]
+        elif scan.kind == "lag":
+            # A chunk hands on its last rows; the chunks before it fill up what it lacks.
+            far, held = scan.offset, F.struct(position.alias("p"), value.alias("v"))
+            left, nth = f"_left_{name}", f"_nth_{name}"
+            ends = ends.withColumn(left, F.row_number().over(windows(not back)[0]))
+            local_columns.append(F.lag(held, far).over(local).alias(local_name))
+            local_columns.append(F.row_number().over(local).alias(nth))
+            last_ones = F.sort_array(F.collect_list(F.when(F.col(left) <= far, held)), asc=not back)
+            summaries.append(last_ones.alias(f"_sum_{name}"))
+            carries.append(F.flatten(F.collect_list(summary).over(across.rowsBetween(-far, -1))).alias(carry_name))
+            carried_over = F.get(F.col(carry_name), F.size(carry_name) - (far + 1) + F.col(nth))
+            results[name] = F.when(F.col(nth) > far, F.col(local_name)).otherwise(carried_over)["v"]
         elif scan.kind in ("last", "last_before"):
             frame = upto if scan.kind == "last" else before
             local_columns.append(F.last(value, ignorenulls=True).over(frame).alias(local_name))
@@ -104,12 +133,10 @@ def ordered_scan(
         else:
             raise ValueError(f"unknown scan kind {scan.kind!r}")
 
-    carried = (
-        base.groupBy(*keys, "_chunk")
-        .agg(*summaries)
-        .select(*keys, "_chunk", *carries)
-    )
-    rows = base.select("*", *local_columns)
-    joined = rows.join(carried, [*keys, "_chunk"], "left")
+    carried = ends.groupBy(*place).agg(*summaries)
+    if once:
+        carried = carried.select("*", *[F.col("_place")[c].alias(c) for c in (*keys, "_chunk")])
+    carried = carried.select(*place, *carries)
+    joined = base.select("*", *local_columns).join(carried, place, "left")
     kept = [c for c in df.columns if c not in scans]
     return joined.select(*kept, *[column.alias(name) for name, column in results.items()])

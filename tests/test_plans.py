@@ -48,6 +48,56 @@ def test_ordered_scan_equals_plain_windows(spark):
         )
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_scans_of_both_directions_and_wider_lags(spark, once):
+    rng = random.Random(4)
+    stamps = {"hot": sorted(rng.sample(range(-300, 900), 200)), "cold": [5, 6, 600], "one": [1]}
+    rows = [(key, t, rng.choice([None, rng.randint(-9, 9)])) for key, ts in stamps.items() for t in ts]
+    df = spark.createDataFrame(rows, "key string, t long, v long")
+    v = F.col("v")
+    scanned = ordered_scan(
+        df, ["key"], ["t"], 7, once=once,
+        second=Scan("lag", v, offset=2), fifth=Scan("lag", v, offset=5),
+        ahead=Scan("lag", v, offset=3, back=True), next=Scan("last", v, back=True), filled=Scan("last", v),
+    )
+    order = Window.partitionBy("key").orderBy("t")
+    plain = df.select(
+        "*", F.lag("v", 2).over(order).alias("second"), F.lag("v", 5).over(order).alias("fifth"),
+        F.lead("v", 3).over(order).alias("ahead"),
+        F.first("v", True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("next"),
+        F.last("v", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("filled"),
+    )
+    assert sorted(map(tuple, scanned.select(plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_one_pass_scans_shuffle_their_input_once(spark, tmp_path):
+    from posequery.operators.landmarks import predicted_pose
+    from posequery.operators.timejoin import IMU_AXES, imu_segments, pose_at
+
+    axes = [F.rand(1).alias(a) for a in IMU_AXES]
+    ids = spark.range(4000)
+    ids.select((F.col("id") % 3).alias("seq"), (F.col("id") * 5).alias("ts_ns"), *axes).write.parquet(f"{tmp_path}/imu")
+    ids.select((F.col("id") % 3).alias("seq"), (F.col("id") * 5 + 2).alias("ts_ns")).write.parquet(f"{tmp_path}/images")
+    pose = [F.rand(2).alias(c) for c in ("tx", "ty", "tz", "qx", "qy", "qz", "qw")]
+    frames = ids.select((F.col("id") % 3).alias("seq"), F.col("id").alias("frame"), F.lit("ok").alias("status"), *pose)
+    frames.write.parquet(f"{tmp_path}/frames")
+    imu, images, frames = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("imu", "images", "frames"))
+    poses = frames.select("seq", (F.col("frame") * 5).alias("ts_ns"), "tx", "ty", "tz")
+    for found, scans in (
+        (imu_segments(images, imu, 1000), 2),
+        (pose_at(images, poses, 1000), 2),
+        (predicted_pose(frames, 200), 1),
+    ):
+        plan = executed(found)
+        assert plan.count("FileScan parquet") == scans, plan
+        assert "ReusedExchange" in plan, plan
+
+
 @pytest.mark.parametrize("kind", ["normal", "ties", "tiny", "wide", "integers"])
 def test_exact_quantiles_equal_numpy(spark, kind):
     rng = np.random.default_rng(5)
