@@ -136,13 +136,6 @@ def _recordings(spark, sf):
     return root
 
 
-def _recording_lines(spark, sf, sensor):
-    """Lines of one kind of file, with the keys taken from the folder names."""
-    from posequery.sources.lines import read_lines
-
-    return read_lines(spark, _recordings(spark, sf)).where(F.col("sensor").startswith(sensor))
-
-
 @query(
     "a3_read_camera_manifest",
     with_views("left", "right")
@@ -151,7 +144,7 @@ def _recording_lines(spark, sf, sensor):
     " concat(ts_ns, '.png') FROM v_right WHERE ts_ns % 29 <> 0 AND seq % 4 <> 0",
 )
 def camera_manifest(spark, sf):
-    parsed = sn.parse_camera_manifest(_recording_lines(spark, sf, "cam"))
+    parsed = sn.read_camera_manifest(spark, _recordings(spark, sf))
     return parsed.rows.select("seq", "sensor", "ts_ns", "filename")
 
 
@@ -162,7 +155,7 @@ def camera_manifest(spark, sf):
     f" {s6('wz')} FROM v_imu",
 )
 def imu_csv(spark, sf):
-    rows = sn.parse_imu(_recording_lines(spark, sf, "imu")).rows
+    rows = sn.read_imu(spark, _recordings(spark, sf)).rows
     return rows.select("seq", "ts_ns", *[r6(c) for c in ("ax", "ay", "az", "wx", "wy", "wz")])
 
 
@@ -173,8 +166,6 @@ def imu_csv(spark, sf):
     f" {s6('event_id * 5e-1', 'vx')} FROM v_gt WHERE event_id % 31 <> 0",
 )
 def groundtruth_csv(spark, sf):
-    from posequery.sources.lines import read_lines
-
     path = fresh_path(spark, "groundtruth")
     # Norms are off by up to 0.05 percent, which the reader removes; one row in 31 is far off.
     scale = F.when(F.expr("event_id % 31 = 0"), 2.0).otherwise(1.0 + (F.col("event_id") % 5) * 1e-4)
@@ -195,7 +186,7 @@ def groundtruth_csv(spark, sf):
         .write.partitionBy("seq")
         .text(path)
     )
-    rows = tr.parse_groundtruth(read_lines(spark, path)).rows
+    rows = tr.read_groundtruth(spark, path).rows
     return rows.select("seq", "ts_ns", r6("tx"), r6("ty"), r6("qz"), r6("qw"), r6("vx"))
 
 
@@ -235,17 +226,26 @@ def missing_members(spark, sf):
 )
 def open_sequences(spark, sf):
     """Rows per stream of the recordings, from the folder form of the reader."""
-    from posequery.sources.lines import read_lines
-
-    lines = read_lines(spark, _recordings(spark, sf))
-    cameras = sn.parse_camera_manifest(lines.where(F.col("sensor").startswith("cam"))).rows
-    imu = sn.parse_imu(lines.where(F.col("sensor") == "imu0")).rows
-    both = cameras.select("seq", "sensor").unionByName(imu.select("seq", "sensor"))
+    cameras, imu, _ = sn.open_sequences(spark, _recordings(spark, sf), "partitioned")
+    both = cameras.rows.select("seq", "sensor").unionByName(imu.rows.select("seq", "sensor"))
     return both.groupBy(F.col("seq").cast("string").alias("seq"), "sensor").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
+@query(
+    "a6_missing_sensors",
+    with_views("left", "right", "imu")
+    + ", held AS (SELECT DISTINCT seq, 'cam0' AS sensor FROM v_left UNION SELECT seq, 'cam1' FROM v_right WHERE seq % 4 <> 0"
+    " UNION SELECT seq, 'imu0' FROM v_imu)"
+    " SELECT CAST(seq AS VARCHAR) AS seq, concat('sensor=', sensor, '/') AS member FROM (SELECT DISTINCT seq FROM held),"
+    " (VALUES ('cam0'), ('cam1'), ('imu0')) m(sensor) WHERE (seq, sensor) NOT IN (SELECT (seq, sensor) FROM held)",
+)
+def missing_sensors(spark, sf):
+    """Sensors without a file, from the folders that were written."""
+    return sn.open_sequences(spark, _recordings(spark, sf), "partitioned")[2]
+
+
 @query(
     "a7_write_errors_csv",
     with_views("est", "gt", **ATE_CTES)

@@ -154,15 +154,17 @@ def equidistant(spark, sf):
     return rows.select("event_id", r6("p.u"), r6("p.v"), "p.error_code")
 
 
-# The inverse has no closed form: the bearing of a projected point is the point's own.
+# The inverse has no closed form: the bearing of a projected point is the point's own.  Points
+# that are not before the camera have no pixel.
 @query(
     "h7_undistort",
-    f"WITH p AS ({_POINTS}) SELECT event_id, model, {s6('x / sqrt(x * x + y * y + z * z)', 'bx')},"
-    f" {s6('y / sqrt(x * x + y * y + z * z)', 'by')}, CAST(NULL AS VARCHAR) AS error_code FROM p,"
-    " (VALUES ('radial_tangential'), ('equidistant')) m(model) WHERE z > 1",
+    f"WITH p AS ({_POINTS}), b AS (SELECT *, CASE WHEN z > 0 THEN sqrt(x * x + y * y + z * z) END AS far FROM p)"
+    f" SELECT event_id, model, {s6('x / far', 'bx')}, {s6('y / far', 'by')},"
+    " CASE WHEN z <= 0 THEN 'non_finite_input' END AS error_code FROM b,"
+    " (VALUES ('radial_tangential'), ('equidistant')) m(model)",
 )
 def undistort(spark, sf):
-    rows = _points(spark, sf).where("z > 1")
+    rows = _points(spark, sf)
     parts = []
     for model, distortion, project in (
         ("radial_tangential", _RADTAN, cam.project_radial_tangential),

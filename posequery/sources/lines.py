@@ -23,13 +23,22 @@ class Parsed(NamedTuple):
     violations: DataFrame
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
-    """``file, line, value`` plus partition columns of the path; carriage returns removed."""
+def read_lines(
+    spark: SparkSession, path: str | Sequence[str], recursive: bool = False, only: Sequence[str] = ()
+) -> DataFrame:
+    """``file, line, value`` plus partition columns of the path; carriage returns removed.
+
+    ``only`` are conditions on partition columns; those whose column the path lacks are passed over, the
+    others choose the folders that are read.
+    """
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     raw = reader.text(path)
     extra = [c for c in raw.columns if c != "value"]
+    for condition in only:
+        if condition.split()[0] in extra:
+            raw = raw.where(condition)
     placed = raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),

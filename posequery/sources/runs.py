@@ -177,7 +177,7 @@ def write_run_ledger(
         merged = good.unionByName(kept, allowMissingColumns=True)
     (
         cut(merged, "ledger-rows")
-        .repartition("sequence")
+        .repartitionByRange("sequence", "run_key")  # ranges split a sequence that holds most runs
         .sortWithinPartitions("sequence", "run_key")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -42,6 +42,7 @@ LAYOUTS = {
         "mav0/cam1/data.csv",
         "mav0/imu0/data.csv",
     ],
+    "partitioned": ["sensor=cam0/", "sensor=cam1/", "sensor=imu0/"],
 }
 
 
@@ -96,18 +97,23 @@ def parse_imu(lines: DataFrame) -> Parsed:
     )
 
 
+_PLACES = {"seq": r"/([^/]+)/mav0/", "sensor": r"/mav0/([^/]+)/"}
+
+
 def _keyed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("seq", F.regexp_extract("file", r"/([^/]+)/mav0/", 1)).withColumn(
-        "sensor", F.regexp_extract("file", r"/mav0/([^/]+)/", 1)
-    )
+    """``seq, sensor`` from ``seq=…/sensor=…`` folders, or from the path of a recording's member."""
+    lacking = {n: F.regexp_extract("file", at, 1) for n, at in _PLACES.items() if n not in lines.columns}
+    return lines.withColumns(lacking) if lacking else lines
 
 
 def read_camera_manifest(spark: SparkSession, path: str) -> Parsed:
-    return parse_camera_manifest(_keyed(read_lines(spark, path)))
+    """Camera manifests: files of recordings, or a table partitioned by ``seq`` and ``sensor``."""
+    return parse_camera_manifest(_keyed(read_lines(spark, path, only=["sensor LIKE 'cam%'"])))
 
 
 def read_imu(spark: SparkSession, path: str) -> Parsed:
-    return parse_imu(_keyed(read_lines(spark, path)))
+    """Inertial streams, in the same two layouts as camera manifests."""
+    return parse_imu(_keyed(read_lines(spark, path, only=["sensor LIKE 'imu%'"])))
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -122,9 +128,15 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def missing_members(files: DataFrame, members: Sequence[str] = LAYOUTS["euroc"]) -> DataFrame:
-    """Required members without a file, per recording; ``files`` has ``path``."""
-    tops = "|".join(sorted({m.split("/")[0] for m in members}))
-    place = rf"/([^/]+)/((?:{tops})/.+)$"
+    """Required members without a file, per recording; ``files`` has ``path``.
+
+    Members that end in a slash are folders ``sensor=…/`` of a partitioned table.
+    """
+    if all(m.endswith("/") for m in members):
+        place = r"/seq=([^/]+)/(sensor=[^/]+/)[^/]+$"
+    else:
+        tops = "|".join(sorted({m.split("/")[0] for m in members}))
+        place = rf"/([^/]+)/((?:{tops})/.+)$"
     found = (
         files.select(
             F.regexp_extract("path", place, 1).alias("seq"),
@@ -142,7 +154,13 @@ def missing_members(files: DataFrame, members: Sequence[str] = LAYOUTS["euroc"])
 def open_sequences(
     spark: SparkSession, root: str, layout: str = "euroc"
 ) -> tuple[Parsed, Parsed, DataFrame]:
-    """Camera manifests, inertial streams and missing members of all recordings below ``root``."""
+    """Camera manifests, inertial streams and missing members of all recordings below ``root``.
+
+    The layout ``partitioned`` is a table of lines with folders ``seq=…/sensor=…``.
+    """
+    if layout == "partitioned":
+        files = list_files(spark, root)
+        return read_camera_manifest(spark, root), read_imu(spark, root), missing_members(files, LAYOUTS[layout])
     cameras = read_camera_manifest(spark, f"{root}/*/mav0/cam*/data.csv")
     imu = read_imu(spark, f"{root}/*/mav0/imu*/data.csv")
     files = list_files(spark, root, "{data.csv,*.yaml}")

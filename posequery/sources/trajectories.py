@@ -181,10 +181,10 @@ def parse_groundtruth(lines: DataFrame) -> Parsed:
 
 
 def read_groundtruth(spark: SparkSession, path: str) -> Parsed:
-    """Ground-truth state files; ``seq`` is the folder above ``mav0``."""
-    lines = read_lines(spark, path).withColumn(
-        "seq", F.regexp_extract("file", r"/([^/]+)/mav0/", 1)
-    )
+    """Ground-truth state files; ``seq`` comes from folders ``seq=…`` or is the one above ``mav0``."""
+    lines = read_lines(spark, path)
+    if "seq" not in lines.columns:
+        lines = lines.withColumn("seq", F.regexp_extract("file", r"/([^/]+)/mav0/", 1))
     return parse_groundtruth(lines)
 
 
