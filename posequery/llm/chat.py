@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posequery.session import cut
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Words and signs count as tokens; the marks of a turn count as four.
 _TOKEN, _MARKS = r"\w+|[^\w\s]", 4
@@ -82,7 +84,8 @@ def chat_windows(
     later span.  ``n_context`` counts the leading turns that are repeated, ``loss`` lists the
     code points (``start`` from 0, ``length``) of the texts to learn.  Null texts and roles count
     as empty, a null turn number comes first, rows without a conversation id form one
-    conversation, repeated rows are turns of their own, an empty table gives no rows.
+    conversation, repeated rows are turns of their own, an empty table gives no rows.  Runs a job
+    when called.
     """
     named = turns.select(
         F.col(conv_col).alias("conv_id"),
@@ -93,7 +96,8 @@ def chat_windows(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     count = F.regexp_count("text", F.lit(_TOKEN)) + _MARKS
-    placed = _summed(named.withColumn("tokens", count.cast("long")))
+    # Spans, history and texts are all taken from the placed turns: made once.
+    placed = cut(_summed(named.withColumn("tokens", count.cast("long"))), "turns")
     system = placed.where("place = 0 AND role = 'system'").select(*_KEY, F.col("text").alias("system"), F.col("tokens").alias("system_tokens"))
     rest = placed.join(system.drop("system"), _KEY, "left").withColumn("opening", F.coalesce("system_tokens", F.lit(0)))
     left = F.greatest(F.lit(budget) - F.col("opening"), F.lit(2))
@@ -133,7 +137,7 @@ def chat_windows(
         F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("pieces"),
         F.sort_array(F.collect_list(F.when(learned, mask))).alias("loss"),
     )
-    ids = named.groupBy(*_KEY).agg(F.max("conv_id").alias("conv_id"))
+    ids = placed.groupBy(*_KEY).agg(F.max("conv_id").alias("conv_id"))
     return grouped.join(ids, _KEY).select(
         "conv_id", "window", "n_turns", "n_context", "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"),
         F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("formatted"), "loss",
