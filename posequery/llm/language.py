@@ -8,6 +8,7 @@ less the hits that the fill of a language's slice explains, decide.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from posequery.llm.common import coded, id_and_text, map_blocks, per_text, record, texts_of
 
 SIZES = (1, 2, 3, 4, 5)
+LONGEST = 64
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -97,11 +99,45 @@ def popcounts(filters: Filters, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     return out, total
 
 
-def decide(filters: Filters, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; ``und`` where there is no letter."""
+class Memory:
+    """Popcounts of words met before: the first ones, up to 64 MB and ``LONGEST`` bytes a word."""
+
+    def __init__(self, filters: Filters, cells: int = 1 << 24):
+        self.filters = filters
+        self.index: dict[bytes, int] = {}
+        self.table = np.zeros((cells // max(1, len(filters.languages)), len(filters.languages)), np.float32)
+
+    def popcounts(self, words: list[bytes]) -> np.ndarray:
+        """What :func:`popcounts` gives for ``words``, which are distinct."""
+        places = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        out = np.zeros((len(words), len(self.filters.languages)), np.float32)
+        out[places >= 0] = self.table[places[places >= 0]]
+        out[new] = popcounts(self.filters, [words[i] for i in new])[0]
+        kept = [i for i in new.tolist() if len(words[i]) <= LONGEST][: len(self.table) - len(self.index)]
+        self.table[len(self.index) : len(self.index) + len(kept)] = out[kept]
+        for i in kept:
+            self.index[words[i]] = len(self.index)
+        return out
+
+
+#: The memory of this worker process and the call of :func:`identify` that it serves.
+_MEMORY: dict[str, Memory] = {}
+
+
+def _memory(call: str, filters: Filters) -> Memory:
+    if call not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[call] = Memory(filters)
+    return _MEMORY[call]
+
+
+def decide(filters: Filters, texts: list[bytes], memory: Memory | None = None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, from it alone; ``und`` where there is no letter."""
     words, codes, offsets = coded([letters(t) for t in texts])
-    counts, _ = popcounts(filters, words)
-    sums = np.maximum(per_text(counts[codes].astype(np.float64), offsets), 0.0)
+    counts = memory.popcounts(words) if memory else popcounts(filters, words)[0]
+    # Sums run over the block; rounding takes off what the texts before leave in the last digits.
+    sums = np.maximum(np.round(per_text(counts[codes].astype(np.float64), offsets), 5), 0.0)
     best = sums.argmax(1) if len(filters.languages) else np.zeros(len(texts), np.int64)
     langs, scores = [], np.zeros(len(texts))
     for i, text in enumerate(texts):
@@ -173,12 +209,14 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    call = uuid.uuid4().hex
 
     def make():
         model = shared.value
+        memory = _memory(call, model)
 
         def work(block: pa.RecordBatch) -> pa.RecordBatch:
-            langs, scores = decide(model, texts_of(block))
+            langs, scores = decide(model, texts_of(block), memory)
             ids = block.column("doc_id")
             return record(pa.schema([("doc_id", ids.type), ("lang_pred", pa.string()), ("score", pa.float64())]), [ids, langs, scores])
 
