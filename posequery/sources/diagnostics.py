@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posequery.sources.lines import headed_columns, read_lines
+from posequery.sources.lines import headed_columns, read_lines, write_in_order
 
 # Column names and order of the diagnostic files.
 DIAG_COLUMNS = {
@@ -77,20 +77,18 @@ def _fixed_text(name: str, kind: str) -> Column:
     return F.col(name).cast("string").alias(name)
 
 
-def diag_text(diag: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """Diagnostics as the files spell them: six decimals, flags as 0 and 1."""
+def diag_text(diag: DataFrame, columns: dict[str, str] | None = None, *kept: str) -> DataFrame:
+    """Diagnostics as the files spell them: six decimals, flags as 0 and 1; ``kept`` stay as they are."""
     kinds = columns or DIAG_COLUMNS
     keys = [c for c in ("run", "seq") if c in diag.columns]
-    return diag.select(*keys, *[_fixed_text(n, k) for n, k in kinds.items()])
+    return diag.select(*keys, *kept, *[_fixed_text(n, k) for n, k in kinds.items()])
 
 
 def write_diag(diag: DataFrame, path: str, columns: dict[str, str] | None = None) -> None:
     """CSV with header, a folder per run and sequence, in time order across part files."""
     stamp = next(iter(columns or DIAG_COLUMNS))
-    ordered = diag.repartitionByRange("run", "seq", stamp).sortWithinPartitions(
-        "run", "seq", stamp
-    )
-    diag_text(ordered, columns).write.partitionBy("run", "seq").option("header", "true").csv(path)
+    text = diag_text(diag.withColumn("_at", F.col(stamp)), columns, "_at")
+    write_in_order(text, ["run", "seq"], "_at", path, "csv", header="true")
 
 
 def read_probe(spark: SparkSession, path: str) -> DataFrame:

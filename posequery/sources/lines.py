@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from posequery.plans.spread import join_per_key
 
 
+# Fixed value: how folders of Hive-style layouts spell a null.
+_NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
 class Parsed(NamedTuple):
     """Valid rows, and one row per violation with file, line, code and field."""
 
@@ -73,6 +77,21 @@ def read_lines(
     )
 
 
+def write_in_order(
+    rows: DataFrame, folders: Sequence[str], order: str, path: str, format: str = "text", **options: str
+) -> None:
+    """Files in folders named by ``folders``, whose lines keep rising ``order``; other columns are written.
+
+    Spark's writer sorts by the folders anew, and drops the sort before, unless it can see that
+    the rows come sorted that way.  It cannot where a folder is constant or may be null, so each is made a
+    text that is neither; a null goes to the folder that reads back as null.
+    """
+    varying = F.substring(F.coalesce(F.col(order).cast("string"), F.lit("")), 1, 0)
+    names = {c: F.coalesce(F.concat(F.col(c).cast("string"), varying), F.lit(_NULL_FOLDER)) for c in folders}
+    ordered = rows.withColumns(names).repartitionByRange(*folders, order).sortWithinPartitions(*folders, order)
+    ordered.drop(order).write.partitionBy(*folders).options(**options).format(format).save(path)
+
+
 def violation(code: str | Column, field: str | Column | None = None) -> Column:
     code = F.lit(code) if isinstance(code, str) else code
     field = F.lit(field).cast("string") if not isinstance(field, Column) else field

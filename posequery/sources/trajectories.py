@@ -17,6 +17,7 @@ from posequery.sources.lines import (
     read_lines,
     stamp_check,
     violation,
+    write_in_order,
 )
 
 # Column names of the ground-truth state file, in file order.
@@ -123,12 +124,7 @@ def write_tum(poses: DataFrame, path: str) -> None:
 
     Ranges of time are written side by side, so one long sequence is not one task.
     """
-    ordered = (
-        tum_lines(poses)
-        .repartitionByRange("run", "seq", "ts_ns")
-        .sortWithinPartitions("run", "seq", "ts_ns")
-    )
-    ordered.select("run", "seq", "value").write.partitionBy("run", "seq").text(path)
+    write_in_order(tum_lines(poses), ["run", "seq"], "ts_ns", path)
 
 
 def parse_groundtruth(lines: DataFrame) -> Parsed:
