@@ -609,8 +609,8 @@ def intersect_stamps(spark, sf):
 def except_stamps(spark, sf):
     left, right = view(spark, sf, "left"), view(spark, sf, "right")
     return (
-        left.exceptAll(right)
+        left.subtract(right)
         .withColumn("side", F.lit("left"))
-        .unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+        .unionByName(right.subtract(left).withColumn("side", F.lit("right")))
         .select("side", "seq", "ts_ns")
     )

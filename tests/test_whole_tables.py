@@ -1,6 +1,9 @@
 """Registered queries over all rows of their tables, to the last one."""
 
+import os
+
 import duckdb
+import pytest
 
 import __spark_entry__ as registry
 import check
@@ -22,11 +25,12 @@ def test_run_meta_has_every_key(spark):
     assert sorted(map(tuple, got)) == want and len({key for _, key, _ in want}) == 4
 
 
-def same_as_sql(spark, name):
+def same_as_sql(spark, name, folder=SF):
     con = duckdb.connect()
     for table in check.TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    found = registry.queries()[name](spark, SF)
+        if os.path.exists(f"{folder}/{table}.parquet"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    found = registry.queries()[name](spark, str(folder))
     cursor = con.execute(registry.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(cursor.fetchall())
@@ -48,3 +52,14 @@ def test_sync_report_has_every_counter(spark):
         for side in ("left", "right"):
             assert r[f"pushed_{side}"] == r.emitted + r[f"dropped_{side}"]
             assert 1 <= r[f"longest_{side}"] <= r[f"pushed_{side}"]
+
+
+@pytest.mark.parametrize("name", ["c5_exact_intersection_count", "g3_except_stamps"])
+def test_stamps_that_repeat(spark, tmp_path, name):
+    # Every fifth event has the stamp and user of the one ten before.
+    duckdb.execute(
+        "COPY (SELECT event_id, CASE WHEN event_id % 5 = 3 AND event_id > 9 THEN lag(ts, 10) OVER w ELSE ts END AS ts, CASE WHEN event_id % 5 = 3 AND event_id > 9"
+        " THEN lag(user_id, 10) OVER w ELSE user_id END AS user_id, event_type, value, props"
+        f" FROM '{SF}/events.parquet' WINDOW w AS (ORDER BY event_id)) TO '{tmp_path}/events.parquet'"
+    )
+    same_as_sql(spark, name, tmp_path)
