@@ -58,6 +58,24 @@ def _before(rows: pa.Table, keys: Sequence[str]) -> pa.Table:
     return out.append_column("ups_before", pa.array(ups - ups[first] if len(ups) else ups, pa.int64()))
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of sorted ``batches`` that hold all rows of each of their ``keys``, columns in one piece."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        last = np.ones(len(held), bool)
+        for key in keys:
+            column = held.column(key).to_numpy()
+            last &= column == column[-1]
+        done = len(held) - int(last[::-1].cumprod().sum())
+        if done:
+            yield held.slice(0, done).combine_chunks()
+            held = held.slice(done)
+    if held is not None and len(held):
+        yield held.combine_chunks()
+
+
 def steps_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``rows`` with ``add_before, low_before, high_before``: all earlier steps of their ``keys`` as one.
 
@@ -67,20 +85,8 @@ def steps_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     schema = rows.select("*", *(F.lit(0).cast("long").alias(f"{c}_before") for c in ("add", "low", "high", "ups"))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            last = np.ones(len(held), bool)
-            for key in keys:
-                column = held.column(key).to_numpy()
-                last &= column == column[-1]
-            done = len(held) - int(last[::-1].cumprod().sum())
-            if done:
-                yield from _before(held.slice(0, done).combine_chunks(), keys).to_batches()
-                held = held.slice(done)
-        if held is not None and len(held):
-            yield from _before(held.combine_chunks(), keys).to_batches()
+        for table in whole_keys(batches, keys):
+            yield from _before(table, keys).to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 

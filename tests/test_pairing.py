@@ -113,3 +113,11 @@ def test_handler_rejects_options(options):
 def test_repeated_stamps_count_in_pairs(spark):
     left, right = sides(spark, [1, 5, 5, 9], [5, 5, 5, 9, 12])
     assert [tuple(r) for r in tj.intersection_count(left, right).collect()] == [(1, 7)]
+
+
+def test_soft_pairing_slides_no_frame_over_the_tolerance(spark, monkeypatch):
+    # A frame of a fixed width costs as many rows a row as the tolerance spans.
+    plans, counters = [], tj.counters
+    monkeypatch.setattr(tj, "counters", lambda rows, *rest: plans.append(rows._jdf.queryExecution().toString()) or counters(rows, *rest))
+    assert soft(spark, range(0, 90, 3), range(1, 90, 2), 40) == two_pointer(range(0, 90, 3), range(1, 90, 2), 40)
+    assert len(plans) == 1 and "RangeFrame" not in plans[0]
