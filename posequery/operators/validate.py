@@ -26,11 +26,12 @@ def _violation(code: Column, field: Column | None = None) -> Column:
 
 
 def check_order(
-    rows: DataFrame, keys: Sequence[str], line: str = "line", width: int = LINES
+    rows: DataFrame, keys: Sequence[str], line: str = "line", width: int = LINES, repeats: bool = False
 ) -> DataFrame:
     """Rows whose stamp repeats or precedes the latest one on the lines before.
 
-    The rows that are left are strictly increasing, whatever was in between.
+    The rows that are left are strictly increasing, whatever was in between.  With ``repeats`` a stamp may
+    repeat the latest one, and they never decrease.
     """
     scanned = ordered_scan(
         rows.select(*keys, line, "ts_ns"),
@@ -39,9 +40,9 @@ def check_order(
         width,
         latest_ns=Scan("max_before", F.col("ts_ns")),
     )
-    code = F.when(F.col("ts_ns") == F.col("latest_ns"), "duplicate_timestamp").when(
-        F.col("ts_ns") < F.col("latest_ns"), "out_of_order_timestamp"
-    )
+    code = F.when(F.col("ts_ns") < F.col("latest_ns"), "out_of_order_timestamp")
+    if not repeats:
+        code = code.when(F.col("ts_ns") == F.col("latest_ns"), "duplicate_timestamp")
     return scanned.select(
         *keys, line, "ts_ns", code.alias("code"), F.lit("timestamp").alias("field")
     ).where(F.col("code").isNotNull())

@@ -46,7 +46,7 @@ LAYOUTS = {
 }
 
 
-def _parse(lines: DataFrame, header: str, checks: list[Column], width: int, columns: list[Column]):
+def _parse(lines: DataFrame, header: str, checks: list[Column], width: int, columns: list[Column], repeats: bool):
     extra = [c for c in lines.columns if c not in ("file", "line", "value")]
     wrong_header = lines.where((F.col("line") == 1) & (F.col("value") != F.lit(header))).select(
         "file", "line", F.lit("invalid_header").alias("code"), F.lit("header").alias("field")
@@ -67,13 +67,13 @@ def _parse(lines: DataFrame, header: str, checks: list[Column], width: int, colu
     bad = judged.where(F.col("violation").isNotNull()).select(
         "file", "line", "violation.code", "violation.field"
     )
-    order = check_order(rows, ["file"]).select("file", "line", "code", "field")
+    order = check_order(rows, ["file"], repeats=repeats).select("file", "line", "code", "field")
     valid = rows.join(order.select("file", "line"), ["file", "line"], "left_anti")
     return Parsed(valid, bad.unionByName(wrong_header).unionByName(order))
 
 
-def parse_camera_manifest(lines: DataFrame) -> Parsed:
-    """Stamps and bare file names of a camera's images."""
+def parse_camera_manifest(lines: DataFrame, repeats: bool = False) -> Parsed:
+    """Stamps and bare file names of a camera's images; with ``repeats`` two images may share a stamp."""
     name = F.get(F.col("fields"), F.lit(1))
     return _parse(
         lines,
@@ -81,11 +81,12 @@ def parse_camera_manifest(lines: DataFrame) -> Parsed:
         [F.when(~is_basename(name), violation("invalid_field", "filename"))],
         2,
         [name.alias("filename")],
+        repeats,
     )
 
 
-def parse_imu(lines: DataFrame) -> Parsed:
-    """Inertial samples; the files hold the gyroscope first."""
+def parse_imu(lines: DataFrame, repeats: bool = False) -> Parsed:
+    """Inertial samples; the files hold the gyroscope first.  With ``repeats`` samples may share a stamp."""
     axes = ["wx", "wy", "wz", "ax", "ay", "az"]
     fields = F.col("fields")
     return _parse(
@@ -94,6 +95,7 @@ def parse_imu(lines: DataFrame) -> Parsed:
         number_checks(fields, axes, 1),
         7,
         [F.get(fields, F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(axes)],
+        repeats,
     )
 
 
@@ -106,14 +108,14 @@ def _keyed(lines: DataFrame) -> DataFrame:
     return lines.withColumns(lacking) if lacking else lines
 
 
-def read_camera_manifest(spark: SparkSession, path: str) -> Parsed:
+def read_camera_manifest(spark: SparkSession, path: str, repeats: bool = False) -> Parsed:
     """Camera manifests: files of recordings, or a table partitioned by ``seq`` and ``sensor``."""
-    return parse_camera_manifest(_keyed(read_lines(spark, path, only=["sensor LIKE 'cam%'"])))
+    return parse_camera_manifest(_keyed(read_lines(spark, path, only=["sensor LIKE 'cam%'"])), repeats)
 
 
-def read_imu(spark: SparkSession, path: str) -> Parsed:
+def read_imu(spark: SparkSession, path: str, repeats: bool = False) -> Parsed:
     """Inertial streams, in the same two layouts as camera manifests."""
-    return parse_imu(_keyed(read_lines(spark, path, only=["sensor LIKE 'imu%'"])))
+    return parse_imu(_keyed(read_lines(spark, path, only=["sensor LIKE 'imu%'"])), repeats)
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -152,17 +154,18 @@ def missing_members(files: DataFrame, members: Sequence[str] = LAYOUTS["euroc"])
 
 
 def open_sequences(
-    spark: SparkSession, root: str, layout: str = "euroc"
+    spark: SparkSession, root: str, layout: str = "euroc", repeats: bool = False
 ) -> tuple[Parsed, Parsed, DataFrame]:
     """Camera manifests, inertial streams and missing members of all recordings below ``root``.
 
-    The layout ``partitioned`` is a table of lines with folders ``seq=…/sensor=…``.
+    The layout ``partitioned`` is a table of lines with folders ``seq=…/sensor=…``.  With ``repeats`` rows of
+    a file may share a stamp.
     """
     if layout == "partitioned":
         files = list_files(spark, root)
-        return read_camera_manifest(spark, root), read_imu(spark, root), missing_members(files, LAYOUTS[layout])
-    cameras = read_camera_manifest(spark, f"{root}/*/mav0/cam*/data.csv")
-    imu = read_imu(spark, f"{root}/*/mav0/imu*/data.csv")
+        return read_camera_manifest(spark, root, repeats), read_imu(spark, root, repeats), missing_members(files, LAYOUTS[layout])
+    cameras = read_camera_manifest(spark, f"{root}/*/mav0/cam*/data.csv", repeats)
+    imu = read_imu(spark, f"{root}/*/mav0/imu*/data.csv", repeats)
     files = list_files(spark, root, "{data.csv,*.yaml}")
     return cameras, imu, missing_members(files, LAYOUTS[layout])
 

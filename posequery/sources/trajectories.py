@@ -41,9 +41,9 @@ ERROR_COLUMNS = {
 }
 
 
-def _with_order(good: DataFrame, bad: DataFrame, extra: list[str]) -> Parsed:
+def _with_order(good: DataFrame, bad: DataFrame, repeats: bool) -> Parsed:
     """Add order violations of the parsed rows; rows that break the order are not valid."""
-    order = check_order(good, ["file"]).select("file", "line", "code", "field")
+    order = check_order(good, ["file"], repeats=repeats).select("file", "line", "code", "field")
     rows = good.join(order.select("file", "line"), ["file", "line"], "left_anti")
     return Parsed(rows, bad.select("file", "line", "code", "field").unionByName(order))
 
@@ -57,11 +57,11 @@ def _split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where(F.col("violation").isNull()).drop("violation"), bad
 
 
-def parse_tum(lines: DataFrame) -> Parsed:
+def parse_tum(lines: DataFrame, repeats: bool = False) -> Parsed:
     """Pose rows of ``seconds tx ty tz qx qy qz qw`` lines.
 
     Time goes to nanoseconds without floating point.  Blank and ``#`` lines are skipped;
-    quaternions near unit norm are normalised.
+    quaternions near unit norm are normalised.  With ``repeats`` poses of a file may share a stamp.
     """
     extra = [c for c in lines.columns if c not in ("file", "line", "value")]
     text = F.regexp_replace(F.trim(F.col("value")), r"\s+", " ")
@@ -103,12 +103,12 @@ def parse_tum(lines: DataFrame) -> Parsed:
         *POSE_COLUMNS[:3],
         *[c.alias(n) for c, n in zip(unit, POSE_COLUMNS[3:], strict=True)],
     )
-    return _with_order(rows, bad, extra)
+    return _with_order(rows, bad, repeats)
 
 
-def read_tum(spark: SparkSession, path: str) -> Parsed:
+def read_tum(spark: SparkSession, path: str, repeats: bool = False) -> Parsed:
     """Trajectories under ``path``; ``run=`` and ``seq=`` folders become columns."""
-    return parse_tum(read_lines(spark, path))
+    return parse_tum(read_lines(spark, path), repeats)
 
 
 def tum_lines(poses: DataFrame) -> DataFrame:
@@ -127,8 +127,8 @@ def write_tum(poses: DataFrame, path: str) -> None:
     write_in_order(tum_lines(poses), ["run", "seq"], "ts_ns", path)
 
 
-def parse_groundtruth(lines: DataFrame) -> Parsed:
-    """State rows: pose (quaternion normalised), velocity and biases."""
+def parse_groundtruth(lines: DataFrame, repeats: bool = False) -> Parsed:
+    """State rows: pose (quaternion normalised), velocity and biases.  With ``repeats`` rows may share a stamp."""
     # Field names of the pose columns as the files spell them.
     pose_fields = ["p_RS_R_x", "p_RS_R_y", "p_RS_R_z", "q_RS_w", "q_RS_x", "q_RS_y", "q_RS_z"]
     targets = ["tx", "ty", "tz", "qw", "qx", "qy", "qz"]
@@ -173,15 +173,15 @@ def parse_groundtruth(lines: DataFrame) -> Parsed:
         *[c.alias(n) for c, n in zip(unit, ("qx", "qy", "qz", "qw"), strict=True)],
         *rest,
     )
-    return _with_order(rows, bad.unionByName(header), extra)
+    return _with_order(rows, bad.unionByName(header), repeats)
 
 
-def read_groundtruth(spark: SparkSession, path: str) -> Parsed:
+def read_groundtruth(spark: SparkSession, path: str, repeats: bool = False) -> Parsed:
     """Ground-truth state files; ``seq`` comes from folders ``seq=…`` or is the one above ``mav0``."""
     lines = read_lines(spark, path)
     if "seq" not in lines.columns:
         lines = lines.withColumn("seq", F.regexp_extract("file", r"/([^/]+)/mav0/", 1))
-    return parse_groundtruth(lines)
+    return parse_groundtruth(lines, repeats)
 
 
 def errors_table(errors: DataFrame) -> DataFrame:

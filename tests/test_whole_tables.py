@@ -65,7 +65,11 @@ def equal_on(spark, name, folder):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(cursor.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["c5_exact_intersection_count", "g3_except_stamps"])
+@pytest.mark.parametrize(
+    "name",
+    ["c5_exact_intersection_count", "g3_except_stamps", "a1_read_tum", "a1_read_tum_violations", "a2_write_tum"]
+    + ["a3_read_camera_manifest", "a4_read_imu_csv", "a5_read_groundtruth_csv", "a6_open_sequences"],
+)
 def test_stamps_that_repeat(spark, tmp_path, name):
     # Every fifth event has the stamp and user of the one ten before.
     duckdb.execute(
