@@ -263,8 +263,9 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"{e} AS {c}" for c, e in _OBS.items()]
     )
     best = F.min(F.struct("line", "price", *_OBS_COLUMNS)).alias("best")
+    # Hardly any rows combine before a shuffle, so they move once, by frame: what follows per frame finds them there.
     return (
-        raw.groupBy("seq", "frame", "id")
+        raw.repartition("seq", "frame").groupBy("seq", "frame", "id")
         .agg(best)
         .select("seq", "frame", "id", *[f"best.{c}" for c in _OBS_COLUMNS])
     )

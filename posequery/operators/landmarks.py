@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from posequery.functions import geometry as g
 from posequery.functions.camera import (
     Rig,
-    back_project_world,
+    back_project,
     stereo_residual,
     to_left_camera,
 )
@@ -242,15 +242,23 @@ def far_return(
     A stored point is refreshed when it is behind the camera or its left pixel is off by
     more than ``max_error_px``; a limit of zero or less never refreshes.
     """
+    # Values that are used again get columns of their own; inlined they make code too long to be compiled.
+    back = g.pose_inverse(g.pose()).t
+    poses = frames.select("seq", "frame", *g.POSE_COLUMNS, *[c.alias(f"b{n}") for c, n in zip(back, "xyz", strict=True)])
     joined = (
         obs.where(F.col("disparity") > 0)
         .select("seq", "frame", "id", "u", "v", "disparity")
-        .join(frames.select("seq", "frame", *g.POSE_COLUMNS), ["seq", "frame"])
+        .join(poses, ["seq", "frame"])
         .join(landmarks.select("seq", "id", "x", "y", "z"), ["seq", "id"])
     )
-    camera = to_left_camera(g.pose(), g.vec(""))
+    seen = back_project(rig, F.col("u"), F.col("v"), F.col("disparity"))
+    joined = joined.select("*", *[c.alias(f"s{n}") for c, n in zip(seen, "xyz", strict=True)])
+    camera = g.pose_apply(g.Pose(g.vec("b"), g.quat_conjugate(g.pose().q)), g.vec(""))
+    fresh = g.pose_apply(g.pose(), g.vec("s"))
     placed = joined.select(
-        "*", *[c.alias(f"c{n}") for c, n in zip(camera, "xyz", strict=True)]
+        "*",
+        *[c.alias(f"c{n}") for c, n in zip(camera, "xyz", strict=True)],
+        *[c.alias(f"f{n}") for c, n in zip(fresh, "xyz", strict=True)],
     )
     point = g.vec("c")
     depth = F.when(point.z > 0, point.z)
@@ -263,17 +271,8 @@ def far_return(
         F.lit(max_error_px > 0)
         & (F.col("error_px").isNull() | (F.col("error_px") > max_error_px)),
     )
-    fresh = back_project_world(rig, g.pose(), F.col("u"), F.col("v"), F.col("disparity"))
     return judged.select(
-        "seq",
-        "frame",
-        "id",
-        "error_px",
-        "refresh",
-        *[
-            F.when(F.col("refresh"), new).otherwise(F.col(n)).alias(n)
-            for new, n in zip(fresh, "xyz", strict=True)
-        ],
+        "seq", "frame", "id", "error_px", "refresh", *[F.when(F.col("refresh"), F.col(f"f{n}")).otherwise(F.col(n)).alias(n) for n in "xyz"]
     )
 
 

@@ -1,6 +1,7 @@
 """Registered queries over all rows of their tables, to the last one."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -91,3 +92,15 @@ def test_a_file_of_a_stream_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(streams, "FILE_ROWS", 100)
     counts = [rows.where(c).count() for c in streams._slices(rows, "at")]
     assert sum(counts) == 1000 and max(counts) <= 110
+
+
+def test_far_return_is_compiled(spark, capsys):
+    # The virtual machine interprets methods over 8,000 bytes, at a fraction of the speed.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        registry.queries()["h8_far_return"](spark, SF).explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
