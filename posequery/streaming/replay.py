@@ -1,7 +1,7 @@
 """Putting the events of a recording's sensors back in order while they arrive.
 
 Rows come in any order, up to ``lateness`` behind the latest.  Each sequence keeps what has arrived in
-a typed list and lets go, by event-time timers, of everything that no later row can precede: by
+a typed list and lets go, with each trigger and by event-time timers, of everything that no later row can precede: by
 stamp, and at equal stamps inertial first, then left, then right.  A row of kind ``end`` closes
 its sequence cleanly; one of kind ``error`` says that its sensor could not be read at that place.
 Either is the last row of a sequence that counts, and they stay apart: what comes after is
@@ -23,6 +23,7 @@ from posequery.streaming.stateful import typed_state
 RANKS = {"imu": 0, "left": 1, "right": 2, "end": 3}
 OUTPUT = "seq long, position long, ts_ns long, kind string, sensor string, state string, cause string"
 _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+_WAITING = ["ts_ns", "rank", "kind", "sensor", "cause"]
 
 
 def replay_events(imu: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -48,27 +49,38 @@ class _Replay(StatefulProcessor):
     def _place(self) -> tuple:
         return tuple(self.at.get()) if self.at.exists() else (0, None, None, None)
 
-    def _let_go(self, seq: int, upto_ns: int | None, out: list[tuple]) -> None:
-        """Put out what waits before ``upto_ns``, all of it for None."""
-        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+    def _let_go(self, seq: int, held: pd.DataFrame, upto_ns: int | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """What of ``held`` comes out before ``upto_ns``, all of it for None, and what still waits."""
         position, last_ns, last_rank, closed = self._place()
-        rest = []
-        for row in held:
-            ts_ns, rank, kind, sensor, cause = row
-            if closed:
-                out.append((seq, None, ts_ns, kind, sensor, f"after {closed}", cause))
-            elif upto_ns is not None and ts_ns >= upto_ns:
-                rest.append(row)
-            else:
-                state = kind if kind in ("end", "error") else "event"
-                closed = None if state == "event" else state
-                out.append((seq, position, ts_ns, kind, sensor, state, cause))
-                position, last_ns, last_rank = position + 1, ts_ns, rank
-        self.at.update((position, last_ns, last_rank, closed))
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0])
-        elif held:
+        held = held.sort_values(["ts_ns", "rank"], kind="stable", ignore_index=True)
+        n = len(held) if upto_ns is None else int(held["ts_ns"].searchsorted(upto_ns))
+        stops = held["kind"].isin(("end", "error")).to_numpy()
+        first = 0 if closed else int(stops[:n].argmax()) + 1 if stops[:n].any() else None
+        if first is not None:  # the sequence closes, so all that waits is answered
+            n = len(held)
+        kept = n if first is None else first
+        out = held.iloc[:n].assign(seq=seq, position=None, state="event")
+        out["position"] = pd.Series([*range(position, position + kept), *[None] * (n - kept)], dtype=object, index=out.index)
+        if first is not None:
+            if first:
+                closed = held["kind"].iat[first - 1]
+                out.iloc[first - 1, out.columns.get_loc("state")] = closed
+            out.iloc[first:, out.columns.get_loc("state")] = f"after {closed}"
+        if kept:
+            last_ns, last_rank = int(held["ts_ns"].iat[kept - 1]), int(held["rank"].iat[kept - 1])
+        self.at.update((position + kept, last_ns, last_rank, closed))
+        return out[_NAMES], held.iloc[n:]
+
+    def _held(self) -> pd.DataFrame:
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        return pd.DataFrame(rows, columns=_WAITING).astype({"ts_ns": "int64", "rank": "int64"})
+
+    def _keep(self, rest: pd.DataFrame) -> None:
+        """Let ``rest``, in order, wait in place of what waited before."""
+        if len(rest):
+            self.waiting.put(list(rest[_WAITING].itertuples(index=False, name=None)))
+            self._wake(int(rest["ts_ns"].iat[0]))
+        else:
             self.waiting.clear()
 
     def _wake(self, ts_ns: int) -> None:
@@ -77,36 +89,38 @@ class _Replay(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         _, last_ns, last_rank, closed = self._place()
-        out: list[tuple] = []
-        first, ended = None, False
-        for batch in rows:
-            new = []
-            for ts_ns, kind, sensor, cause in zip(batch["ts_ns"].tolist(), batch["kind"].tolist(), batch["sensor"].tolist(), batch["cause"].tolist()):
-                rank = RANKS.get(sensor if kind == "error" else kind)
-                place = (ts_ns, 3 if rank is None else rank)
-                if closed:
-                    out.append((key[0], None, ts_ns, kind, sensor, f"after {closed}", cause))
-                elif last_ns is not None and place <= (last_ns, last_rank):
-                    out.append((key[0], None, ts_ns, kind, sensor, "late", cause))
-                elif rank is None:
-                    out.append((key[0], None, ts_ns, kind, sensor, "unknown", cause))
-                else:
-                    new.append((*place, kind, sensor, cause))
-                    ended |= kind == "end"
-                    first = ts_ns if first is None else min(first, ts_ns)
-            if new:
-                self.waiting.appendList(new)
-        if ended:  # nothing more will come, so nothing is waited for
-            self._let_go(key[0], None, out)
-        elif first is not None:
-            self._wake(first)
-        yield pd.DataFrame(out, columns=_NAMES, dtype=object)
+        new = pd.concat(list(rows), ignore_index=True)[["ts_ns", "kind", "sensor", "cause"]]
+        new["cause"] = new["cause"].astype(object).where(new["cause"].notna(), None)
+        rank = new["kind"].where(new["kind"] != "error", new["sensor"]).map(RANKS)
+        place, state = rank.fillna(3), pd.Series(None, index=new.index, dtype=object)
+        state[rank.isna()] = "unknown"
+        if last_ns is not None:
+            state[(new["ts_ns"] < last_ns) | ((new["ts_ns"] == last_ns) & (place <= last_rank))] = "late"
+        if closed:
+            state[:] = f"after {closed}"
+        faulty = state.notna()
+        told = new[faulty].assign(seq=key[0], position=None, state=state[faulty])[_NAMES]
+        if len(told):
+            yield told.astype({"position": object})
+        new = new.assign(rank=place.astype("int64"))[~faulty]
+        if not len(new):
+            return
+        # Nothing that comes later is more than the lateness behind what the sequence has brought by now, so only
+        # the rows of that span go through the state.
+        ended = (new["kind"] == "end").any()
+        held = pd.concat([self._held(), new], ignore_index=True)
+        out, rest = self._let_go(key[0], held, None if ended else int(held["ts_ns"].max()) - self.lateness_ms * 1_000_000)
+        self._keep(rest)
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
         watermark = timerValues.getCurrentWatermarkInMs()  # 0 as long as there is none
-        self._let_go(key[0], (watermark + self.lateness_ms) * 1_000_000 if watermark > 0 else -(1 << 62), out)
-        yield pd.DataFrame(out, columns=_NAMES, dtype=object)
+        held = self._held()
+        if not len(held):
+            return
+        out, rest = self._let_go(key[0], held, (watermark + self.lateness_ms) * 1_000_000 if watermark > 0 else -(1 << 62))
+        self._keep(rest)
+        yield out
 
 
 def ordered_replay(events: DataFrame, lateness_ms: int = 10_000) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,39 @@ def test_one_long_stretch_is_spread(spark):
     steps = tj.sync_steps(left, right, 25, 5_000)  # 80 chunks, no gap above the tolerance
     report = tj.steps_report(steps).first()
     assert (report.emitted, report.dropped_left, report.longest_left) == (40_000, 0, 1)
+
+
+class Held:
+    """A state of one key, kept in memory."""
+
+    def __init__(self):
+        self.rows = None
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows
+
+    def update(self, row):
+        self.rows = row
+
+    put = update
+
+    def appendList(self, rows):
+        self.rows = [*(self.rows or []), *rows]
+
+    def clear(self):
+        self.rows = None
+
+
+def test_only_the_span_of_the_lateness_waits():
+    waiting, at = Held(), Held()
+    handle = SimpleNamespace(getListState=lambda *_: waiting, getValueState=lambda *_: at, registerTimer=lambda _: None)
+    processor = replay._Replay(100)
+    processor.init(handle)
+    rows = pd.DataFrame([event(t, "imu") for t in random.Random(3).sample(range(1000), 1000)], columns=[c.split()[0] for c in EVENTS.split(", ")])
+    out = pd.concat(processor.handleInputRows((1,), iter([rows]), None))
+    kept = len(waiting.get())
+    assert kept <= 101 and out["position"].tolist() == [*range(1000 - kept)]
+    assert out["ts_ns"].tolist() == [t * MS for t in range(1000 - kept)]
