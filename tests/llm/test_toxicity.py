@@ -90,3 +90,35 @@ def test_registered_query(spark, tmp_path):
     assert all(r.predicted == (r.score >= 0.5) for r in found)
     judged = [r.predicted == labels[r.doc_id][2] for r in found if r.held_out and r.doc_id < 900]
     assert sum(judged) / len(judged) > 0.95
+
+
+def test_every_labelled_row_takes_part(spark):
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "CASE WHEN id % 1000 <> 7 THEN concat('wort', id) END AS text")
+    labels = spark.range(12_000).selectExpr("id AS doc_id", "CASE WHEN id % 900 <> 5 THEN CAST(id % 11 = 0 AS INT) END AS toxic").where("doc_id % 3 <> 1")
+    found = toxicity.labelled(docs, labels).collect()
+    want = [k for k in range(9_000) if k % 1000 != 7 and k % 900 != 5 and k % 3 != 1]
+    assert sorted((r.text, r.toxic) for r in found) == sorted((f"wort{k}", int(k % 11 == 0)) for k in want)
+    assert 0.15 < sum(r.hold for r in found) / len(found) < 0.25
+
+
+def test_blocks_are_averaged_where_they_moved(spark):
+    rows = spark.createDataFrame([("rot gelb", 1, False, 0), ("blau grau", 0, False, 1)], "text string, toxic int, hold boolean, dice long")
+    start = toxicity._table(*toxicity.begun(np.random.default_rng(1)))
+    both = toxicity._round(rows, start, 2, 1, 0.5, 0)
+    alone = [toxicity._round(rows.where(f"dice = {k}"), start, 2, 1, 0.5, 0) for k in range(2)]
+    moved = [(a != start).any(1) for a in alone]
+    assert moved[0].any() and moved[1].any()
+    total = alone[0] - start + (alone[1] - start)
+    want = start + total / np.maximum(1, moved[0].astype(int) + moved[1])[:, None]
+    assert np.abs(both - want).max() < 1e-6
+
+
+def test_counts_calibrate_like_rows():
+    rng = np.random.default_rng(4)
+    scores, langs = rng.integers(-20, 20, 500) / 4, rng.choice(["de", "en"], 500)
+    real = (scores + rng.normal(0, 2, 500) > 2).astype(float)
+    groups = sorted({(x, s) for x, s in zip(langs, scores)})
+    rows = np.array([((langs == x) & (scores == s)).sum() for x, s in groups], float)
+    toxic = np.array([real[(langs == x) & (scores == s)].sum() for x, s in groups])
+    got = toxicity.calibrate(np.array([s for _, s in groups]), toxic, [x for x, _ in groups], rows)
+    assert got == toxicity.calibrate(scores, real, langs.tolist())
