@@ -471,11 +471,13 @@ def mark_evictable(obs: DataFrame, culls: DataFrame, min_culled: int = 4, width:
     next frame on, until a frame misses them; a track that comes back starts unmarked.
     """
     skipped = skip_drop(culls, min_culled).where("action <> 'drop'").select("seq", "frame", "id", F.lit(True).alias("_mark"))
-    rows = obs.select("seq", "frame", "id").join(skipped, ["seq", "frame", "id"], "left")
+    # A scan uses its input twice and here one follows another, so what they read is written.
+    rows = cut(obs.select("seq", "frame", "id").join(skipped, ["seq", "frame", "id"], "left"), "tracks")
     seen = ordered_scan(
         rows, ["seq", "id"], ["frame"], width,
         _before=Scan("lag", F.col("frame")), _marked=Scan("last_before", F.when(F.col("_mark"), F.col("frame"))),
     )
+    seen = cut(seen, "seen")
     begins = F.when(F.col("_before").isNull() | (F.col("_before") < F.col("frame") - 1), F.col("frame"))
     runs = ordered_scan(seen, ["seq", "id"], ["frame"], width, _run=Scan("last", begins))
     return runs.select("seq", "frame", "id", F.coalesce(F.col("_marked") >= F.col("_run"), F.lit(False)).alias("evictable"))

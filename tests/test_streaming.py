@@ -164,6 +164,24 @@ def test_marks_for_eviction_in_batch_and_handler(spark):
     assert sorted((r.frame, r.id) for r in room) == [(1, 1), (1, 2), (2, 1), (2, 3), (3, 1), (3, 3), (6, 1), (6, 2)]
 
 
+def test_marks_compute_their_observations_once(spark):
+    from pyspark.sql import functions as F
+
+    from posequery.operators.tracks import mark_evictable
+
+    computed = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    obs = spark.range(60).selectExpr("1L AS seq", "id DIV 3 AS frame", "id % 3 AS id").mapInArrow(told, "seq long, frame long, id long")
+    culls = spark.range(4).select(F.lit(1).cast("long").alias("seq"), (F.col("id") % 2).alias("frame"), F.col("id"))
+    assert mark_evictable(obs, culls, min_culled=2, width=4).where("evictable").count() == 56
+    assert computed.value == 60
+
+
 def test_seed_is_gathered_over_poor_frames(spark):
     from posequery.operators.tracks import GATHERING, admission_gates
 
