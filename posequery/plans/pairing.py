@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable
 
 
@@ -35,3 +35,27 @@ class Waiting:
         self.stamps.append(stamp)
         self.side = side
         return None, gone, True
+
+    def offer_all(self, sides: Iterable, stamps: Iterable[int]) -> tuple[list[int], list[int], Counter, Counter]:
+        """:meth:`offer` for many: places and partners of those that met one, stamps given up and most that waited by side."""
+        held, side, tolerance = self.stamps, self.side, self.tolerance_ns
+        places, partners, gone, longest = [], [], Counter(), Counter()
+        for place, (now, stamp) in enumerate(zip(sides, stamps)):
+            if now != side:
+                while held and held[0] < stamp - tolerance:
+                    held.popleft()
+                    gone[side] += 1
+                if held:
+                    if held[0] <= stamp + tolerance:
+                        places.append(place)
+                        partners.append(held.popleft())
+                    else:
+                        gone[now] += 1
+                    longest[now] = longest[now] or 1
+                    continue
+                side = now
+            held.append(stamp)
+            if len(held) > longest[side]:
+                longest[side] = len(held)
+        self.side = side
+        return places, partners, gone, longest

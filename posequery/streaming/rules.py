@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 from posequery.plans.pairing import Waiting
 
@@ -92,6 +93,10 @@ class Handler:
     def stop(self, status: str) -> None:
         """Note that no further rows but the end will come."""
 
+    def take(self, batch: pd.DataFrame) -> tuple[int, dict]:
+        """Take rows from the front of ``batch`` at once, if the rule can: how many, and columns of what :meth:`feed` gives."""
+        return 0, {}
+
 
 #: Counters of a finished sequence.
 SYNC_COUNTS = ["emitted"] + [f"{what}_{side}" for what in ("pushed", "dropped", "overflow", "longest") for side in ("left", "right")]
@@ -155,6 +160,33 @@ class SyncHandler(Handler):
         ahead = stamp - self.latest.get(side, stamp - 1)
         return None if ahead > 0 else "out_of_order" if ahead < 0 else "duplicate"
 
+    def take(self, batch: pd.DataFrame) -> tuple[int, dict]:
+        """All rows before the first fault or end."""
+        stamp, side = batch["ts_ns"].to_numpy(), batch["camera"].to_numpy()
+        if self.status or self.max_queue or stamp.dtype != np.int64:
+            return 0, {}
+        plain = np.isin(side, ["left", "right"])
+        for name in ("left", "right"):
+            at = np.flatnonzero(side == name)
+            plain[at[1:]] &= stamp[at[1:]] > stamp[at[:-1]]
+            if len(at) and name in self.latest:
+                plain[at[0]] &= stamp[at[0]] > self.latest[name]
+        n = len(plain) if plain.all() else int(np.argmin(plain))
+        stamp, side = stamp[:n], side[:n]
+        places, partners, gone, longest = self.waiting.offer_all(side.tolist(), stamp.tolist())
+        for name in ("left", "right"):
+            here = stamp[side == name]
+            if len(here):
+                self.latest[name] = int(here[-1])
+            self.counts[f"pushed_{name}"] += len(here)
+            self.counts[f"dropped_{name}"] += gone[name]
+            self.counts[f"longest_{name}"] = max(self.counts[f"longest_{name}"], longest[name])
+        self.counts["emitted"] += len(places)
+        later, earlier = stamp[places], np.array(partners, np.int64)
+        is_left = side[places] == "left"
+        pairs = {"ts_ns": np.where(is_left, later, earlier), "right_ts_ns": np.where(is_left, earlier, later)}
+        return n, {"kind": "pair", **pairs, "status": "ok"} if places else {}
+
     def feed(self, row) -> list[tuple]:
         counts, waiting = self.counts, self.waiting
         if self.ends(row):

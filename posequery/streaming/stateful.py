@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from posequery.streaming.rules import (
     AgeHandler,
@@ -44,8 +46,8 @@ def typed_state(spark: SparkSession) -> None:
 class _Sequence(StatefulProcessor):
     """One handler per key over rows in order."""
 
-    def __init__(self, make: Callable[[], Handler], names: list[str], order: str) -> None:
-        self.make, self.names, self.order = make, names, order
+    def __init__(self, make: Callable[[], Handler], names: list[str], order: str, packed: bool = False) -> None:
+        self.make, self.names, self.order, self.packed = make, names, order, packed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kinds = {"value": handle.getValueState, "list": handle.getListState, "map": handle.getMapState}
@@ -90,8 +92,16 @@ class _Sequence(StatefulProcessor):
         handler, before = self.make(), self._read()
         handler.load(before)
         last, stopped = self.place.get() if self.place.exists() else (None, False)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        blank, out = [None] * (len(self.names) - 3), []
+        batch = pd.concat(list(rows), ignore_index=True)
+        if self.packed and len(batch):
+            batch = pd.DataFrame({c: np.concatenate(batch[c].tolist()) for c in batch.columns if c != "seq"})
+        batch = batch.sort_values(self.order, kind="stable")
+        blank, out, at_once = [None] * (len(self.names) - 3), [], {}
+        places = batch[self.order].to_numpy()
+        if len(places) and not stopped and (last is None or places[0] > last) and (places[1:] > places[:-1]).all():
+            taken, at_once = handler.take(batch)
+            if taken:
+                last, batch = int(places[taken - 1]), batch.iloc[taken:]
         for row in batch.itertuples(index=False):
             place = int(getattr(row, self.order))
             late = last is not None and place <= last
@@ -104,24 +114,44 @@ class _Sequence(StatefulProcessor):
             out += [(key[0], *values, None, None) for values in handler.feed(row)]
         self.place.update((last, stopped))
         self._write(before, handler.dump())
+        if at_once:
+            found = pd.DataFrame({"seq": key[0], **at_once})
+            rest = [name for name in self.names if name not in found]
+            none = pd.Series([None] * len(found), dtype=object)
+            yield found.assign(**dict.fromkeys(rest, none))[self.names]
         # Object columns keep 64-bit stamps exact beside nulls.
         yield pd.DataFrame(out, columns=self.names, dtype=object)
 
 
+def _packed(stream: DataFrame) -> DataFrame:
+    """A row per ``seq`` and Arrow batch, other columns as arrays: Spark hands rows to a state handler one by one."""
+    rest = [f for f in stream.schema if f.name != "seq"]
+    schema = StructType([stream.schema["seq"], *(StructField(f.name, ArrayType(f.dataType)) for f in rest)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = pa.Table.from_batches([batch]).group_by("seq", use_threads=False)
+            lists = groups.aggregate([(f.name, "list") for f in rest])
+            columns = [lists.column("seq"), *(lists.column(f"{f.name}_list") for f in rest)]
+            yield from pa.table(columns, names=schema.names).to_batches()
+
+    return stream.select(*schema.names).mapInArrow(run, schema)
+
+
 def per_sequence(
-    stream: DataFrame, make: Callable[[], Handler], output: str, order: str, initial: DataFrame | None = None
+    stream: DataFrame, make: Callable[[], Handler], output: str, order: str, initial: DataFrame | None = None, packed: bool = False
 ) -> DataFrame:
     """Run one handler per ``seq`` over rows in ``order``; works on streams.
 
     To the handler's ``output`` come ``fault`` and ``fault_place``, null beside its own rows.  ``initial``
     holds a row for each sequence that a batch run has begun: ``seq``, the ``last`` place, and
-    what the handler's ``begin`` takes.
+    what the handler's ``begin`` takes.  ``packed`` is for plain columns and handlers that take rows at once.
     """
     typed_state(stream.sparkSession)
     output += ", fault string, fault_place long"
-    processor = _Sequence(make, StructType.fromDDL(output).names, order)
+    processor = _Sequence(make, StructType.fromDDL(output).names, order, packed)
     start = None if initial is None else initial.groupBy("seq")
-    return stream.groupBy("seq").transformWithStateInPandas(processor, output, "Append", "none", start)
+    return (_packed(stream) if packed else stream).groupBy("seq").transformWithStateInPandas(processor, output, "Append", "none", start)
 
 
 def stereo_sync(
@@ -134,7 +164,7 @@ def stereo_sync(
     """
     SyncHandler(tolerance_ns, max_queue)  # rejects bad options before the stream starts
     return per_sequence(
-        events, lambda: SyncHandler(tolerance_ns, max_queue), SyncHandler.output, "arrival", initial
+        events, lambda: SyncHandler(tolerance_ns, max_queue), SyncHandler.output, "arrival", initial, packed=True
     )
 
 

@@ -3,6 +3,7 @@
 import random
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from posequery.operators import timejoin as tj
@@ -86,6 +87,24 @@ def test_handler_equals_two_pointers_in_any_interleaving(seed):
         assert counts[f"overflow_{side}"] == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_of_a_trigger_at_once_equal_one_by_one(seed):
+    rng = random.Random(200 + seed)
+    tolerance = rng.choice([0, 2, 7, 30])
+    rows = [(rng.choice(["left", "right"]), stamp) for stamp in range(400) if rng.random() < 0.6]
+    rows[-20] = ("right", 5)  # a fault, at which it ends
+    one, many, pairs = SyncHandler(tolerance), SyncHandler(tolerance), []
+    want = [(a, b) for kind, a, b, _, _ in fed(one, rows[:-20]) if kind == "pair"]
+    for start in range(0, len(rows), 50):
+        batch = pd.DataFrame(rows[start : start + 50], columns=["camera", "ts_ns"])
+        taken, out = many.take(batch)
+        assert taken == min(len(batch), len(rows) - 20 - start)
+        pairs += zip(out["ts_ns"].tolist(), out["right_ts_ns"].tolist()) if out else []
+        if taken < len(batch):
+            break
+    assert pairs == want and many.dump() == one.dump()
+
+
 def test_bounded_queue_counts_what_it_gives_up():
     handler = SyncHandler(0, max_queue=3)
     out = fed(handler, [("right", 7 * k) for k in range(8)] + [("left", 14), ("left", 42), ("end", 0)])
