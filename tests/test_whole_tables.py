@@ -2,6 +2,7 @@
 
 import os
 import re
+from collections import deque
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ import __spark_entry__ as registry
 import check
 from catalog import streams
 from catalog.runs import config
+from posequery.fixtures import with_views
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,6 +89,44 @@ def test_stamps_before_the_epoch(spark, tmp_path, name):
     equal_on(spark, name, tmp_path)
 
 
+def drained(stamps):
+    """Counters of the reference's queues over ``(ts_ns, side)`` in push order, side 0 being left."""
+    queues, pushed, dropped, longest, emitted = (deque(), deque()), [0, 0], [0, 0], [0, 0], 0
+    for stamp, side in stamps:
+        pushed[side] += 1
+        queues[side].append(stamp)
+        longest[side] = max(longest[side], len(queues[side]))
+        while queues[0] and queues[1]:
+            gap = queues[0][0] - queues[1][0]
+            near = abs(gap) <= streams.SOFT_NS
+            emitted += near
+            for late in (0, 1) if near else (int(gap > 0),):
+                queues[late].popleft()
+                dropped[late] += not near
+    dropped = [n + len(queue) for n, queue in zip(dropped, queues)]
+    return dict(zip(streams.SYNC_COUNTS, (emitted, *pushed, *dropped, 0, 0, *longest)))
+
+
+@pytest.mark.parametrize("name", ["d26_sync_report"])
+def test_no_stamp_is_in_two_pairs(spark, tmp_path, name):
+    # Several stamps of a sequence lie within the tolerance, on both sides of the middle of the month.
+    duckdb.execute(
+        "COPY (SELECT * REPLACE (TIMESTAMP '2024-01-16' + to_microseconds(70 * (event_id - 500)) AS ts)"
+        f" FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'"
+    )
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    both = "SELECT seq, ts_ns, 0 AS side FROM v_left UNION ALL SELECT seq, ts_ns, 1 FROM v_right ORDER BY ts_ns, side"
+    pushes = {}
+    for seq, *push in con.execute(with_views("left", "right") + both).fetchall():
+        pushes.setdefault(seq, []).append(push)
+    found = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.seq for r in found} == set(pushes) and len(found) == len(pushes)
+    for r in found:
+        want = drained(pushes[r.seq])
+        assert {c: n for c, n in r.asDict().items() if c != "seq"} == {c: want[c] for c in want if c in r}
+
+
 @pytest.mark.parametrize("name", ["i6_skip_drop_late_rows"])
 def test_streams_in_many_small_files(spark, monkeypatch, name):
     monkeypatch.setattr(streams, "FILE_ROWS", 200)
