@@ -107,7 +107,7 @@ def drained(stamps):
     return dict(zip(streams.SYNC_COUNTS, (emitted, *pushed, *dropped, 0, 0, *longest)))
 
 
-@pytest.mark.parametrize("name", ["d26_sync_report", "i2_stereo_sync_report"])
+@pytest.mark.parametrize("name", ["d26_sync_report", "i2_stereo_sync_report", "i2_stereo_sync_resumed_report"])
 def test_no_stamp_is_in_two_pairs(spark, tmp_path, name):
     # Several stamps of a sequence lie within the tolerance, on both sides of the middle of the month.
     duckdb.execute(
