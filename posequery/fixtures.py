@@ -278,8 +278,12 @@ _OBS_SQL = (
 )
 
 
+#: Observations that are culled.
+CULLED = "u <= 24"
+
+
 def _culls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observations(spark, sf_dir).where("u <= 24").select("seq", "frame", "id")
+    return _observations(spark, sf_dir).where(CULLED).select("seq", "frame", "id")
 
 
 _LANDMARK_KEYS = {

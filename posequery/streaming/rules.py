@@ -93,11 +93,24 @@ class Handler:
     def stop(self, status: str) -> None:
         """Note that no further rows but the end will come."""
 
-    def take(self, batch: pd.DataFrame) -> tuple[int, dict]:
-        """Take rows from the front of ``batch`` at once, if the rule can: how many, and columns of what :meth:`feed` gives."""
+    def take(self, batch: pd.DataFrame, lists: dict[str, np.ndarray] | None = None) -> tuple[int, dict]:
+        """Take rows from the front of ``batch`` at once, if the rule can: how many, and columns of what :meth:`feed` gives.
+
+        ``lists`` has the values of columns of lists, of which a row has ``<name>_n`` from ``<name>_at`` on.
+        """
         return 0, {}
 
 
+def listed(batch: pd.DataFrame, lists: dict[str, np.ndarray], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``batch``, by place, and values of a column of lists of longs, ascending by both."""
+    n, at = batch[f"{name}_n"].to_numpy(), batch[f"{name}_at"].to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    # Without any value an array has no type.
+    value = lists[name].astype(np.int64)[np.arange(len(row)) + np.repeat(at - (np.cumsum(n) - n), n)]
+    order = np.lexsort((value, row))
+    return row[order], value[order]
+
+
 #: Counters of a finished sequence.
 SYNC_COUNTS = ["emitted"] + [f"{what}_{side}" for what in ("pushed", "dropped", "overflow", "longest") for side in ("left", "right")]
 
@@ -160,7 +173,7 @@ class SyncHandler(Handler):
         ahead = stamp - self.latest.get(side, stamp - 1)
         return None if ahead > 0 else "out_of_order" if ahead < 0 else "duplicate"
 
-    def take(self, batch: pd.DataFrame) -> tuple[int, dict]:
+    def take(self, batch: pd.DataFrame, lists: dict[str, np.ndarray] | None = None) -> tuple[int, dict]:
         """All rows before the first fault or end."""
         stamp, side = batch["ts_ns"].to_numpy(), batch["camera"].to_numpy()
         if self.status or self.max_queue or stamp.dtype != np.int64:
@@ -372,6 +385,24 @@ class SkipDropHandler(Handler):
             out += [(frame, i, "drop") for i in culled]
         return out
 
+    def take(self, batch: pd.DataFrame, lists: dict[str, np.ndarray] | None = None) -> tuple[int, dict]:
+        frame = batch["frame"].to_numpy()
+        row, ids = listed(batch, lists, "culled")
+        n = np.bincount(row, minlength=len(frame))
+        rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        many = (n >= self.min_culled)[row] if self.min_culled > 0 else np.zeros(len(row), bool)
+        deferred = many & (rank < self.defer_topk)
+        action = np.where(deferred, "defer", np.where(many, "skip", "drop")).astype(object)
+        # What a frame defers, the next one flushes, before it acts.
+        flushed = np.concatenate([np.zeros(len(self.pending), np.int64), row[deferred] + 1])
+        ids_flushed = np.concatenate([np.array(self.pending, np.int64), ids[deferred]])
+        here = flushed < len(frame)
+        self.pending = ids_flushed[~here].tolist()
+        row, ids = np.concatenate([flushed[here], row]), np.concatenate([ids_flushed[here], ids])
+        action = np.concatenate([np.full(int(here.sum()), "flush", object), action])
+        order = np.argsort(row, kind="stable")
+        return len(frame), {"frame": frame[row[order]], "id": ids[order], "action": action[order]} if len(row) else {}
+
 
 class EvictableHandler(Handler):
     """Tracks of one sequence that may be evicted: marked by a skipped cull and present ever since."""

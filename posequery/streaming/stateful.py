@@ -17,10 +17,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from posequery.streaming.rules import (
     AgeHandler,
@@ -93,15 +94,19 @@ class _Sequence(StatefulProcessor):
         handler.load(before)
         last, stopped = self.place.get() if self.place.exists() else (None, False)
         batch = pd.concat(list(rows), ignore_index=True)
+        lists = {}
         if self.packed and len(batch):
-            batch = pd.DataFrame({c: np.concatenate(batch[c].tolist()) for c in batch.columns if c != "seq"})
+            batch, lists = _unpacked(batch)
         batch = batch.sort_values(self.order, kind="stable")
         blank, out, at_once = [None] * (len(self.names) - 3), [], {}
         places = batch[self.order].to_numpy()
         if len(places) and not stopped and (last is None or places[0] > last) and (places[1:] > places[:-1]).all():
-            taken, at_once = handler.take(batch)
+            taken, at_once = handler.take(batch, lists)
             if taken:
                 last, batch = int(places[taken - 1]), batch.iloc[taken:]
+        for name, values in lists.items():
+            held = [values[at : at + n] for at, n in zip(batch[f"{name}_at"], batch[f"{name}_n"])]
+            batch = batch.assign(**{name: pd.Series(held, batch.index, object)})
         for row in batch.itertuples(index=False):
             place = int(getattr(row, self.order))
             late = last is not None and place <= last
@@ -124,18 +129,49 @@ class _Sequence(StatefulProcessor):
 
 
 def _packed(stream: DataFrame) -> DataFrame:
-    """A row per ``seq`` and Arrow batch, other columns as arrays: Spark hands rows to a state handler one by one."""
+    """A row per ``seq`` and Arrow batch, other columns as arrays: Spark hands rows to a state handler one by one.
+
+    A column of lists becomes one array of all their values and one, ``<name>_n``, of their lengths; null lists come as empty ones.
+    """
     rest = [f for f in stream.schema if f.name != "seq"]
-    schema = StructType([stream.schema["seq"], *(StructField(f.name, ArrayType(f.dataType)) for f in rest)])
+    fields = [stream.schema["seq"]]
+    for f in rest:
+        fields.append(StructField(f.name, f.dataType if isinstance(f.dataType, ArrayType) else ArrayType(f.dataType)))
+        if isinstance(f.dataType, ArrayType):
+            fields.append(StructField(f"{f.name}_n", ArrayType(LongType())))
+    schema = StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = pa.Table.from_batches([batch]).group_by("seq", use_threads=False)
-            lists = groups.aggregate([(f.name, "list") for f in rest])
-            columns = [lists.column("seq"), *(lists.column(f"{f.name}_list") for f in rest)]
-            yield from pa.table(columns, names=schema.names).to_batches()
-
-    return stream.select(*schema.names).mapInArrow(run, schema)
+            if not batch.num_rows:
+                continue
+            found = batch.column("seq").dictionary_encode(null_encoding="encode")
+            codes = found.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            bounds = np.searchsorted(codes[order], np.arange(len(found.dictionary) + 1))
+            columns = [found.dictionary]
+            for f in rest:
+                values = batch.column(f.name).take(pa.array(order))
+                if not isinstance(f.dataType, ArrayType):
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values))
+                    continue
+                lengths = pc.fill_null(pc.list_value_length(values), 0).cast(pa.int64())
+                ends = np.concatenate([[0], np.cumsum(lengths.to_numpy())])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), values.flatten()))
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lengths))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return stream.mapInArrow(run, schema)
+
+
+def _unpacked(rows: pd.DataFrame) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
+    """The rows that :func:`_packed` put together; of a column of lists their values, and ``<name>_at`` and ``<name>_n`` in the rows."""
+    joined = {c: np.concatenate(rows[c].tolist()) for c in rows.columns if c != "seq"}
+    lists = {c: joined.pop(c) for c in list(joined) if f"{c}_n" in joined}
+    batch = pd.DataFrame(joined)
+    for c in lists:
+        batch[f"{c}_at"] = batch[f"{c}_n"].cumsum() - batch[f"{c}_n"]
+    return batch, lists
 
 
 def per_sequence(
@@ -145,7 +181,7 @@ def per_sequence(
 
     To the handler's ``output`` come ``fault`` and ``fault_place``, null beside its own rows.  ``initial``
     holds a row for each sequence that a batch run has begun: ``seq``, the ``last`` place, and
-    what the handler's ``begin`` takes.  ``packed`` is for plain columns and handlers that take rows at once.
+    what the handler's ``begin`` takes.  ``packed`` is for plain columns, lists of them and handlers that take rows at once.
     """
     typed_state(stream.sparkSession)
     output += ", fault string, fault_place long"
@@ -191,10 +227,9 @@ def window_eviction(
 
 
 def skip_drop(frames: DataFrame, min_culled: int = 4, defer_topk: int = 0) -> DataFrame:
-    """Actions on culled ids, with the flush of deferred ones at the next frame."""
-    return per_sequence(
-        frames, lambda: SkipDropHandler(min_culled, defer_topk), SkipDropHandler.output, "frame"
-    )
+    """Actions on culled ids, with the flush of deferred ones at the next frame; rows hold ``seq, frame, culled``."""
+    rows = frames.select("seq", "frame", "culled")
+    return per_sequence(rows, lambda: SkipDropHandler(min_culled, defer_topk), SkipDropHandler.output, "frame", packed=True)
 
 
 def evictable(frames: DataFrame, min_culled: int = 4) -> DataFrame:

@@ -164,6 +164,69 @@ def test_marks_for_eviction_in_batch_and_handler(spark):
     assert sorted((r.frame, r.id) for r in room) == [(1, 1), (1, 2), (2, 1), (2, 3), (3, 1), (3, 3), (6, 1), (6, 2)]
 
 
+def packed_rows(rows):
+    """Frames with lists as a state handler gets them: flat values, and where a row's begin."""
+    import numpy as np
+    import pandas as pd
+
+    batch, lists = pd.DataFrame({"frame": [r.frame for r in rows]}), {}
+    for name in ("ids", "culled"):
+        parts = [getattr(r, name) or [] for r in rows]
+        batch[f"{name}_n"] = [len(p) for p in parts]
+        batch[f"{name}_at"] = batch[f"{name}_n"].cumsum() - batch[f"{name}_n"]
+        lists[name] = np.array([i for p in parts for i in p])
+    back = batch.iloc[::-1].sort_values("frame")  # rows come in any order, values stay where they are
+    return back, lists
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("rule", ["skip_drop"])
+def test_frames_of_a_trigger_at_once_equal_one_by_one(rule, seed):
+    import random
+    from types import SimpleNamespace
+
+    from posequery.streaming.rules import EvictableHandler, SkipDropHandler
+
+    rng = random.Random(seed)
+    least, top = rng.choice([0, 1, 2, 3]), rng.choice([-1, 0, 1, 3])
+    make = (lambda: SkipDropHandler(least, top)) if rule == "skip_drop" else (lambda: EvictableHandler(least))
+    frames = [f for f in range(300) if rng.random() < 0.9]
+    rows = []
+    for f in frames:
+        ids = rng.choice([None, [], *([rng.sample(range(10**12, 10**12 + 9), rng.randint(1, 9))] * 12)])
+        culled = rng.choice([None, [rng.choice([*(ids or []), 10**12 + 4]) for _ in range(rng.randint(0, 4))]])
+        rows.append(SimpleNamespace(frame=f, ids=ids, culled=culled))
+    one, many = make(), make()
+    while rows:
+        n = rng.choice([1, 2, 40])
+        want = [out for r in rows[:n] for out in one.feed(r)]
+        taken, out = many.take(*packed_rows(rows[:n]))
+        assert taken == len(rows[:n]) and many.dump() == one.dump()
+        assert list(zip(*(list(c) for c in out.values()))) == want
+        again, rows = make(), rows[n:]
+        again.load(many.dump())
+        many = again
+
+
+def test_frames_reach_the_state_handler_in_arrays(spark):
+    schema = "seq long, frame long, culled array<long>"
+    rows = spark.createDataFrame([(s, f, [f, 7] if f % 3 else None if f % 2 else []) for f in range(200) for s in (None, 1, 4)], schema)
+    packed = st._packed(rows.coalesce(1)).collect()
+    assert sorted((r.seq is None, r.seq) for r in packed) == [(False, 1), (False, 4), (True, None)]
+    for r in packed:
+        assert r.frame == [*range(200)] and r.culled_n == [2 if f % 3 else 0 for f in range(200)]
+        assert r.culled == [i for f in range(200) if f % 3 for i in (f, 7)]
+
+
+def test_frames_gather_their_observations_once(spark, monkeypatch):
+    from catalog import streams
+
+    plans = []
+    monkeypatch.setattr(streams, "cut", lambda df, *_: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    assert streams.nested(spark, SF, "seq", "frame", "ids", "culled").columns == ["seq", "frame", "ids", "culled"]
+    assert plans[0].count("l_orderkey") and plans[0].count("Relation [l_orderkey") == 1
+
+
 def test_marks_compute_their_observations_once(spark):
     from pyspark.sql import functions as F
 
