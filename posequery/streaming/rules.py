@@ -436,6 +436,45 @@ class EvictableHandler(Handler):
                 self.marked.setdefault(i, frame)
         return out
 
+    def take(self, batch: pd.DataFrame, lists: dict[str, np.ndarray] | None = None) -> tuple[int, dict]:
+        frame = batch["frame"].to_numpy()
+        (row, ids), (at, gone) = (_once(*listed(batch, lists, name)) for name in ("ids", "culled"))
+        known, codes = np.unique(np.concatenate([ids, gone]), return_inverse=True)
+        codes, gone = codes[: len(ids)], codes[len(ids) :]
+        many = np.bincount(at, minlength=len(frame)) >= self.min_culled
+        many = many[at] if self.min_culled > 0 else np.zeros(len(at), bool)
+        marks = np.isin(row * len(known) + codes, (at * len(known) + gone)[many])
+        # By id, then frame: an id is present since its run began, and may go once a frame before has marked it.
+        order = np.lexsort((row, codes))
+        row, codes, ids, marks = row[order], codes[order], ids[order], marks[order]
+        place, now = np.arange(len(row)), frame[row]
+        follows = np.zeros(len(row), bool)
+        follows[1:] = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1] + 1) & (now[1:] == now[:-1] + 1)
+        start = np.maximum.accumulate(np.where(follows, 0, place)) if len(row) else place
+        held = np.zeros(len(row), bool)
+        if self.marked and self.frame is not None and frame[0] == self.frame + 1:
+            held = (row == 0) & np.isin(ids, list(self.marked))
+        # Ranks of the first mark of a run: one that was held goes before any of its own.
+        firsts = np.where(held | marks, place, len(place))
+        runs = np.flatnonzero(~follows)
+        first = np.minimum.reduceat(firsts, runs)[np.cumsum(~follows) - 1] if len(row) else firsts
+        out = held | (first < place)
+        last = (row == len(frame) - 1) & (first <= place)
+        before, self.marked = self.marked, {}
+        for i, mark, was in zip(ids[last].tolist(), first[last].tolist(), held[start[last]].tolist()):
+            self.marked[i] = before[i] if was else int(now[mark])
+        self.frame = int(frame[-1])
+        row, ids = row[out], ids[out]
+        order = np.lexsort((ids, row))
+        return len(frame), {"frame": frame[row[order]], "id": ids[order]} if len(row) else {}
+
+
+def _once(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs without repeats."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
+
 
 class SeedHandler(Handler):
     """Latest stereo observation per id of one sequence until enough ids are known."""

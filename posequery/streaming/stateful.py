@@ -234,7 +234,8 @@ def skip_drop(frames: DataFrame, min_culled: int = 4, defer_topk: int = 0) -> Da
 
 def evictable(frames: DataFrame, min_culled: int = 4) -> DataFrame:
     """Tracks that may be evicted in each frame; rows hold ``seq, frame, ids, culled``."""
-    return per_sequence(frames, lambda: EvictableHandler(min_culled), EvictableHandler.output, "frame")
+    rows = frames.select("seq", "frame", "ids", "culled")
+    return per_sequence(rows, lambda: EvictableHandler(min_culled), EvictableHandler.output, "frame", packed=True)
 
 
 def accumulate_seed(frames: DataFrame, min_ids: int = 10) -> DataFrame:

@@ -180,7 +180,7 @@ def packed_rows(rows):
 
 
 @pytest.mark.parametrize("seed", range(8))
-@pytest.mark.parametrize("rule", ["skip_drop"])
+@pytest.mark.parametrize("rule", ["skip_drop", "evictable"])
 def test_frames_of_a_trigger_at_once_equal_one_by_one(rule, seed):
     import random
     from types import SimpleNamespace
