@@ -219,8 +219,9 @@ def pair_exact(spark, sf):
 
 
 SOFT_NS = 3_000_000
-# No two stamps of one side lie within the tolerance of the same other stamp in these
-# tables, so the greedy result is the join.  Dense streams are tested by brute force.
+# Up to sf0.01 no two stamps of one side lie within the tolerance of the same other stamp,
+# so the greedy result is the join; denser tables have more pairs in the join, which uses a
+# stamp more than once.  Dense streams are tested by brute force.
 _SOFT = (
     "SELECT l.seq, l.ts_ns, r.ts_ns AS right_ts_ns FROM v_left l JOIN v_right r"
     f" ON l.seq = r.seq AND abs(l.ts_ns - r.ts_ns) <= {SOFT_NS}"
